@@ -68,9 +68,13 @@ def _add_chunks(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "blob": [total.tobytes()]})
 
 
-def _order(g: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The set's grams in the global order: frequency class, then hash."""
-    return g[np.argsort(rank[(g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")]
+def _order(g: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The set's grams in the global order, frequency class and then hash; and the leading 32 bits
+    of each one's place in it."""
+    r = rank[(g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    by = np.argsort(r, kind="stable")
+    g = g[by]
+    return g, (r[by].astype(np.uint64) << np.uint64(26) | g >> np.uint64(38)).astype(np.uint32)
 
 
 def _signatures(n: int, t: float, bound: int, shards: int, rank_b):
@@ -79,13 +83,13 @@ def _signatures(n: int, t: float, bound: int, shards: int, rank_b):
     def run(batches):
         cache, rank = C.HashCache(), rank_b.value
         for b in batches:
-            out = {0: ([], [], []), 1: ([], [], [])}
+            out = {0: ([], [], [], []), 1: ([], [], [], [])}
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 g = C.ngram_set(text, n, cache)
                 if not len(g):
                     continue
                 s, o = len(g), int(needed(len(g), t))
-                g = _order(g, rank)
+                g, place = _order(g, rank)
                 if enumerates := (s <= bound and o >= SUBSET):
                     p = g[: s - o + SUBSET]
                     i, j = np.triu_indices(len(p), 1)
@@ -93,16 +97,18 @@ def _signatures(n: int, t: float, bound: int, shards: int, rank_b):
                         out[0][0].append(C.mix(p[i] * np.uint64(3) ^ C.mix(p[j] ^ p[i])))
                     out[0][1].append(doc)
                     out[0][2].append(s)
+                    out[0][3].append(0)
                 # a subset set is in the lists only if a scanning set can match it
                 if not enumerates or s >= t * (bound + 1) - 1e-9 or s * t < SUBSET / t + 1:
                     out[1][0].append(g[: s - o + 1])
                     out[1][1].append(doc)
                     out[1][2].append(s)
-            for kind, (keys, docs, sizes) in out.items():
+                    out[1][3].append(int(place[s - o]))
+            for kind, (keys, docs, sizes, lasts) in out.items():
                 if not keys:
                     continue
                 lens = [len(k) for k in keys]
-                key, doc, size = np.concatenate(keys), np.repeat(np.array(docs, np.int64), lens), np.repeat(np.array(sizes, np.int32), lens)
+                key, doc, size, last = np.concatenate(keys), np.repeat(np.array(docs, np.int64), lens), np.repeat(np.array(sizes, np.int32), lens), np.repeat(np.array(lasts, np.uint32), lens)
                 shard = ((key >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
                 by = np.argsort(shard, kind="stable")
                 cuts = np.searchsorted(shard[by], np.arange(shards + 1))
@@ -113,46 +119,56 @@ def _signatures(n: int, t: float, bound: int, shards: int, rank_b):
                         pa.array([(key[x] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for _, x in rows], pa.binary()),
                         pa.array([doc[x].tobytes() for _, x in rows], pa.binary()),
                         pa.array([size[x].tobytes() for _, x in rows], pa.binary()),
+                        pa.array([last[x].tobytes() for _, x in rows], pa.binary()),
                     ],
-                    names=["shard", "keys", "docs", "sizes"],
+                    names=["shard", "keys", "docs", "sizes", "lasts"],
                 )
 
     return run
 
 
-PAIR_STEP = 2_000_000
-_NO_PAIRS = {"a": "int64", "b": "int64", "sa": "int32", "sb": "int32", "k": "int64"}
+PAIR_STEP = 1_000_000
+_PACKED = "blk int, a binary, b binary, need binary, k binary"
+
+
+def _merge(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    u, at = np.unique(np.concatenate(codes), return_inverse=True)
+    return u, np.bincount(at, weights=np.concatenate(counts), minlength=len(u)).astype(np.int64)
 
 
 def _pairs(t: float, bound: int, shards: int):
-    """All pairs of one shard that meet on a key, with how many keys they meet on."""
+    """All pairs of one shard that meet on a key, with how many keys they meet on.
 
-    def merge(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        u, at = np.unique(np.concatenate(codes), return_inverse=True)
-        return u, np.bincount(at, weights=np.concatenate(counts), minlength=len(u)).astype(np.int64)
+    Packed by a block of the smaller doc_id and sorted, so that the pairs of large groups, which
+    repeat the same partners, compress well when they are moved.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         kind = int(pdf["shard"].iloc[0]) // shards
-        key = np.concatenate([np.frombuffer(b, np.uint32) for b in pdf["keys"]])
-        doc = np.concatenate([np.frombuffer(b, np.int64) for b in pdf["docs"]])
-        size = np.concatenate([np.frombuffer(b, np.int32) for b in pdf["sizes"]])
+        none = pd.DataFrame({"blk": [], "a": [], "b": [], "need": [], "k": []})
+        key, doc, size, last = (np.concatenate([np.frombuffer(b, d) for b in pdf[c]]) for c, d in (("keys", np.uint32), ("docs", np.int64), ("sizes", np.int32), ("lasts", np.uint32)))
         del pdf
-        by = np.lexsort((doc, size, key))
-        key, doc, size = key[by], doc[by], size[by]
-        alone = np.ones(len(key), bool)  # entries that share no key are dropped at once
-        alone[1:] &= key[1:] != key[:-1]
-        alone[:-1] &= key[1:] != key[:-1]
-        key, doc, size = key[~alone], doc[~alone], size[~alone]
+        by = np.argsort(key, kind="stable")
+        k = key[by]
+        alone = np.ones(len(k), bool)  # entries that share no key are dropped at once
+        alone[1:] &= k[1:] != k[:-1]
+        alone[:-1] &= k[1:] != k[:-1]
+        by = by[~alone]
+        del k, alone
+        by = by[np.lexsort((doc[by], size[by], key[by]))]
+        key, doc, size, last = key[by], doc[by], size[by], last[by]
         if not len(key):
-            return pd.DataFrame({c: np.zeros(0, k) for c, k in _NO_PAIRS.items()})
-        ent = np.unique(np.rec.fromarrays([doc, size], names="d,s"))
-        at = np.searchsorted(ent, np.rec.fromarrays([doc, size], names="d,s")).astype(np.int64)
+            return none
+        rec = np.rec.fromarrays([doc, size, last], names="d,s,w")
+        ent, at = np.unique(rec, return_inverse=True)
+        del rec, last
+        ent_o = needed(ent.s, t)
         scans = (size > bound) | (needed(size, t) < SUBSET)
         # entry i meets the following entries of its key whose size is at most size / t
         comp = key.astype(np.uint64) << np.uint64(32) | size.astype(np.uint64)
         top = np.minimum(np.floor(size / t + 1e-9), 2**31).astype(np.uint64)
-        last = np.searchsorted(comp, key.astype(np.uint64) << np.uint64(32) | top, side="right")
-        reach = np.maximum(last - np.arange(len(key)) - 1, 0)
+        reach = np.maximum(np.searchsorted(comp, key.astype(np.uint64) << np.uint64(32) | top, side="right") - np.arange(len(key)) - 1, 0)
+        del comp, top, key
         starts = np.flatnonzero(reach)
         total = np.cumsum(reach[starts])
         codes, counts, held, done = [], [], 0, 0
@@ -166,23 +182,45 @@ def _pairs(t: float, bound: int, shards: int):
             if kind == 1:  # two enumerating sets meet on their subsets
                 keep &= scans[a] | scans[b]
             a, b = a[keep], b[keep]
-            x, y = np.where(doc[a] < doc[b], a, b), np.where(doc[a] < doc[b], b, a)
-            c, n = np.unique(at[x] * len(ent) + at[y], return_counts=True)
+            x, y = at[a], at[b]
+            c, n = np.unique(np.minimum(x, y) * len(ent) + np.maximum(x, y), return_counts=True)
             codes.append(c)
             counts.append(n)
             held += len(c)
             if held > 2 * PAIR_STEP and len(codes) > 1:
-                c, n = merge(codes, counts)
+                c, n = _merge(codes, counts)
                 codes, counts, held = [c], [n], 0
         if not codes:
-            return pd.DataFrame({c: np.zeros(0, k) for c, k in _NO_PAIRS.items()})
-        c, n = merge(codes, counts)
-        x, y = c // len(ent), c % len(ent)
-        return pd.DataFrame({"a": ent.d[x], "b": ent.d[y], "sa": ent.s[x], "sb": ent.s[y], "k": n if kind else n + (1 << 30)})
+            return none
+        c, n = _merge(codes, counts)
+        x, y = c // len(ent), c % len(ent)  # ent is sorted by doc_id first
+        # k common grams within the prefixes: at most rest more, rest following the prefix that
+        # ends first in the global order (of the longer one where that can't be told)
+        rest = np.where(ent.w[x] < ent.w[y], ent_o[x], np.where(ent.w[x] > ent.w[y], ent_o[y], np.maximum(ent_o[x], ent_o[y]))) - 1
+        short = needed(ent.s[x].astype(np.int64) + ent.s[y], t / (1 + t)) - rest
+        need = np.maximum(short, 1).astype(np.int32) if kind else np.zeros(len(c), np.int32)
+        blk = (C.mix(ent.d[x].view(np.uint64)) % np.uint64(4 * shards)).astype(np.int32)
+        by = np.argsort(blk, kind="stable")
+        cuts = np.searchsorted(blk[by], np.arange(4 * shards + 1))
+        rows = [(j, by[cuts[j] : cuts[j + 1]]) for j in range(4 * shards) if cuts[j + 1] > cuts[j]]
+        return pd.DataFrame([(j, ent.d[x[i]].tobytes(), ent.d[y[i]].tobytes(), need[i].tobytes(), n[i].astype(np.int32).tobytes()) for j, i in rows], columns=["blk", "a", "b", "need", "k"])
 
     return run
 
 
+def _candidates(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs whose meetings, over all shards, leave a similarity of the threshold possible."""
+    rows = np.rec.fromarrays([np.concatenate([np.frombuffer(b, d) for b in pdf[c]]) for c, d in (("a", np.int64), ("b", np.int64), ("need", np.int32), ("k", np.int32))], names="a,b,need,k")
+    by = np.lexsort((rows.need, rows.b, rows.a))
+    rows = rows[by]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows.a[1:] != rows.a[:-1]) | (rows.b[1:] != rows.b[:-1]) | (rows.need[1:] != rows.need[:-1])
+    first = np.flatnonzero(new)
+    ok = first[np.add.reduceat(rows.k.astype(np.int64), first) >= rows.need[first]]
+    out = pd.DataFrame({"a": rows.a[ok], "b": rows.b[ok]})
+    return out.drop_duplicates()
+
+
 def _sets(n: int):
     def run(batches):
         cache = C.HashCache()
@@ -258,13 +296,9 @@ def similar_classes(docs: DataFrame, n: int = NGRAM, t: float = THRESHOLD) -> tu
     shards = max(4, math.ceil(entries / SHARD_RECORDS))
     rank_b = spark.sparkContext.broadcast(rank)
     reps = src.join(C.small(other, n_other, 16), "doc_id", "left_anti") if n_other else src
-    blocks = reps.mapInArrow(_signatures(n, t, bound, shards, rank_b), "shard int, keys binary, docs binary, sizes binary")
-    met = blocks.groupBy("shard").applyInPandas(_pairs(t, bound, shards), "a long, b long, sa int, sb int, k long")
-    met = met.groupBy("a", "b", "sa", "sb").agg(F.sum("k").alias("k"))
-    # prefixes meet k times, so the sets share at most k grams plus what follows the longer rest
-    o = lambda s: F.ceil(F.col(s) * F.lit(t) - F.lit(1e-9))
-    pair_o = F.ceil((F.col("sa") + F.col("sb")) * F.lit(t / (1 + t)) - F.lit(1e-9))
-    cand = C.table(met.where(F.col("k") + F.greatest(o("sa"), o("sb")) - 1 >= pair_o).select("a", "b").distinct(), "ngram-candidates")
+    blocks = reps.mapInArrow(_signatures(n, t, bound, shards, rank_b), "shard int, keys binary, docs binary, sizes binary, lasts binary")
+    met = blocks.groupBy("shard").applyInPandas(_pairs(t, bound, shards), _PACKED)
+    cand = C.table(met.groupBy("blk").applyInPandas(_candidates, "a long, b long"), "ngram-candidates")
     ids = cand.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     n_ids = ids.count()
     if not n_ids:
@@ -290,12 +324,16 @@ def ngram_jaccard_join(docs: DataFrame, n: int = NGRAM, t: float = THRESHOLD) ->
     """
     members, pairs = similar_classes(docs, n, t)
     m = members.select("rep", "doc_id")
-    inside = m.alias("x").join(m.alias("y"), F.col("x.rep") == F.col("y.rep")).where("x.doc_id < y.doc_id").select(F.col("x.doc_id").alias("doc_a"), F.col("y.doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    full = lambda side: m.select(F.col("rep").alias(side), F.col("doc_id").alias(f"{side}_member"))
+    n_m = m.count()
+    inside = m.alias("x").join(C.small(m, n_m, 24).alias("y"), F.col("x.rep") == F.col("y.rep")).where("x.doc_id < y.doc_id").select(F.col("x.doc_id").alias("doc_a"), F.col("y.doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    full = lambda side: C.small(m.select(F.col("rep").alias(side), F.col("doc_id").alias(f"{side}_member")), n_m, 24)
     across = pairs.join(full("doc_a"), "doc_a", "left").join(full("doc_b"), "doc_b", "left")
     x, y = F.coalesce("doc_a_member", "doc_a"), F.coalesce("doc_b_member", "doc_b")
     across = across.where(x != y).select(F.least(x, y).alias("doc_a"), F.greatest(x, y).alias("doc_b"), "jaccard")
-    return inside.unionByName(across).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    out = inside.unionByName(across)
+    if docs.where("text IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return out  # every document is in one class, so that no pair comes twice
+    return out.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
 def components(edges: DataFrame) -> DataFrame:
