@@ -1,15 +1,95 @@
-"""Corpus preparation as stages over ``documents``; filled in as the operators land."""
+"""Corpus preparation: quality, repeated lines, near copies, source mixing, packing.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which :func:`run` writes as
+Parquet and reads again as the next one's ``docs``.  All but the last return the columns of
+``docs``.
+"""
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from marlstone.llm import common as C
+from marlstone.llm.line_dedup import dedup_lines
+from marlstone.llm.mixing import mixed_documents
+from marlstone.llm.ngram_join import components, similar_classes
+from marlstone.llm.packing import pack_documents
+from marlstone.llm.quality_fm import fit_quality, keep_quality
 from marlstone.session import ship
 
-STAGES: list = []
+
+_last: list = []
+
+
+def _stage(f):
+    """Ship the package, and delete the tables of the stage before: its result is written."""
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        C.release(_last)
+        before = C.written()
+        out = f(spark, docs, sf_dir)
+        _last[:] = [x for x in C.written() if x not in before]
+        return out
+
+    return run
+
+
+@_stage
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorisation machine, fitted on the labels, doesn't reject."""
+    return keep_quality(docs, fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+@_stage
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each line stays where it occurs first; a document left without any text goes.
+
+    n_chars follows the new text.
+    """
+    out = dedup_lines(docs).where("n_removed = 0 OR trim(text) <> ''")
+    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+@_stage
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group of similar documents stays."""
+    members, pairs = similar_classes(docs)
+    edges = pairs.select("doc_a", "doc_b").unionByName(members.where("rep <> doc_id").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b")))
+    gone = C.table(components(edges).select("doc_id").distinct(), "near-copies")
+    return docs.join(C.small(gone, gone.count(), 16), "doc_id", "left_anti").select(docs.columns)
+
+
+@_stage
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn to the target weights of their sources, in shard order."""
+    return mixed_documents(docs)
+
+
+@_stage
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in the training windows."""
+    return pack_documents(docs)
+
+
+STAGES = [("quality", quality), ("repeated_lines", repeated_lines), ("near_copies", near_copies), ("mixing", mixing), ("packing", packing)]
+
+#: The fitted classifier, the draw and the differencing have no SQL; tests hold the stages
+#: against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; the rows of the last."""
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        path = C.fresh_path(spark, f"stage-{name}")
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

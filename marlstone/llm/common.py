@@ -30,26 +30,32 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/marlstone-{sc.applicationId}"
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def table(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends at files
     that outlive any executor."""
     spark = spark or df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def mark() -> int:
-    """A position in the list of written tables, for :func:`release`."""
-    return len(_written)
+def written() -> list[tuple[SparkSession, str]]:
+    """The tables written so far and not released."""
+    return list(_written)
 
 
-def release(since: int = 0, until: int | None = None) -> None:
-    """Delete written tables that no later result reads."""
-    gone = _written[since:until]
-    del _written[since:until]
-    for spark, path in gone:
+def release(tables: list | None = None) -> None:
+    """Delete written tables (all of them by default) that no later result reads."""
+    for item in written() if tables is None else tables:
+        if item not in _written:
+            continue
+        _written.remove(item)
+        spark, path = item
         try:
             jvm = spark.sparkContext._jvm
             hadoop = jvm.org.apache.hadoop.fs.Path(path)
@@ -66,6 +72,11 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def each(column):
+    """Values of an Arrow column one by one, never all as Python objects at once."""
+    return (x.as_py() for x in column)
+
+
 def words(text: str | None) -> list[str]:
     """Lower-cased runs of letters and digits; none for a null text."""
     return WORD.findall(text.lower()) if text else []
@@ -74,7 +85,7 @@ def words(text: str | None) -> list[str]:
 class HashCache(dict):
     """word -> 64-bit hash; emptied when large so that a task's memory stays bounded."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:

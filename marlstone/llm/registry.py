@@ -5,14 +5,70 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def _read(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import ngram_jaccard_join
 
-    return ngram_jaccard_join(_docs(spark, sf_dir))
+    return ngram_jaccard_join(_read(spark, sf_dir))
+
+
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import exact_dedup
+
+    return exact_dedup(_read(spark, sf_dir))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit_toxicity, score_toxicity
+
+    docs = _read(spark, sf_dir)
+    return score_toxicity(docs, fit_toxicity(docs, _read(spark, sf_dir, "labels")))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_pii
+
+    return find_pii(_read(spark, sf_dir))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(_read(spark, sf_dir))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    return dedup_lines(_read(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import scan_secrets
+
+    return scan_secrets(_read(spark, sf_dir))
+
+
+def op8_permutation_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .permutation_ann import nearest_neighbours
+
+    return nearest_neighbours(_read(spark, sf_dir, "embeddings"))
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(_read(spark, sf_dir))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_fm import fit_quality, score_quality
+
+    docs = _read(spark, sf_dir)
+    return score_quality(docs, fit_quality(docs, _read(spark, sf_dir, "labels")))
 
 
 OP1_SQL = r"""
@@ -27,12 +83,24 @@ FROM b JOIN n p ON p.doc_id = doc_a JOIN n q ON q.doc_id = doc_b
 WHERE both::DOUBLE / (p.n + q.n - both) >= 0.5
 """
 
+OP2_SQL = """
+SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS canonical_id,
+       doc_id <> min(doc_id) OVER (PARTITION BY text) AS is_duplicate
+FROM documents
+"""
+
+OP6_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
+k AS (SELECT *, trim(s) = '' OR row_number() OVER (PARTITION BY trim(s) ORDER BY doc_id, line) = 1 AS keep FROM l)
+SELECT doc_id, coalesce(string_agg(s, chr(10) ORDER BY line) FILTER (WHERE keep), '') AS text,
+       count(*)::INTEGER AS n_lines, (count(*) FILTER (WHERE NOT keep))::INTEGER AS n_removed
+FROM k GROUP BY doc_id
+"""
+
 
 def queries() -> dict:
-    return {
-        "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
-    }
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_exact_dedup, op3_toxicity, op4_pii, op5_packing, op6_line_dedup, op7_secret_scan, op8_permutation_ann, op9_source_mixing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op6_line_dedup": OP6_SQL}
