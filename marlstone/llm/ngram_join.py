@@ -9,7 +9,9 @@ lengths.  The order puts grams that occur in many documents last: it comes from
 gram of every document in a sketch of fixed size, so it is deterministic and only ever changes
 the cost, never the result.
 
-Records travel as packed blocks per (task, shard), not as rows; sets are verified exactly.
+Records travel as packed blocks per (task, shard), not as rows.  Candidates first compare parity
+bitmaps of a few bits per gram, whose difference is never more than that of the sets, so that
+only pairs that are almost surely similar fetch the sets themselves and are verified exactly.
 """
 
 from __future__ import annotations
@@ -25,9 +27,9 @@ from pyspark.sql import functions as F
 from . import common as C
 
 NGRAM, THRESHOLD = 3, 0.5
-SKETCH_BITS, CHUNK_BITS = 20, 16
+SKETCH_BITS, CHUNK_BITS = 21, 16
 #: Records of one shard, to bound a task's memory.
-SHARD_RECORDS = 2_500_000
+SHARD_RECORDS = 1_500_000
 VERIFY_BYTES = 24 << 20
 SUBSET = 2
 
@@ -36,12 +38,21 @@ def needed(size, t: float):
     return np.ceil(np.asarray(size) * t - 1e-9).astype(np.int64)
 
 
+def parity(g: np.ndarray) -> bytes:
+    """Bitmap of 2 to 4 bits per gram: whether an odd number of grams falls on a bit.  A bitmap is
+    folded to half its width by XOR of its halves."""
+    width = max(64, 1 << (2 * len(g) - 1).bit_length())
+    return np.packbits(np.bincount((g & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1).tobytes()
+
+
 def _profile(n: int):
+    names = ["doc_id", "size", "hi", "lo", "bits", "chunk", "blob"]
+
     def run(batches):
         cache, sketch = C.HashCache(), np.zeros(1 << SKETCH_BITS, np.uint32)
         for b in batches:
-            ids, size, hi, lo = [], [], [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            ids, size, hi, lo, bits = [], [], [], [], []
+            for doc, text in zip(b.column(0).to_pylist(), C.each(b.column(1))):
                 g = C.ngram_set(text, n, cache)
                 if not len(g):
                     continue
@@ -51,12 +62,13 @@ def _profile(n: int):
                     lo.append(int(C.mix(g ^ np.uint64(0x5851F42D4C957F2D)).sum()))
                 ids.append(doc)
                 size.append(len(g))
+                bits.append(parity(g))
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(size, pa.int32()), signed(hi), signed(lo), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names=["doc_id", "size", "hi", "lo", "chunk", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(size, pa.int32()), signed(hi), signed(lo), pa.array(bits, pa.binary()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names=names)
         if sketch.any():
-            parts = sketch.reshape(-1, 1 << CHUNK_BITS)
+            parts = np.minimum(sketch, 255).astype(np.uint8).reshape(-1, 1 << CHUNK_BITS)
             k = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array([np.minimum(p, 65535).astype(np.uint16).tobytes() if p.max() < 65536 else p.tobytes() for p in parts], pa.binary())], names=["doc_id", "size", "hi", "lo", "chunk", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
     return run
 
@@ -64,7 +76,7 @@ def _profile(n: int):
 def _add_chunks(pdf: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(1 << CHUNK_BITS, np.uint32)
     for b in pdf["blob"]:
-        total += np.frombuffer(b, np.uint16 if len(b) == 2 << CHUNK_BITS else np.uint32)
+        total += np.frombuffer(b, np.uint8)
     return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "blob": [total.tobytes()]})
 
 
@@ -84,7 +96,7 @@ def _signatures(n: int, t: float, bound: int, shards: int, rank_b):
         cache, rank = C.HashCache(), rank_b.value
         for b in batches:
             out = {0: ([], [], [], []), 1: ([], [], [], [])}
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc, text in zip(b.column(0).to_pylist(), C.each(b.column(1))):
                 g = C.ngram_set(text, n, cache)
                 if not len(g):
                     continue
@@ -127,7 +139,7 @@ def _signatures(n: int, t: float, bound: int, shards: int, rank_b):
     return run
 
 
-PAIR_STEP = 1_000_000
+PAIR_STEP = 500_000
 _PACKED = "blk int, a binary, b binary, need binary, k binary"
 
 
@@ -221,26 +233,79 @@ def _candidates(pdf: pd.DataFrame) -> pd.DataFrame:
     return out.drop_duplicates()
 
 
+def _fold(bits: np.ndarray, width: int) -> np.ndarray:
+    while len(bits) * 8 > width:
+        half = len(bits) // 2
+        bits = bits[:half] ^ bits[half:]
+    return bits
+
+
+def _compare_bitmaps(t: float):
+    """Pairs that the bitmaps allow: |x ^ y| >= bits that differ, and <= what t permits."""
+
+    def run(key, maps: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        rows: dict[int, list[int]] = {}
+        for i, d in enumerate(maps["doc_id"]):
+            rows.setdefault(d, []).append(i)
+        size = maps["size"].to_numpy(np.int64)
+        raw = [np.frombuffer(b, np.uint8) for b in maps["bits"]]
+        wide = np.array([len(b) * 8 for b in raw], np.int64)
+        at, x, y = [], [], []
+        for k, (a, b) in enumerate(zip(pairs["a"].tolist(), pairs["b"].tolist())):
+            for i in rows.get(a, ()):
+                for j in rows.get(b, ()):
+                    at.append(k)
+                    x.append(i)
+                    y.append(j)
+        at, x, y = (np.array(v, np.int64) for v in (at, x, y))
+        ok = np.zeros(len(pairs), bool)
+        width = np.minimum(wide[x], wide[y]) if len(x) else np.zeros(0, np.int64)
+        for w in np.unique(width):
+            of = np.flatnonzero(width == w)
+            used, pos = np.unique(np.concatenate([x[of], y[of]]), return_inverse=True)
+            m = np.stack([_fold(raw[i], int(w)) for i in used])
+            step = max(1, (8 << 20) // m.shape[1])
+            for lo in range(0, len(of), step):
+                o = of[lo : lo + step]
+                differ = np.bitwise_count(m[pos[lo : lo + len(o)]] ^ m[pos[len(of) + lo : len(of) + lo + len(o)]]).sum(1, dtype=np.int64)
+                both = size[x[o]] + size[y[o]]
+                ok[at[o[differ <= both - 2 * needed(both, t / (1 + t))]]] = True
+        return pairs.loc[ok, ["a", "b"]]
+
+    return run
+
+
 def _sets(n: int):
     def run(batches):
         cache = C.HashCache()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([C.ngram_set(x, n, cache).tobytes() for x in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "grams"])
+            # 40 bits of each hash, still sorted: equal grams stay equal, others collide once in 10^12
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([(C.ngram_set(x, n, cache) >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for x in C.each(b.column(1))], pa.binary())], names=["doc_id", "grams"])
 
     return run
 
 
+def _unpack(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
+    return out.view(np.uint64).reshape(-1)
+
+
 def _verify(t: float):
     def run(key, sets: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         have: dict[int, list[np.ndarray]] = {}
         for d, b in zip(sets["doc_id"], sets["grams"]):
-            have.setdefault(d, []).append(np.frombuffer(b, np.uint64))
+            have.setdefault(d, []).append(_unpack(b))
         out = []
-        for a, b in zip(pairs["a"], pairs["b"]):
+        for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist()):
             best = 0.0
             for x in have.get(a, ()):
                 for y in have.get(b, ()):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if len(x) > len(y):
+                        x, y = y, x
+                    at = np.searchsorted(y, x)
+                    at[at == len(y)] = 0
+                    both = int(np.count_nonzero(y[at] == x))
                     best = max(best, both / (len(x) + len(y) - both))
             if best >= t:
                 out.append((a, b, best))
@@ -273,7 +338,7 @@ def similar_classes(docs: DataFrame, n: int = NGRAM, t: float = THRESHOLD) -> tu
     holds the similar pairs of representatives.  Compact: no class is expanded."""
     spark = docs.sparkSession
     src = C.require(docs, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    prof = C.table(src.mapInArrow(_profile(n), "doc_id long, size int, hi long, lo long, chunk int, blob binary"), "ngram-profile")
+    prof = C.table(src.mapInArrow(_profile(n), "doc_id long, size int, hi long, lo long, bits binary, chunk int, blob binary"), "ngram-profile")
     sketch = np.zeros((1 << SKETCH_BITS - CHUNK_BITS, 1 << CHUNK_BITS), np.uint32)
     for r in prof.where("chunk IS NOT NULL").select("chunk", "blob").groupBy("chunk").applyInPandas(_add_chunks, "chunk int, blob binary").collect():
         sketch[r.chunk] = np.frombuffer(r.blob, np.uint32)
@@ -299,21 +364,33 @@ def similar_classes(docs: DataFrame, n: int = NGRAM, t: float = THRESHOLD) -> tu
     blocks = reps.mapInArrow(_signatures(n, t, bound, shards, rank_b), "shard int, keys binary, docs binary, sizes binary, lasts binary")
     met = blocks.groupBy("shard").applyInPandas(_pairs(t, bound, shards), _PACKED)
     cand = C.table(met.groupBy("blk").applyInPandas(_candidates, "a long, b long"), "ngram-candidates")
-    ids = cand.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    n_ids = ids.count()
-    if not n_ids:
-        return members, spark.createDataFrame([], "doc_a long, doc_b long, jaccard double")
-    bytes_ = n_ids * 8 * max(64, total // max(1, sum(c for _, c in hist)))
-    side = max(3, math.ceil(math.sqrt(2 * bytes_ / VERIFY_BYTES)))
-    blk = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
-    pair = cand.withColumn("ga", F.least(blk("a"), blk("b"))).withColumn("gb", F.greatest(blk("a"), blk("b")))
-    where = pair.select(F.col("ga").alias("pa"), F.col("gb").alias("pb"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    vec = src.join(C.small(ids, n_ids, 16), "doc_id", "left_semi").mapInArrow(_sets(n), "doc_id long, grams binary")
-    placed = vec.join(where, "doc_id").select("pa", "pb", "doc_id", "grams")
-    pairs = placed.groupBy("pa", "pb").cogroup(pair.groupBy("ga", "gb")).applyInPandas(_verify(t), "doc_a long, doc_b long, jaccard double")
+    n_sets = sum(c for _, c in hist)
+    grams = max(16, total // max(1, n_sets))
+    close = _by_blocks(cand, prof.where("chunk IS NULL").select("doc_id", "size", "bits"), grams // 2, _compare_bitmaps(t), "a long, b long")
+    cand = C.table(close, "ngram-close")
+    sets_of = lambda ids: src.join(ids, "doc_id", "left_semi").mapInArrow(_sets(n), "doc_id long, grams binary")
+    pairs = _by_blocks(cand, sets_of, grams * 5, _verify(t), "doc_a long, doc_b long, jaccard double")
     return members, C.table(pairs, "ngram-pairs")
 
 
+def _by_blocks(pairs: DataFrame, side, row_bytes: int, check, schema: str) -> DataFrame:
+    """Run ``check`` on pairs (a, b) together with the rows of ``side`` for their documents.
+
+    Documents fall into blocks, and a document goes once to each pair of blocks in which it has a
+    pair: a group's memory is bounded and large groups of similar documents don't multiply rows.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    n = ids.count()
+    blocks = max(2, math.ceil(math.sqrt(2 * n * row_bytes / VERIFY_BYTES)))
+    blk = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    pair = pairs.withColumn("ga", F.least(blk("a"), blk("b"))).withColumn("gb", F.greatest(blk("a"), blk("b")))
+    where = pair.select(F.col("ga").alias("pa"), F.col("gb").alias("pb"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = C.small(ids, n, 16)
+    rows = side(ids) if callable(side) else side.join(ids, "doc_id", "left_semi")
+    placed = rows.join(C.small(where, where.count(), 24), "doc_id")
+    return placed.groupBy("pa", "pb").cogroup(pair.groupBy("ga", "gb")).applyInPandas(check, schema)
+
+
 def ngram_jaccard_join(docs: DataFrame, n: int = NGRAM, t: float = THRESHOLD) -> DataFrame:
     """Every pair doc_a < doc_b of documents whose word n-gram sets have Jaccard >= ``t``.
 
