@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +73,16 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """Differences of neighbours, compressed: for columns that are sorted or come in runs."""
+    d = np.diff(values, prepend=values.dtype.type(0))
+    return zstandard.ZstdCompressor(level=1).compress(d.tobytes())
+
+
+def unsqueeze(blob: bytes, dtype) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype), dtype=dtype)
+
+
 def each(column):
     """Values of an Arrow column one by one, never all as Python objects at once."""
     return (x.as_py() for x in column)

@@ -129,9 +129,9 @@ def _signatures(n: int, t: float, bound: int, shards: int, rank_b):
                     [
                         pa.array([kind * shards + k for k, _ in rows], pa.int32()),
                         pa.array([(key[x] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for _, x in rows], pa.binary()),
-                        pa.array([doc[x].tobytes() for _, x in rows], pa.binary()),
-                        pa.array([size[x].tobytes() for _, x in rows], pa.binary()),
-                        pa.array([last[x].tobytes() for _, x in rows], pa.binary()),
+                        pa.array([C.squeeze(doc[x]) for _, x in rows], pa.binary()),
+                        pa.array([C.squeeze(size[x]) for _, x in rows], pa.binary()),
+                        pa.array([C.squeeze(last[x]) for _, x in rows], pa.binary()),
                     ],
                     names=["shard", "keys", "docs", "sizes", "lasts"],
                 )
@@ -158,7 +158,8 @@ def _pairs(t: float, bound: int, shards: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         kind = int(pdf["shard"].iloc[0]) // shards
         none = pd.DataFrame({"blk": [], "a": [], "b": [], "need": [], "k": []})
-        key, doc, size, last = (np.concatenate([np.frombuffer(b, d) for b in pdf[c]]) for c, d in (("keys", np.uint32), ("docs", np.int64), ("sizes", np.int32), ("lasts", np.uint32)))
+        key = np.concatenate([np.frombuffer(b, np.uint32) for b in pdf["keys"]])
+        doc, size, last = (np.concatenate([C.unsqueeze(b, d) for b in pdf[c]]) for c, d in (("docs", np.int64), ("sizes", np.int32), ("lasts", np.uint32)))
         del pdf
         by = np.argsort(key, kind="stable")
         k = key[by]
@@ -214,15 +215,15 @@ def _pairs(t: float, bound: int, shards: int):
         blk = (C.mix(ent.d[x].view(np.uint64)) % np.uint64(4 * shards)).astype(np.int32)
         by = np.argsort(blk, kind="stable")
         cuts = np.searchsorted(blk[by], np.arange(4 * shards + 1))
-        rows = [(j, by[cuts[j] : cuts[j + 1]]) for j in range(4 * shards) if cuts[j + 1] > cuts[j]]
-        return pd.DataFrame([(j, ent.d[x[i]].tobytes(), ent.d[y[i]].tobytes(), need[i].tobytes(), n[i].astype(np.int32).tobytes()) for j, i in rows], columns=["blk", "a", "b", "need", "k"])
+        rows = [(j, by[cuts[j] : cuts[j + 1]]) for j in range(4 * shards) if cuts[j + 1] > cuts[j]]  # sorted by pair
+        return pd.DataFrame([(j, C.squeeze(ent.d[x[i]]), C.squeeze(ent.d[y[i]]), C.squeeze(need[i]), C.squeeze(n[i].astype(np.int32))) for j, i in rows], columns=["blk", "a", "b", "need", "k"])
 
     return run
 
 
 def _candidates(pdf: pd.DataFrame) -> pd.DataFrame:
     """Pairs whose meetings, over all shards, leave a similarity of the threshold possible."""
-    rows = np.rec.fromarrays([np.concatenate([np.frombuffer(b, d) for b in pdf[c]]) for c, d in (("a", np.int64), ("b", np.int64), ("need", np.int32), ("k", np.int32))], names="a,b,need,k")
+    rows = np.rec.fromarrays([np.concatenate([C.unsqueeze(b, d) for b in pdf[c]]) for c, d in (("a", np.int64), ("b", np.int64), ("need", np.int32), ("k", np.int32))], names="a,b,need,k")
     by = np.lexsort((rows.need, rows.b, rows.a))
     rows = rows[by]
     new = np.ones(len(rows), bool)
