@@ -1,11 +1,606 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables, and the SQL that states their results."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import ids
+from ..functions.spans import Policy
+from ..functions.text import tokens
+from ..operators import answering as A
+from ..operators import chunking as C
+from ..operators import evaluation as E
+from ..operators import extraction as X
+from ..operators import filters as L
+from ..operators import modality as M
+from ..operators import retrieval as R
+from ..operators import store as S
+
+QUESTION = "the and of that hation thing onre"
+DIM = 128
+_DIGITS = 6
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _chunks(spark, d) -> DataFrame:
+    return _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "lang", "source", "n_chars")
+
+
+def _question(spark) -> DataFrame:
+    return spark.createDataFrame([(0, QUESTION)], "query_id long, query string")
+
+
+def _bench(spark, d) -> DataFrame:
+    return _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def _round(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, _DIGITS) for c in cols})
+
+
+def _ranked(df: DataFrame) -> DataFrame:
+    return _round(df, "relevance").select("query_id", "chunk_id", "relevance", "rank")
+
+
+def _parts(spark, d) -> DataFrame:
+    return _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.lit("text-0").alias("part_id"), F.lit(0).alias("ordinal"), "text", F.lit(0).alias("start"))
+
+
+# --- lexical ------------------------------------------------------------------------------------
+
+
+def corpus_stats(spark, d):
+    return _round(R.corpus_stats(_chunks(spark, d)), "avgdl")
+
+
+def postings_df(spark, d):
+    return R.postings(_chunks(spark, d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def idf_table(spark, d):
+    c = _chunks(spark, d)
+    n = R.corpus_stats(c).select("n")
+    df = R.postings(c).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))
+    return df.select("term", F.round(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), _DIGITS).alias("idf"))
+
+
+def bm25_topk(spark, d):
+    return _ranked(R.bm25(_chunks(spark, d), _question(spark), 20))
+
+
+def bm25_topk_filtered(spark, d):
+    c = _chunks(spark, d).join(_t(spark, d, "labels").withColumnRenamed("doc_id", "chunk_id"), "chunk_id", "left")
+    where = L.All((L.Compare("lang", "eq", "en"), L.Not(L.Compare("toxic", "eq", 1)), L.Compare("n_chars", "gte", 200)))
+    return _ranked(R.bm25(c, _question(spark), 20, where=where))
+
+
+def bm25_batch(spark, d):
+    return _ranked(R.bm25(_chunks(spark, d), _bench(spark, d), 10))
+
+
+_FOLD = "replace(lower({}), 'ß', 'ss')"
+_TOK = r"regexp_extract_all(" + _FOLD + r", '[\p{{L}}\p{{N}}]+')"
+
+
+def _bm25_sql(k: int, docs: str = "SELECT doc_id AS chunk_id, text FROM documents", queries: str | None = None) -> str:
+    queries = queries or f"SELECT 0::BIGINT AS query_id, '{QUESTION}' AS query"
+    return f"""
+WITH docs AS ({docs}), queries AS ({queries}),
+tok AS (SELECT chunk_id, {_TOK.format('text')} AS t FROM docs),
+st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
+qt AS (SELECT query_id, term, count(*) AS qf, min(pos) AS qpos FROM
+  (SELECT query_id, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM (SELECT query_id, {_TOK.format('query')} AS t FROM queries)) GROUP BY 1, 2),
+wanted AS (SELECT DISTINCT term FROM qt),
+p AS (SELECT term, chunk_id, dl, count(*) AS tf FROM (SELECT chunk_id, len(t) AS dl, unnest(t) AS term FROM tok) SEMI JOIN wanted USING (term) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+s AS (SELECT query_id, chunk_id, sum(qf * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) ORDER BY qpos) AS relevance
+  FROM p JOIN df USING (term) JOIN qt USING (term) CROSS JOIN st GROUP BY 1, 2),
+bm25 AS (SELECT * FROM (SELECT query_id, chunk_id, relevance, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, chunk_id)::INTEGER AS rank FROM s WHERE relevance > 0) WHERE rank <= {k})
+"""
+
+
+_RANKED = f"SELECT query_id, chunk_id, round(relevance, {_DIGITS}) AS relevance, rank FROM "
+_BENCH_SQL = "SELECT item_id AS query_id, text AS query FROM benchmark"
+
+
+# --- dense --------------------------------------------------------------------------------------
+
+
+def hash_embed(spark, d):
+    return _round(R.hash_embedding_cells(_chunks(spark, d), DIM), "value")
+
+
+def _hash_sql(src: str, name: str) -> str:
+    tok = r"regexp_extract_all(" + _FOLD.format("text") + r", '[\p{L}\p{N}_]+')"
+    return f"""
+{name}_t AS (SELECT chunk_id, unnest({tok}) AS t FROM {src}),
+{name}_c AS (SELECT chunk_id, (('0x' || substr(sha256(t), 1, 8))::UBIGINT % {DIM})::INTEGER AS i,
+  sum(CASE WHEN ('0x' || substr(sha256(t), 9, 2))::UBIGINT % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS v FROM {name}_t GROUP BY 1, 2),
+{name}_n AS (SELECT chunk_id, sqrt(sum(v * v)) AS norm FROM {name}_c GROUP BY 1),
+{name} AS (SELECT chunk_id, i, v / norm AS value FROM {name}_c JOIN {name}_n USING (chunk_id) WHERE norm > 0 AND v <> 0
+  UNION ALL SELECT chunk_id, 0, 1.0::DOUBLE FROM {src} LEFT JOIN {name}_n USING (chunk_id) WHERE coalesce(norm, 0) = 0)"""
+
+
+_DOCS_SQL = "docs AS (SELECT doc_id AS chunk_id, text FROM documents)"
+
+
+def _vectors(spark, d):
+    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), R.unit(F.col("embedding")).alias("vec"), "label")
+
+
+def _label_queries(v: DataFrame) -> DataFrame:
+    """The first vector of each label asks for its neighbours."""
+    q = v.groupBy("label").agg(F.min_by("vec", "chunk_id").alias("qvec"))
+    return q.select(F.col("label").cast("long").alias("query_id"), "qvec")
+
+
+def dense_topk(spark, d):
+    v = _vectors(spark, d)
+    return _ranked(R.dense(v, _label_queries(v), 10))
+
+
+def dense_topk_filtered(spark, d):
+    v = _vectors(spark, d)
+    return _ranked(R.dense(v, _label_queries(v), 10, where=L.In("label", (1, 3, 5))))
+
+
+def cosine_distance_topk(spark, d):
+    v = _vectors(spark, d)
+    out = R.dense(v, _label_queries(v), 10, metric="cosine_distance")
+    return _round(out, "relevance", "raw_score").select("query_id", "chunk_id", "raw_score", "relevance", "rank")
+
+
+def _dense_sql(where: str = "true", distance: bool = False) -> str:
+    score = "-(1 - d)" if distance else "d"
+    extra = f"round(1 - d, {_DIGITS}) AS raw_score, " if distance else ""
+    return f"""
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+u AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e),
+q AS (SELECT label::BIGINT AS query_id, arg_min(v, vec_id) AS qv FROM u GROUP BY 1),
+s AS (SELECT query_id, vec_id AS chunk_id, list_dot_product(v, qv) AS d FROM u CROSS JOIN q WHERE {where}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, chunk_id)::INTEGER AS rank FROM s)
+SELECT query_id, chunk_id, {extra}round({score}, {_DIGITS}) AS relevance, rank FROM r WHERE rank <= 10
+"""
+
+
+# --- fusion and reranking -------------------------------------------------------------------------
+
+
+def _fused(spark, d, k=10):
+    c, n = _chunks(spark, d), R.depth(10)
+    q = _question(spark)
+    sparse = R.bm25(c, q, n)
+    qcells = R.hash_embedding_cells(q.select(F.col("query_id").alias("chunk_id"), F.col("query").alias("text")), DIM).select(F.col("chunk_id").alias("query_id"), "i", F.col("value").alias("qv"))
+    # the dot product of hashed vectors is an equi-join on their cells: no dense vector is built
+    near = R.hash_embedding_cells(c, DIM).join(F.broadcast(qcells), "i").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("value") * F.col("qv")), 9).alias("relevance"))
+    every = c.select("chunk_id").crossJoin(F.broadcast(q.select("query_id"))).join(near, ["query_id", "chunk_id"], "left").withColumn("relevance", F.coalesce("relevance", F.lit(0.0)))
+    return R.rrf([sparse, R.top_k(every, n)], k)
+
+
+def rrf_hybrid(spark, d):
+    return _ranked(_fused(spark, d))
+
+
+_RRF_SQL = _bm25_sql(40) + f""", qd AS (SELECT query_id AS chunk_id, query AS text FROM queries),
+{_hash_sql('docs', 'he')}, {_hash_sql('qd', 'hq')},
+nz AS (SELECT he.chunk_id, round(sum(he.value * hq.value), 9) AS d FROM he JOIN hq USING (i) GROUP BY 1),
+dn AS (SELECT chunk_id, coalesce(d, 0) AS relevance, row_number() OVER (ORDER BY coalesce(d, 0) DESC, chunk_id) AS rank FROM docs LEFT JOIN nz USING (chunk_id)),
+f AS (SELECT 0::BIGINT AS query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS relevance FROM
+  (SELECT chunk_id, rank FROM bm25 UNION ALL SELECT chunk_id, rank FROM dn WHERE rank <= 40) GROUP BY 2),
+r AS (SELECT *, row_number() OVER (ORDER BY relevance DESC, chunk_id)::INTEGER AS rank FROM f)
+{_RANKED} r WHERE rank <= 10"""
+
+
+def rrf_conflict_check(spark, d):
+    """Sources that hold the same documents but, in the second, texts in lower case."""
+    c = _chunks(spark, d).select(F.lit(0).cast("long").alias("query_id"), "chunk_id", "text")
+    both = c.withColumn("source", F.lit(0)).unionByName(c.withColumn("text", F.lower("text")).withColumn("source", F.lit(1)))
+    return R.rrf_conflicts(both)
+
+
+def rerank_noop(spark, d):
+    return _ranked(R.rerank(R.bm25(_chunks(spark, d), _bench(spark, d), 20), 5))
+
+
+def rerank_stub(spark, d):
+    c = _chunks(spark, d).select("chunk_id", "text")
+    found = R.bm25(c, _bench(spark, d), 20).join(c, "chunk_id").join(F.broadcast(_bench(spark, d)), "query_id")
+    return _ranked(R.rerank(found, 5, score=F.round(R.overlap_score(F.col("query"), F.col("text")), 9)))
+
+
+_RERANK_SQL = _bm25_sql(20, queries=_BENCH_SQL) + f""", x AS (SELECT query_id, chunk_id, list_distinct({_TOK.format('query')}) AS q, list_distinct({_TOK.format('text')}) AS t FROM bm25 JOIN docs USING (chunk_id) JOIN queries USING (query_id)),
+y AS (SELECT query_id, chunk_id, round(len(list_intersect(q, t))::DOUBLE / len(q), 9) AS relevance FROM x),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, chunk_id)::INTEGER AS rank FROM y)
+{_RANKED} r WHERE rank <= 5"""
+
+
+# --- chunking -------------------------------------------------------------------------------------
+
+SIZE, OVERLAP = 600, 80
+
+
+def _native(spark, d, spans):
+    return C.explode_spans(_t(spark, d, "documents"), spans, "doc_id").select("doc_id", "ordinal", "start", "end", "text")
+
+
+def chunk_windows_fixed(spark, d):
+    return _native(spark, d, C.windows(F.col("text"), SIZE))
+
+
+def chunk_windows_sliding(spark, d):
+    return _native(spark, d, C.windows(F.col("text"), SIZE, SIZE - OVERLAP))
+
+
+def chunk_evidence(spark, d):
+    w = _native(spark, d, C.windows(F.col("text"), SIZE))
+    return w.select("doc_id", "start", "end", F.concat(F.lit("text-0/row-"), F.col("ordinal").cast("string")).alias("structural_path"))
+
+
+def sentence_spans(spark, d):
+    return _native(spark, d, C.tiles(F.col("text"), C.SENTENCES))
+
+
+def pack_sentence_tiles(spark, d):
+    """Sentences packed up to the limit; one that exceeds it stays whole."""
+    docs = _t(spark, d, "documents").select("doc_id", C.packed(C.tiles(F.col("text"), C.SENTENCES), SIZE).alias("p"))
+    return docs.select("doc_id", F.posexplode("p").alias("ordinal", "s")).select("doc_id", "ordinal", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+
+
+_WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _window_sql(step: int, select: str) -> str:
+    stop = "len(text)" if step == SIZE else f"greatest(0, ceil((len(text) - {SIZE}) / {step}.0)::BIGINT * {step}) + 1"
+    return f"""
+WITH w AS (SELECT doc_id, i, substr(text, i + 1, {SIZE}) AS p FROM (SELECT doc_id, text, unnest(range(0, {stop}, {step})) AS i FROM documents WHERE len(text) > 0)),
+s AS (SELECT doc_id, i, (i + len(p) - len(ltrim(p, {_WS})))::INTEGER AS start, trim(p, {_WS}) AS text FROM w),
+k AS (SELECT doc_id, i, start, (start + len(text))::INTEGER AS "end", text FROM s WHERE len(text) > 0),
+o AS (SELECT *, lag(start) OVER v AS ps, lag("end") OVER v AS pe FROM k WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
+z AS (SELECT doc_id, start, "end", text, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS ordinal FROM o WHERE ps IS NULL OR ps <> start OR pe <> "end")
+SELECT {select} FROM z"""
+
+
+_TILE_SQL = rf"""
+WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(text, '(?s).*?(?:[.!?]+(?:\s|$)|$)'), lambda x: x <> '') AS t FROM documents),
+e AS (SELECT doc_id, unnest(t) AS p, generate_subscripts(t, 1) AS n FROM t),
+a AS (SELECT doc_id, n, p, sum(len(p)) OVER (PARTITION BY doc_id ORDER BY n) - len(p) AS pos FROM e),
+s AS (SELECT doc_id, n, (pos + len(p) - len(ltrim(p, {_WS})))::INTEGER AS start, trim(p, {_WS}) AS text FROM a),
+z AS (SELECT doc_id, start, (start + len(text))::INTEGER AS "end", text, (row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1)::INTEGER AS ordinal FROM s WHERE len(text) > 0)
+"""
+
+_PACK_SQL = _TILE_SQL + f""", l AS (SELECT doc_id, list({{'s': start, 'e': "end", 'o': []::STRUCT(s INTEGER, e INTEGER)[]}} ORDER BY ordinal) AS u FROM z GROUP BY 1),
+f AS (SELECT doc_id, list_reduce(u, lambda a, x: CASE WHEN x.e - a.s <= {SIZE} THEN {{'s': a.s, 'e': x.e, 'o': a.o}} ELSE {{'s': x.s, 'e': x.e, 'o': list_append(a.o, {{'s': a.s, 'e': a.e}})}} END) AS r FROM l),
+g AS (SELECT doc_id, list_append(r.o, {{'s': r.s, 'e': r.e}}) AS o FROM f),
+h AS (SELECT doc_id, unnest(o) AS x, generate_subscripts(o, 1) - 1 AS ordinal FROM g)
+SELECT doc_id, ordinal::INTEGER AS ordinal, x.s AS start, x.e AS "end" FROM h"""
+
+
+def _strategy(name: str, text=None, **kw):
+    def run(spark, d):
+        parts = _parts(spark, d)
+        if text is not None:
+            parts = parts.withColumn("text", text(F.col("text")))
+        return C.chunk_text(parts, Policy(name, max_chars=SIZE, overlap_chars=OVERLAP, **kw)).select("document_id", "ordinal", "start", "end", "structural_path", "document_domain")
+
+    run.__doc__ = f"Strategy {name} over all documents."
+    return run
+
+
+def _blank_lines(t):
+    return F.replace(t, F.lit("\n"), F.lit("\n\n"))
+
+
+def _headed(prefix: str):
+    """Every line under a heading of its own, so that structured strategies have structure."""
+    return lambda t: F.concat(F.lit(prefix), F.replace(t, F.lit("\n"), F.lit("\n\n" + prefix)))
+
+
+STRATEGIES = {
+    "chunk_fixed": _strategy("fixed"),
+    "chunk_sliding_window": _strategy("sliding_window"),
+    "chunk_recursive": _strategy("recursive"),
+    "chunk_sentence": _strategy("sentence"),
+    "chunk_paragraph": _strategy("paragraph", _blank_lines),
+    "chunk_semantic": _strategy("semantic", semantic_threshold=0.1),
+    "chunk_proposition": _strategy("proposition"),
+    "chunk_section": _strategy("section", _headed("# Part\n\n## Line\n\n")),
+    "chunk_hierarchical": _strategy("hierarchical", _headed("# Part\n\n## Line\n\n")),
+    "chunk_book": _strategy("book", _headed("Chapter 1: Start\n\n")),
+    "chunk_legal": _strategy("legal", _headed("Section 1.1 Terms\n\n")),
+    "chunk_medical": _strategy("medical", _headed("Findings: none\n\n")),
+    "chunk_code": _strategy("code", _headed("def part():\n    ")),
+    "chunk_table_text": _strategy("table"),
+}
+
+
+def chunk_conversation(spark, d):
+    t = _t(spark, d, "conversations")
+    line = F.concat(F.col("role"), F.lit(": "), F.col("text"))
+    whole = t.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
+    parts = whole.select(F.col("conv_id").cast("string").alias("document_id"), F.lit("text-0").alias("part_id"), F.lit(0).alias("ordinal"), "text", F.lit(0).alias("start"))
+    return C.chunk_text(parts, Policy("conversation", max_chars=SIZE)).select("document_id", "ordinal", "start", "end", "structural_path", "document_domain")
+
+
+def chunk_table_rows(spark, d):
+    """Suppliers as sheets by nation: a header cell for each column labels the cells below it."""
+    s = _t(spark, d, "supplier").select("s_nationkey", "s_suppkey", "s_name", F.round("s_acctbal", 2).cast("decimal(15,2)").alias("s_acctbal"))
+    cols = ("s_suppkey", "s_name", "s_acctbal")
+    doc = F.concat(F.lit("nation-"), F.col("s_nationkey").cast("string"))
+    loc = lambda row: F.struct(F.lit("cell").alias("kind"), F.lit("S").alias("sheet"), row.cast("string").alias("start_row"), F.lit(0).alias("page"), F.lit(0.0).alias("y0"), F.lit(0.0).alias("y1"))
+    link = lambda c: F.array(F.struct(F.lit(f"h-{c}").alias("target_part_id"), F.lit("labeled_by").alias("kind")))
+    row = F.row_number().over(W.partitionBy("s_nationkey").orderBy("s_suppkey"))
+    body = s.withColumn("row", row).select(doc.alias("document_id"), "row", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("c"), F.col(c).cast("string").alias("text"), link(c).alias("relations")) for i, c in enumerate(cols)])).alias("x"))
+    body = body.select("document_id", (F.col("row") * 3 + F.col("x.i")).alias("ordinal"), F.concat_ws("-", F.lit("r"), F.col("row"), F.col("x.c")).alias("part_id"), F.col("x.text").alias("text"), loc(F.col("row")).alias("locator"), F.col("x.relations").alias("relations"))
+    heads = s.select(doc.alias("document_id")).distinct().select("document_id", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(cols)])).alias("x"))
+    heads = heads.select("document_id", F.col("x.i").alias("ordinal"), F.concat(F.lit("h-"), F.col("x.c")).alias("part_id"), F.col("x.c").alias("text"), loc(F.lit(0)).alias("locator"), F.array().cast(body.schema["relations"].dataType).alias("relations"))
+    out = M.table_rows(body.unionByName(heads))
+    return out.select("document_id", "ordinal", "text", F.size("part_ids").alias("n_parts"))
+
+
+def span_overlap_join(spark, d):
+    docs = _t(spark, d, "documents")
+    w = C.explode_spans(docs, C.windows(F.col("text"), SIZE), "doc_id").select(F.col("doc_id").alias("document_id"), F.col("ordinal").alias("span"), "start", "end")
+    s = C.explode_spans(docs, C.tiles(F.col("text"), C.SENTENCES), "doc_id").select(F.col("doc_id").alias("document_id"), F.col("ordinal").alias("part"), "start", "end")
+    return M.touched_parts(w, s)
+
+
+_SPAN_SQL = _TILE_SQL + f""", w AS (SELECT doc_id, i, substr(text, i + 1, {SIZE}) AS p FROM (SELECT doc_id, text, unnest(range(0, len(text), {SIZE})) AS i FROM documents)),
+ws AS (SELECT doc_id, i, i + len(p) - len(ltrim(p, {_WS})) AS start, trim(p, {_WS}) AS b FROM w),
+wz AS (SELECT doc_id, start, start + len(b) AS "end", (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS span FROM ws WHERE len(b) > 0)
+SELECT wz.doc_id AS document_id, span, z.ordinal AS part FROM wz JOIN z ON wz.doc_id = z.doc_id AND z.start < wz."end" AND z."end" > wz.start"""
+
+_CHUNKER = ids.component_id("chunker", "windows", {"max_chars": SIZE})
+
+
+def chunk_ids(spark, d):
+    w = _native(spark, d, C.windows(F.col("text"), SIZE))
+    made = ids.chunk_id_sql(_CHUNKER, F.concat(F.lit("doc-"), F.col("doc_id").cast("string")), F.lit("text-0"), F.col("start"), F.col("end"), F.col("text"))
+    return w.select("doc_id", "ordinal", made.alias("chunk_id"))
+
+
+_IDS_SQL = _window_sql(SIZE, "doc_id, ordinal, 'chk_v1_' || sha256('{\"namespace\":\"marlstone:chunk:v1\",\"payload\":{\"chunker\":\"" + _CHUNKER + "\",\"document_id\":\"doc-' || doc_id || '\",\"parts\":[{\"locator\":{\"end\":' || \"end\" || ',\"kind\":\"text_span\",\"start\":' || start || '},\"part_id\":\"text-0\"}],\"representation\":' || to_json(text) || '}}') AS chunk_id")
+
+
+# --- extraction, filters, stores ------------------------------------------------------------------
+
+
+def html_text_spans(spark, d):
+    return X.html_text(_t(spark, d, "pages"))
+
+
+def asset_dedup(spark, d):
+    a = _t(spark, d, "documents").groupBy(F.sha2("text", 256).alias("sha256"))
+    return a.agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc_id")).where("n > 1")
+
+
+def asset_identity(spark, d):
+    p = _t(spark, d, "pages")
+    return p.select("page_id", F.concat(F.lit("asset-"), F.sha2("url", 256)).alias("asset_id"), F.length(F.encode("html", "utf-8")).cast("long").alias("size_bytes"))
+
+
+_FILTERS = {
+    "filter_eq": (L.Compare("k", "eq", 3), "k = 3"),
+    "filter_ne": (L.Compare("k", "ne", 3), "k IS NULL OR k <> 3"),
+    "filter_in": (L.In("k", (1, 2, 5.0)), "k IN (1, 2, 5)"),
+    "filter_range": (L.All((L.Compare("k", "gte", 2), L.Compare("k", "lt", 40))), "k >= 2 AND k < 40"),
+    "filter_logic": (L.AnyOf((L.Not(L.Compare("k", "gt", 5)), L.All((L.Compare("k", "eq", 7), L.Compare("missing", "eq", None))))), "NOT coalesce(k > 5, false) OR k = 7"),
+    "filter_null": (L.Compare("missing", "ne", None), "false"),
+    "filter_type": (L.Compare("k", "gt", "1"), "false"),
+}
+
+
+def _filter(node):
+    def run(spark, d):
+        e = _t(spark, d, "events").select("event_id", F.parse_json("props").alias("m"))
+        return e.where(L.compile_filter(node, L.VariantFields("m"))).select("event_id")
+
+    return run
+
+
+def _filter_sql(cond: str) -> str:
+    return f"SELECT event_id FROM (SELECT event_id, (props->>'k')::DOUBLE AS k FROM events) WHERE {cond}"
+
+
+def _changed(spark, d):
+    toxic = _t(spark, d, "labels").where("toxic = 1").select("doc_id")
+    return _t(spark, d, "documents").join(toxic, "doc_id", "left_semi").select(F.col("doc_id").alias("chunk_id"), F.upper("lang").alias("lang"), "n_chars")
+
+
+def upsert_merge(spark, d):
+    old = _chunks(spark, d).select("chunk_id", "lang", "n_chars")
+    return S.merged(old, _changed(spark, d))
+
+
+def delete_anti(spark, d):
+    return S.without(_chunks(spark, d).select("chunk_id", "lang"), _changed(spark, d))
+
+
+def sparse_conflicts(spark, d):
+    return S.conflicts(_chunks(spark, d).select("chunk_id", "lang", "n_chars"), _changed(spark, d))
+
+
+# --- answers and evaluation -------------------------------------------------------------------------
+
+
+def _retrieved(spark, d, k=10):
+    c = _chunks(spark, d).select("chunk_id", "text")
+    return R.bm25(c, _bench(spark, d), k).join(c, "chunk_id")
+
+
+BUDGET = 4000
+
+
+def prompt_budget(spark, d):
+    return A.within_budget(_retrieved(spark, d), BUDGET).select("query_id", "prompt_rank", "rank", "chunk_id")
+
+
+def prompt_render(spark, d):
+    p = A.prompts(A.within_budget(_retrieved(spark, d), BUDGET), _bench(spark, d))
+    return p.select("query_id", F.length("prompt").alias("n_chars"), F.sha2("prompt", 256).alias("sha256"))
+
+
+def extractive_answer(spark, d):
+    return A.extractive_answers(A.within_budget(_retrieved(spark, d), BUDGET), _bench(spark, d), 32)
+
+
+def citations(spark, d):
+    inc = A.within_budget(_retrieved(spark, d), BUDGET)
+    said = A.extractive_answers(inc, _bench(spark, d), 32).select("query_id", F.col("citation").alias("chunk_id"))
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"))
+    return A.resolve_citations(said, inc, docs)
+
+
+_BUDGET_SQL = _bm25_sql(10, queries=_BENCH_SQL) + f""", it AS (SELECT query_id, list({{'rank': rank, 'n': len(text)::BIGINT, 'used': 0::BIGINT, 'took': []::INTEGER[]}} ORDER BY rank) AS u FROM bm25 JOIN docs USING (chunk_id) GROUP BY 1),
+fo AS (SELECT query_id, list_reduce(list_prepend({{'rank': 0, 'n': 0::BIGINT, 'used': 0::BIGINT, 'took': []::INTEGER[]}}, u),
+  lambda a, x: CASE WHEN a.used + x.n + (CASE WHEN len(a.took) > 0 THEN 1 ELSE 0 END) <= {BUDGET}
+    THEN {{'rank': 0, 'n': 0::BIGINT, 'used': a.used + x.n + (CASE WHEN len(a.took) > 0 THEN 1 ELSE 0 END), 'took': list_append(a.took, x.rank)}} ELSE a END) AS r FROM it),
+inc AS (SELECT query_id, unnest(r.took) AS rank, generate_subscripts(r.took, 1)::INTEGER AS prompt_rank FROM fo),
+included AS (SELECT query_id, prompt_rank, rank, chunk_id, text FROM inc JOIN bm25 USING (query_id, rank) JOIN docs USING (chunk_id))
+"""
+_ANSWER_SQL = _BUDGET_SQL + r""", ans AS (SELECT query_id, chunk_id, rank, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')[1:32], ' ') AS a FROM included WHERE prompt_rank = 1)
+"""
+
+
+def _gold(spark, d):
+    """Documents that hold a benchmark passage in full."""
+    b, docs = _bench(spark, d), _t(spark, d, "documents")
+    return docs.join(F.broadcast(b), F.contains("text", F.col("query"))).groupBy("query_id").agg(F.collect_set("doc_id").alias("relevant"))
+
+
+def _cases(spark, d):
+    b = _bench(spark, d).join(_gold(spark, d), "query_id", "left")
+    return b.select(F.col("query_id").alias("case_id"), F.element_at(F.array(*map(F.lit, E.FAMILIES)), (F.col("query_id") % 5 + 1).cast("int")).alias("family"), F.coalesce("relevant", F.array().cast("array<bigint>")).alias("relevant"), F.lit(2).alias("expected_extractions"), F.array(F.lit("text_span"), F.lit("page")).alias("required_locators"), F.when(F.col("relevant").isNull(), "no gold").alias("ineligible_reason"))
+
+
+def _observations(spark, d):
+    r = R.bm25(_chunks(spark, d), _bench(spark, d), 10).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("retrieved"))
+    cited = F.when(F.col("query_id") % 7 != 0, F.slice("retrieved", 1, 2))
+    return r.select(F.col("query_id").alias("case_id"), "retrieved", cited.alias("cited"), (F.col("query_id") % 3).cast("int").alias("extracted_count"), F.lit(None).cast("string").alias("extraction_reason"), F.array(F.lit("text_span")).alias("locators"), F.lit(None).cast("string").alias("observed_ineligible"))
+
+
+_METRIC_COLS = ("case_id", "family", "status", *E.METRICS)
+
+
+def eval_case_metrics(spark, d):
+    return _round(E.case_metrics(_cases(spark, d), _observations(spark, d), 5), *E.METRICS).select(*_METRIC_COLS)
+
+
+def eval_family_means(spark, d):
+    f = E.family_metrics(E.case_metrics(_cases(spark, d), _observations(spark, d), 5))
+    return _round(f, *E.METRICS).select("family", "n_cases", "status", *E.METRICS)
+
+
+def eval_thresholds(spark, d):
+    f = E.family_metrics(E.case_metrics(_cases(spark, d), _observations(spark, d), 5))
+    return _round(E.thresholds(f, [("hit_rate", 0.5, None), ("recall_at_k", 0.9, "text")]), "actual").select("metric", "minimum", "family", "actual", "passed")
+
+
+_CASE_SQL = _bm25_sql(10, queries=_BENCH_SQL) + """, gold AS (SELECT query_id, list(DISTINCT doc_id) AS relevant FROM documents JOIN queries ON contains(text, query) GROUP BY 1),
+ca AS (SELECT q.query_id AS case_id, ['text', 'ocr', 'layout', 'vision', 'media'][q.query_id % 5 + 1] AS family, relevant FROM queries q LEFT JOIN gold USING (query_id)),
+ob AS (SELECT query_id AS case_id, list(chunk_id ORDER BY rank) AS got FROM bm25 GROUP BY 1),
+j AS (SELECT ca.case_id, family, relevant, got, got[1:5] AS top, CASE WHEN ca.case_id % 7 <> 0 THEN got[1:2] END AS cited, relevant IS NOT NULL AND got IS NOT NULL AS ok FROM ca LEFT JOIN ob USING (case_id)),
+m AS (SELECT case_id, family, got,
+  CASE WHEN ok THEN len(list_intersect(relevant, top))::DOUBLE / len(relevant) END AS recall_at_k,
+  CASE WHEN ok THEN coalesce(1.0::DOUBLE / list_min(list_filter(list_transform(top, lambda x, i: CASE WHEN list_contains(relevant, x) THEN i END), lambda v: v IS NOT NULL)), 0) END AS reciprocal_rank,
+  CASE WHEN ok THEN (len(list_intersect(relevant, top)) > 0)::INTEGER::DOUBLE END AS hit_rate,
+  CASE WHEN ok AND cited IS NOT NULL THEN len(list_intersect(relevant, cited))::DOUBLE / len(cited) END AS citation_precision,
+  CASE WHEN ok AND cited IS NOT NULL THEN len(list_intersect(relevant, cited))::DOUBLE / len(relevant) END AS citation_coverage,
+  CASE WHEN ok THEN least((case_id % 3) / 2.0::DOUBLE, 1.0::DOUBLE) END AS extraction_coverage,
+  CASE WHEN ok THEN 0.5::DOUBLE END AS locator_validity FROM j),
+cm AS (SELECT *, CASE WHEN got IS NULL THEN 'fail' WHEN recall_at_k IS NULL THEN 'ineligible' WHEN citation_precision IS NULL OR citation_coverage IS NULL THEN 'incomplete' ELSE 'pass' END AS status FROM m),
+fm AS (SELECT family, count(*) AS n_cases, CASE WHEN bool_or(status = 'fail') THEN 'fail' WHEN bool_and(status = 'pass') THEN 'pass' WHEN bool_and(status = 'ineligible') THEN 'ineligible' ELSE 'incomplete' END AS status,
+  """ + ", ".join(f"avg({x}) AS {x}" for x in E.METRICS) + " FROM cm GROUP BY 1)\n"
+_ROUNDED = ", ".join(f"round({x}, {_DIGITS}) AS {x}" for x in E.METRICS)
+
+
+def answer_metrics(spark, d):
+    """hit_rate and containment of the first five words of each passage in its answer."""
+    inc = A.within_budget(_retrieved(spark, d), BUDGET)
+    said = A.extractive_answers(inc, _bench(spark, d), 64).select(F.col("query_id").alias("example_id"), "answer")
+    ex = _bench(spark, d).join(_gold(spark, d), "query_id", "left").select(F.col("query_id").alias("example_id"), A.first_words(F.col("query"), 5).alias("expected_answer"), F.coalesce("relevant", F.array().cast("array<bigint>")).alias("relevant"))
+    return _round(E.answers_report(ex, _retrieved(spark, d).withColumnRenamed("query_id", "example_id"), said), "value")
+
+
+_ANSWER_METRIC_SQL = _BUDGET_SQL + rf""", gold AS (SELECT query_id, list(DISTINCT doc_id) AS relevant FROM documents JOIN queries ON contains(text, query) GROUP BY 1),
+ans AS (SELECT query_id, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')[1:64], ' ') AS a FROM included WHERE prompt_rank = 1),
+got AS (SELECT query_id, list(chunk_id) AS got FROM bm25 GROUP BY 1),
+x AS (SELECT array_to_string(list_filter(regexp_split_to_array(query, '\s+'), lambda w: w <> '')[1:5], ' ') AS want, relevant, got, a FROM queries LEFT JOIN gold USING (query_id) LEFT JOIN got USING (query_id) LEFT JOIN ans USING (query_id))
+SELECT 'hit_rate' AS metric, round(avg(coalesce(list_has_any(relevant, got), false)::INTEGER::DOUBLE) FILTER (WHERE relevant IS NOT NULL), 6) AS value FROM x HAVING value IS NOT NULL
+UNION ALL SELECT 'answer_contains_expected', round(avg(coalesce(contains({_FOLD.format('a')}, {_FOLD.format('want')}), false)::INTEGER::DOUBLE), 6) FROM x"""
+
+
+def latency_percentiles(spark, d):
+    return E.nearest_rank(_t(spark, d, "events"), "value", (0.5, 0.95), "event_type")
+
+
+def transcript_validate(spark, d):
+    """Each user's events as segments of a second from their time: which overlap the one before."""
+    e = _t(spark, d, "events").select(F.col("user_id").alias("document_id"), F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("ordinal"), F.unix_millis(F.col("ts").cast("timestamp")).alias("start_ms"))
+    seg = e.withColumn("end_ms", F.col("start_ms") + 60_000).withColumn("duration_ms", F.lit(1 << 60))
+    return M.invalid_segments(seg).select("document_id", "ordinal", "reason")
+
+
+def flagship(spark, d):
+    """A literal question over ``documents``: BM25, budget, extractive answer, citation."""
+    c = _chunks(spark, d).select("chunk_id", "text")
+    inc = A.within_budget(R.bm25(c, _question(spark), 10).join(c, "chunk_id"), BUDGET)
+    return A.extractive_answers(inc, _question(spark), 32)
+
+
+def token_lengths(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.size(tokens(F.col("text"))).alias("n_terms"))
+
 
 def queries() -> dict:
-    return {}
+    named = [corpus_stats, postings_df, idf_table, token_lengths, bm25_topk, bm25_topk_filtered, bm25_batch, hash_embed, dense_topk, dense_topk_filtered, cosine_distance_topk, rrf_hybrid, rrf_conflict_check, rerank_noop, rerank_stub, chunk_windows_fixed, chunk_windows_sliding, chunk_evidence, sentence_spans, pack_sentence_tiles, chunk_conversation, chunk_table_rows, span_overlap_join, chunk_ids, html_text_spans, asset_dedup, asset_identity, upsert_merge, delete_anti, sparse_conflicts, prompt_budget, prompt_render, extractive_answer, citations, eval_case_metrics, eval_family_means, eval_thresholds, answer_metrics, latency_percentiles, transcript_validate]
+    return {f.__name__: f for f in named} | STRATEGIES | {k: _filter(n) for k, (n, _) in _FILTERS.items()} | {"answer_question": flagship}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    stats = f"WITH tok AS (SELECT doc_id, {_TOK.format('text')} AS t FROM documents), "
+    return {
+        "corpus_stats": stats + f"x AS (SELECT 1) SELECT count(*) AS n, round(avg(len(t)), {_DIGITS}) AS avgdl FROM tok",
+        "postings_df": stats + "p AS (SELECT doc_id, unnest(t) AS term FROM tok) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM p GROUP BY 1",
+        "idf_table": stats + f"p AS (SELECT doc_id, unnest(t) AS term FROM tok), d AS (SELECT term, count(DISTINCT doc_id) AS df FROM p GROUP BY 1) SELECT term, round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), {_DIGITS}) AS idf FROM d CROSS JOIN (SELECT count(*) AS n FROM documents)",
+        "token_lengths": stats + "x AS (SELECT 1) SELECT doc_id, len(t)::INTEGER AS n_terms FROM tok",
+        "bm25_topk": _bm25_sql(20) + _RANKED + "bm25",
+        "bm25_topk_filtered": _bm25_sql(20, "SELECT d.doc_id AS chunk_id, text FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE lang = 'en' AND (toxic IS NULL OR toxic <> 1) AND n_chars >= 200") + _RANKED + "bm25",
+        "bm25_batch": _bm25_sql(10, queries=_BENCH_SQL) + _RANKED + "bm25",
+        "hash_embed": f"WITH {_DOCS_SQL}, {_hash_sql('docs', 'he')} SELECT chunk_id, i, round(value, {_DIGITS}) AS value FROM he",
+        "dense_topk": _dense_sql(),
+        "dense_topk_filtered": _dense_sql("label IN (1, 3, 5)"),
+        "cosine_distance_topk": _dense_sql(distance=True),
+        "rrf_hybrid": _RRF_SQL,
+        "rrf_conflict_check": "SELECT 0::BIGINT AS query_id, doc_id AS chunk_id, 2::BIGINT AS n_rows, 2::BIGINT AS n_contents FROM documents WHERE text <> lower(text)",
+        "rerank_noop": _bm25_sql(20, queries=_BENCH_SQL) + _RANKED + "bm25 WHERE rank <= 5",
+        "rerank_stub": _RERANK_SQL,
+        "chunk_windows_fixed": _window_sql(SIZE, 'doc_id, ordinal, start, "end", text'),
+        "chunk_windows_sliding": _window_sql(SIZE - OVERLAP, 'doc_id, ordinal, start, "end", text'),
+        "chunk_evidence": _window_sql(SIZE, "doc_id, start, \"end\", 'text-0/row-' || ordinal AS structural_path"),
+        "sentence_spans": _TILE_SQL + 'SELECT doc_id, ordinal, start, "end", text FROM z',
+        "pack_sentence_tiles": _PACK_SQL,
+        "chunk_table_rows": "SELECT 'nation-' || s_nationkey AS document_id, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1)::INTEGER AS ordinal, 's_suppkey: ' || s_suppkey || ' | s_name: ' || s_name || ' | s_acctbal: ' || round(s_acctbal, 2)::DECIMAL(15,2) AS text, 6::INTEGER AS n_parts FROM supplier",
+        "span_overlap_join": _SPAN_SQL,
+        "chunk_ids": _IDS_SQL,
+        "asset_dedup": "SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first_doc_id FROM documents GROUP BY 1 HAVING n > 1",
+        "asset_identity": "SELECT page_id, 'asset-' || sha256(url) AS asset_id, strlen(html) AS size_bytes FROM pages",
+        "upsert_merge": "SELECT d.doc_id AS chunk_id, CASE WHEN t.doc_id IS NULL THEN lang ELSE upper(lang) END AS lang, n_chars FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) t ON t.doc_id = d.doc_id",
+        "delete_anti": "SELECT doc_id AS chunk_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
+        "sparse_conflicts": "SELECT doc_id AS chunk_id FROM documents WHERE lang <> upper(lang) AND doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
+        "prompt_budget": _BUDGET_SQL + "SELECT query_id, prompt_rank, rank, chunk_id FROM included",
+        "extractive_answer": _ANSWER_SQL + f"SELECT q.query_id, coalesce(a, '{A.NOTHING}') AS answer, CASE WHEN a <> '' THEN chunk_id END AS citation FROM queries q LEFT JOIN ans USING (query_id)",
+        "citations": _ANSWER_SQL + "SELECT query_id, chunk_id, chunk_id AS document_id, rank FROM ans WHERE a <> ''",
+        "eval_case_metrics": _CASE_SQL + f"SELECT case_id, family, status, {_ROUNDED} FROM cm",
+        "eval_family_means": _CASE_SQL + f"SELECT family, n_cases, status, {_ROUNDED} FROM fm",
+        "eval_thresholds": _CASE_SQL + f", t AS (SELECT 'hit_rate' AS metric, 0.5::DOUBLE AS minimum, NULL::VARCHAR AS family, CASE WHEN count(*) = count(hit_rate) THEN avg(hit_rate) END AS actual FROM fm UNION ALL SELECT 'recall_at_k', 0.9::DOUBLE, 'text', avg(recall_at_k) FROM fm WHERE family = 'text') SELECT metric, minimum, family, round(actual, {_DIGITS}) AS actual, coalesce(actual >= minimum, false) AS passed FROM t",
+        "answer_metrics": _ANSWER_METRIC_SQL,
+        "latency_percentiles": "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1",
+        "transcript_validate": "WITH e AS (SELECT user_id AS document_id, row_number() OVER w AS ordinal, epoch_ms(ts) AS s, lag(epoch_ms(ts)) OVER w AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT document_id, ordinal::INTEGER AS ordinal, 'overlap' AS reason FROM e WHERE p + 60000 > s",
+        "answer_question": _bm25_sql(10) + _BUDGET_SQL.replace(_bm25_sql(10, queries=_BENCH_SQL), "") + r""", ans AS (SELECT query_id, chunk_id, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')[1:32], ' ') AS a FROM included WHERE prompt_rank = 1)
+SELECT q.query_id, coalesce(a, '""" + A.NOTHING + "') AS answer, CASE WHEN a <> '' THEN chunk_id END AS citation FROM queries q LEFT JOIN ans USING (query_id)",
+    } | {k: _filter_sql(c) for k, (_, c) in _FILTERS.items()}
