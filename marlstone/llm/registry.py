@@ -77,10 +77,10 @@ g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(
         ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g
       FROM w WHERE len(w) > 0),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-b AS (SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, count(*) AS both FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2)
-SELECT doc_a, doc_b, both::DOUBLE / (p.n + q.n - both) AS jaccard
+b AS (SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, count(*) AS shared FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2)
+SELECT doc_a, doc_b, shared::DOUBLE / (p.n + q.n - shared) AS jaccard
 FROM b JOIN n p ON p.doc_id = doc_a JOIN n q ON q.doc_id = doc_b
-WHERE both::DOUBLE / (p.n + q.n - both) >= 0.5
+WHERE shared::DOUBLE / (p.n + q.n - shared) >= 0.5
 """
 
 OP2_SQL = """
