@@ -134,6 +134,14 @@ def ngram_set(text: str | None, n: int, cache: HashCache) -> np.ndarray:
     return np.unique(out)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def require(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that further columns, whatever their names, can't clash."""
     return df.select(*[F.col(f"`{n}`") for n in names])

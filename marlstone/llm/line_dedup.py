@@ -198,13 +198,15 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None) -> DataFrame:
     returned as they are.  Rows that repeat a doc_id count as one document and keep the same line
     numbers.  Columns already named n_lines or n_removed are replaced.  An empty table stays so.
     """
-    spark = docs.sparkSession
     index = index or LineIndex.build(docs)
-    owned = index.repeats().select(F.col("doc_id").alias("_own_id"), F.col("owned").alias("_owned"))
-    joined = docs.join(owned, docs["doc_id"] == F.col("_own_id"), "left").withColumn("_owned", F.coalesce("_owned", F.array().cast("array<int>")))
-    cols = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    out = joined.select(*[F.col(f"`{c}`") for c in cols], F.col("_owned")).mapInArrow(_strip(cols.index("doc_id"), cols.index("text")), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in cols) + ", n_lines int, n_removed int")
-    return out
+    id_name, own_name = C.unused(docs, "_own_id"), C.unused(docs, "_owned")
+    owned = index.repeats().select(F.col("doc_id").alias(id_name), F.col("owned").alias(own_name))
+    joined = docs.join(owned, docs["doc_id"] == owned[id_name], "left")
+    fields = [f for f in docs.schema if f.name.lower() not in ("n_lines", "n_removed")]
+    names = [f.name for f in fields]
+    own = F.coalesce(owned[own_name], F.array().cast("array<int>")).alias(own_name)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_lines int, n_removed int"
+    return joined.select(*[docs[f"`{n}`"] for n in names], own).mapInArrow(_strip(names.index("doc_id"), names.index("text")), schema)
 
 
 def _strip(id_at: int, text_at: int):

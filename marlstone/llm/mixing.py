@@ -138,7 +138,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | N
 
 def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
     """The drawn rows of ``docs``, all columns as they are, laid out by shard and position."""
-    drawn = C.table(mix(docs, **kw), "mix-drawn").select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("shard").alias("_mix_shard"), F.col("position").alias("_mix_at"))
-    on = (docs["doc_id"] == F.col("_mix_id")) & (F.coalesce(docs["source"], F.lit("")) == F.col("_mix_source"))
+    to = {c: C.unused(docs, f"_mix_{c}") for c in ("doc_id", "source", "shard", "position")}
+    drawn = C.table(mix(docs, **kw).select(*[F.col(c).alias(n) for c, n in to.items()]), "mix-drawn")
+    on = (docs["doc_id"] == F.col(to["doc_id"])) & (F.coalesce(docs["source"].cast("string"), F.lit("")) == F.col(to["source"]))
     out = docs.join(C.small(drawn, drawn.count(), 48), on)
-    return out.repartition("_mix_shard").sortWithinPartitions("_mix_shard", "_mix_at").select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = out.repartition(to["shard"]).sortWithinPartitions(to["shard"], to["position"])
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -20,7 +20,7 @@ from . import labelled
 WORD_BITS, META_BITS, FACTORS = 16, 8, 6
 #: Labelled documents to fit on; a bound on the sample, never on what is scored.
 SAMPLE = 6000
-KEEP = 0.5
+KEEP = 0.35
 _CUTS = {
     "symbols": (0.002, 0.01, 0.03, 0.06, 0.1, 0.2),
     "upper": (0.005, 0.02, 0.05, 0.1, 0.3, 0.6),
@@ -87,7 +87,7 @@ class FactorisationMachine:
         return float(self.w0 + self.w[idx] @ val + 0.5 * (s @ s - (vx * vx).sum()))
 
     @staticmethod
-    def fit(rows: list, y: list[int], epochs: int = 4, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> "FactorisationMachine":
+    def fit(rows: list, y: list[int], epochs: int = 6, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> "FactorisationMachine":
         """Logistic loss by Adagrad, one document at a time, classes weighted to equal mass."""
         rng = np.random.default_rng(seed)
         w, v = np.zeros(SIZE, np.float32), (rng.standard_normal((SIZE, FACTORS)) * 0.02).astype(np.float32)
