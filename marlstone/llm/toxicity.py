@@ -1,9 +1,9 @@
 """Toxicity severity by cumulative-link ordinal regression over sparse text features.
 
 P(grade <= k) = sigmoid(theta_k - w.x) with theta_1 < theta_2 < ...: all thresholds share the
-weights w.  Features are the presence of hashed words and of their leading 4, 5 and 6 letters;
-those that don't differ between the labelled classes keep weight zero, the others are fitted by
-maximum penalised likelihood over the whole sample.
+weights w.  Features are hashed words and their leading 4 to 7 letters, each with the logarithm of
+how many distinct words of the text have it; those that don't differ between the labelled classes
+keep weight zero, the others are fitted by maximum penalised likelihood over the whole sample.
 """
 
 from __future__ import annotations
@@ -29,17 +29,19 @@ class Featurizer:
     def __init__(self):
         self.cache: dict[str, tuple[int, ...]] = {}
 
-    def __call__(self, text: str | None) -> np.ndarray:
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Slots and their values."""
         if len(self.cache) > 200_000:
             self.cache.clear()
-        slots: set[int] = set()
+        slots: list[int] = []
         for w in set(C.words(text)):
             s = self.cache.get(w)
             if s is None:
                 mask = (1 << BITS) - 1
-                s = self.cache[w] = tuple(C.xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass")) & mask for p in {f"={w}", *(f"{w[:k]}*" for k in (4, 5, 6) if len(w) >= k)})
-            slots.update(s)
-        return np.fromiter(slots, np.int64, len(slots))
+                s = self.cache[w] = tuple(C.xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass")) & mask for p in {f"={w}", *(f"{w[:k]}*" for k in (4, 5, 6, 7) if len(w) >= k)})
+            slots.extend(s)
+        idx, n = np.unique(np.array(slots, np.int64), return_counts=True)
+        return idx, np.log2(1.0 + n)
 
 
 def _sigmoid(z):
@@ -50,36 +52,39 @@ class CumulativeLink:
     def __init__(self, w: np.ndarray, theta: np.ndarray):
         self.w, self.theta = w, theta
 
-    def above(self, x: np.ndarray) -> np.ndarray:
+    def above(self, x: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         """P(grade > k) for k = 0, 1, ..."""
-        return _sigmoid(self.w[x].sum() - self.theta)
+        return _sigmoid(self.w[x[0]] @ x[1] - self.theta)
 
     @staticmethod
-    def fit(rows: list[np.ndarray], y: list[int], steps: int = 500, rate: float = 0.1, l2: float = 2e-5, z_least: float = 4.0) -> "CumulativeLink":
+    def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: list[int], steps: int = 500, rate: float = 0.1, ridge: float = 2.0, z_least: float = 2.5, balance: float = 0.5) -> "CumulativeLink":
         y_ = np.asarray(y)
         k = int(y_.max())
-        length = np.array([len(r) for r in rows])
-        col, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), length)
+        col, val = np.concatenate([i for i, _ in rows]), np.concatenate([v for _, v in rows])
+        row = np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows])
         pos = y_ > 0
-        p1 = (np.bincount(col[pos[row]], minlength=1 << BITS) + 0.5) / (pos.sum() + 1)
-        p0 = (np.bincount(col[~pos[row]], minlength=1 << BITS) + 0.5) / ((~pos).sum() + 1)
-        z = (p1 - p0) / np.sqrt(p1 * (1 - p1) / (pos.sum() + 1) + p0 * (1 - p0) / ((~pos).sum() + 1))
-        told = np.abs(z) >= z_least
+        moment = lambda mask, p: np.bincount(col[mask[row]], val[mask[row]] ** p, 1 << BITS) / max(1, mask.sum())
+        a, b = moment(pos, 1), moment(~pos, 1)
+        # variances with half an observation more, so that a feature seen once or twice tells nothing
+        spread = sum((moment(m, 2) - x * x + 0.5 / (m.sum() + 1)) / (m.sum() + 1) for m, x in ((pos, a), (~pos, b)))
+        told = np.abs(a - b) >= z_least * np.sqrt(spread)
         slot = np.cumsum(told) - 1
         used = told[col]
-        col, row = slot[col[used]], row[used]
+        col, row, val = slot[col[used]], row[used], val[used]
         m = int(told.sum())
         w, theta = np.zeros(m), np.linspace(1.0, k, k)
         state = np.zeros((2, m + k))
         n = len(rows)
-        mass_of = np.where(pos, n / (2 * max(1, pos.sum())), n / (2 * max(1, (~pos).sum())))  # either class weighs the same
+        l2 = ridge / n
+        # 0: documents weigh the same, 1: classes do
+        mass_of = np.where(pos, (n / (2 * max(1, pos.sum()))) ** balance, (n / (2 * max(1, (~pos).sum()))) ** balance)
         for step in range(1, steps + 1):
-            s = np.bincount(row, w[col], n)
+            s = np.bincount(row, w[col] * val, n)
             p = _sigmoid(s[:, None] - np.concatenate([[-60.0], theta, [60.0]]))  # P(grade > j), j = -1 .. k
             lo, hi = p[np.arange(n), y_], p[np.arange(n), y_ + 1]
             mass = np.maximum(lo - hi, 1e-9)
             dlo, dhi = mass_of * lo * (1 - lo) / mass, mass_of * hi * (1 - hi) / mass
-            gw = np.bincount(col, (dhi - dlo)[row], m) / n + l2 * w
+            gw = np.bincount(col, (dhi - dlo)[row] * val, m) / n + l2 * w
             gt = np.array([dlo[y_ == j + 1].sum() - dhi[y_ == j].sum() for j in range(k)]) / n
             g = np.concatenate([gw, gt])
             state[0] = 0.9 * state[0] + 0.1 * g
@@ -101,18 +106,18 @@ class CumulativeLink:
         return CumulativeLink(z["w"].astype(np.float64), z["theta"])
 
 
-def grade(rows: list[np.ndarray], toxic: list[int], grades: int = GRADES) -> list[int]:
+def grade(rows: list[tuple[np.ndarray, np.ndarray]], toxic: list[int], grades: int = GRADES) -> list[int]:
     """Ordered grades where the labels only say toxic or not: 0, and toxic documents by how many
     features they hold that the labels show to be toxic (log odds over EVIDENCE), cut at quantiles.
     Labels that already have more than two values are returned as they are."""
     if max(toxic) > 1:
         return list(toxic)
     count = np.zeros((2, 1 << BITS))
-    for x, t in zip(rows, toxic):
+    for (x, _), t in zip(rows, toxic):
         count[t, x] += 1
     n = [max(1, toxic.count(c)) for c in (0, 1)]
     told = (np.log((count[1] + 0.5) / n[1]) - np.log((count[0] + 0.5) / n[0]) > EVIDENCE) & (count[1] >= 0.01 * n[1])
-    share = np.array([told[x].sum() for x in rows])
+    share = np.array([told[x].sum() for x, _ in rows])
     cuts = np.quantile(share[np.array(toxic) == 1], np.arange(1, grades - 1) / (grades - 1))
     return [1 + int(np.searchsorted(cuts, s, side="left")) if t else 0 for s, t in zip(share, toxic)]
 
@@ -145,7 +150,7 @@ def score_toxicity(docs: DataFrame, model: bytes | None) -> DataFrame:
             sev, gr = [], []
             for text in b.column(1).to_pylist():
                 x = f(text)
-                p = None if m is None else m.above(x) if len(x) else np.zeros(1)
+                p = None if m is None else m.above(x) if len(x[0]) else np.zeros(1)
                 sev.append(None if p is None else float(p.sum()))
                 gr.append(None if p is None else int((p >= 0.5).sum()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sev, pa.float64()), pa.array(gr, pa.int32()), pa.array([bool(g) for g in gr], pa.bool_())], names=["doc_id", "expected_severity", "grade", "toxic"])
