@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The 29 code points that ``str.isspace`` accepts and trimming removes.
@@ -48,20 +48,36 @@ _ODD = _ranges({ord(c) for c in {*_FROM, *_SEVERAL} - {"ß"}})
 
 
 def fold(text: Column) -> Column:
-    """``str.casefold``: lower case, then the code points where folding goes further.
+    """``str.casefold``: lower case, then the code points where folding goes further."""
+    return fold_lowered(F.lower(text))
 
-    The common one is expressed alone; the others run, character by character, only on texts that
-    need them.
+
+def fold_lowered(low: Column) -> Column:
+    """The fold of a text that is in lower case already.
+
+    The common code point is expressed alone; the others run, character by character, only on
+    texts that need them.
     """
-    low = F.lower(text)
     table = F.create_map(*[F.lit(x) for kv in _SEVERAL.items() for x in kv])
     full = F.array_join(F.transform(F.split(F.translate(low, _FROM, _TO), ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    return F.when(low.rlike(_ODD), full).otherwise(F.replace(low, F.lit("ß"), F.lit("ss")))
+    ascii_only = F.octet_length(low) == F.length(low)
+    return F.when(ascii_only, low).when(low.rlike(_ODD), full).otherwise(F.replace(low, F.lit("ß"), F.lit("ss")))
 
 
 def tokens(text: Column, pattern: str = LEXICAL) -> Column:
     """All matches of a token pattern in the folded text; an empty array for null."""
-    return F.coalesce(F.regexp_extract_all(fold(text), F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
+    return _matches(fold(text), pattern)
+
+
+def _matches(folded: Column, pattern: str) -> Column:
+    return F.coalesce(F.regexp_extract_all(folded, F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
+
+
+def with_tokens(df: DataFrame, text: str, name: str, pattern: str = LEXICAL, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``keep`` and the tokens of a column as ``name``.  The lower case text is a step of its own,
+    since expressions that share it would each compute it again."""
+    low = df.select(*keep, F.lower(F.col(text)).alias("_low"))
+    return low.select(*keep, _matches(fold_lowered(F.col("_low")), pattern).alias(name))
 
 
 def trim(text: Column) -> Column:

@@ -82,7 +82,11 @@ def windows(text: Column, size: int, step: int | None = None) -> Column:
     starts = F.when(n > 0, F.sequence(F.lit(0), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
     cut = F.transform(starts, lambda i: trimmed_span(F.substring(text, i + 1, F.lit(size)), i))
     full = F.filter(cut, lambda s: F.length(s["text"]) > 0)
-    return full if step == size else F.filter(full, lambda s, i: (i == 0) | (s["start"] != F.get(full, i - 1)["start"]) | (s["end"] != F.get(full, i - 1)["end"]))
+    if step == size:
+        return full
+    # the outer transform binds the array, which a lambda would otherwise compute for every element
+    new = lambda f: F.filter(f, lambda s, i: (i == 0) | (s["start"] != F.get(f, i - 1)["start"]) | (s["end"] != F.get(f, i - 1)["end"]))
+    return F.get(F.transform(F.array(full), new), F.lit(0))
 
 
 def tiles(text: Column, pattern: str = SENTENCE_TILE) -> Column:

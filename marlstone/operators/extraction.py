@@ -39,9 +39,9 @@ class _Visible(HTMLParser):
 
     HIDDEN = ("script", "style")
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, strict: bool = True):
         super().__init__(convert_charrefs=False)
-        self.source, self.hidden, self.found = source, 0, []
+        self.source, self.hidden, self.found, self.strict = source, 0, [], strict
         self.lines = [0]
         for line in source.splitlines(keepends=True):
             self.lines.append(self.lines[-1] + len(line))
@@ -57,6 +57,8 @@ class _Visible(HTMLParser):
             return
         row, col = self.getpos()
         at = self.lines[row - 1] + col
+        if not self.strict and said[-1:] == ";" and not self.source.startswith(said, at):
+            said = said[:-1]  # a reference without its semicolon, as it stands in the source
         if not self.source.startswith(said, at):
             raise ValueError("a parsed piece of HTML isn't where the source has it")
         body = said.strip()
@@ -74,8 +76,10 @@ class _Visible(HTMLParser):
         self._take(f"&#{name};")
 
 
-def html_spans(source: str) -> list[tuple[int, int]]:
-    p = _Visible(source)
+def html_spans(source: str, strict: bool = True) -> list[tuple[int, int]]:
+    """Spans of the visible pieces; a reference that lacks its semicolon is an error if ``strict``,
+    otherwise a piece as written."""
+    p = _Visible(source, strict)
     p.feed(source)
     p.close()
     return p.found
@@ -111,9 +115,9 @@ def _spans_by_parser(docs: DataFrame, id_column: str, text: str, parse) -> DataF
     return docs.select(id_column, text).mapInArrow(run, f"id {kind}, ordinal int, start int, end int, text string").withColumnRenamed("id", id_column)
 
 
-def html_text(pages: DataFrame, id_column: str = "page_id", text: str = "html") -> DataFrame:
+def html_text(pages: DataFrame, id_column: str = "page_id", text: str = "html", strict: bool = True) -> DataFrame:
     """(id, ordinal, start, end, text): the visible pieces of each page at their exact place."""
-    return _spans_by_parser(pages, id_column, text, html_spans)
+    return _spans_by_parser(pages, id_column, text, lambda t: html_spans(t, strict))
 
 
 def email_text(messages: DataFrame, id_column: str, text: str) -> DataFrame:

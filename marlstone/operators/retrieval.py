@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import HASHED, tokens
+from ..functions.text import HASHED, tokens, with_tokens
 from . import filters
 
 K1, B = 1.2, 0.75
 RRF_K, MULTIPLIER = 60, 4
 #: Largest query side, in rows of terms, that is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Distinct query terms up to which they are looked up in place; beyond that they are joined.
+LOOKUP_TERMS = 4096
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -29,7 +31,7 @@ def eligible(chunks: DataFrame, where=None) -> DataFrame:
 
 
 def tokenized(chunks: DataFrame) -> DataFrame:
-    return chunks.select("chunk_id", tokens(F.col("text")).alias("terms")).withColumn("dl", F.size("terms"))
+    return with_tokens(chunks, "text", "terms", keep=("chunk_id",)).withColumn("dl", F.size("terms"))
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
@@ -63,12 +65,18 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int | None = None, where=None
     """
     admitted = eligible(chunks, where)
     qt = query_terms(queries)
-    n_terms = qt.count()
+    vocabulary = [r.term for r in qt.select("term").distinct().limit(LOOKUP_TERMS + 1).collect()]
+    n_terms = len(vocabulary) if len(vocabulary) <= LOOKUP_TERMS else qt.count()
     stats = corpus_stats(admitted)
     wanted = small(qt.select("term").distinct(), n_terms)
     if index is None:
         tok = tokenized(admitted)
-        hits = tok.select("chunk_id", "dl", F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+        if len(vocabulary) <= LOOKUP_TERMS:  # other terms are dropped before anything is exploded
+            tok = tok.select("chunk_id", "dl", F.filter("terms", lambda t: t.isin(vocabulary)).alias("terms"))
+            used = tok.select("chunk_id", "dl", F.explode("terms").alias("term"))
+        else:
+            used = tok.select("chunk_id", "dl", F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
+        hits = used.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
     else:
         hits = index.join(wanted, "term", "left_semi")
         if where is not None:
@@ -89,7 +97,7 @@ def hash_embedding_cells(chunks: DataFrame, dim: int) -> DataFrame:
 
     A text whose tokens cancel out or that has none becomes the first unit vector.
     """
-    t = chunks.select("chunk_id", F.explode_outer(tokens(F.col("text"), HASHED)).alias("t"))
+    t = with_tokens(chunks, "text", "ts", HASHED, keep=("chunk_id",)).select("chunk_id", F.explode_outer("ts").alias("t"))
     digest = F.sha2("t", 256)
     hexa = lambda a, n: F.conv(F.substring(digest, a, n), 16, 10).cast("bigint")
     cell = t.select("chunk_id", (hexa(1, 8) % dim).cast("int").alias("i"), F.when(hexa(9, 2) % 2 == 1, 1.0).otherwise(-1.0).alias("v"))

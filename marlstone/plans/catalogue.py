@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions.spans import Policy
-from ..functions.text import tokens
+from ..functions.text import with_tokens
 from ..operators import answering as A
 from ..operators import chunking as C
 from ..operators import evaluation as E
@@ -370,7 +370,7 @@ _IDS_SQL = _window_sql(SIZE, "doc_id, ordinal, 'chk_v1_' || sha256('{\"namespace
 
 
 def html_text_spans(spark, d):
-    return X.html_text(_t(spark, d, "pages"))
+    return X.html_text(_t(spark, d, "pages"), strict=False)
 
 
 def asset_dedup(spark, d):
@@ -553,7 +553,7 @@ def flagship(spark, d):
 
 
 def token_lengths(spark, d):
-    return _t(spark, d, "documents").select("doc_id", F.size(tokens(F.col("text"))).alias("n_terms"))
+    return with_tokens(_t(spark, d, "documents"), "text", "terms", keep=("doc_id",)).select("doc_id", F.size("terms").alias("n_terms"))
 
 
 def queries() -> dict:
