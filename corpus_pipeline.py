@@ -88,8 +88,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        out = stage(spark, docs, sf_dir)
-        path = C.fresh_path(spark, f"stage-{name}")
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+        docs = C.table(stage(spark, docs, sf_dir), f"stage-{name}", spark)
     return STAGES[-1][1](spark, docs, sf_dir)
