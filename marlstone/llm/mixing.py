@@ -62,21 +62,39 @@ class SplitTree:
         return self.leaves().cumsum(0).T
 
 
+def _level(counts: dict[str, int], w: dict[str, float], total: int) -> dict[str, float]:
+    """Shares of ``total`` by weight, none above its source's supply (water-filling)."""
+    out, left, mass = {}, float(total), sum(w.values())
+    for s in sorted(w, key=lambda s: (counts[s] / w[s], s)):  # the first to run dry come first
+        out[s] = min(float(counts[s]), left * w[s] / mass)
+        left, mass = left - out[s], mass - w[s]
+    return out
+
+
 def quotas(counts: dict[str, int], weights: dict[str, float] | None = None, total: int | None = None) -> dict[str, int]:
     """Exact numbers of documents by source.
 
-    Without ``weights``: count ** TEMPER.  Without ``total``: the largest that no source's supply
-    prevents.  Largest remainders make the quotas add up; a source without weight gets none.
+    Without ``weights``: count ** TEMPER, and without ``total`` as many documents as the sources
+    can supply of their shares of the whole corpus, so that a small source is taken whole and
+    takes nothing from the others.  A given ``total`` is filled as far as the supply goes: a
+    source that runs dry leaves its share to the others, by weight.  ``weights`` without
+    ``total`` are proportions to be met exactly, at the largest total that allows it.  Largest
+    remainders make the quotas add up; a source without weight gets none.
     """
     w = {s: (c**TEMPER if weights is None else float(weights.get(s, 0.0))) for s, c in counts.items() if c}
     w = {s: x for s, x in w.items() if x > 0}
     mass = sum(w.values())
     if not w:
         return {}
-    most = min(counts[s] * mass / x for s, x in w.items())
-    total = int(most + 1e-9) if total is None else min(total, int(most + 1e-9))
-    exact = {s: total * x / mass for s, x in w.items()}
-    out = {s: min(counts[s], int(e)) for s, e in exact.items()}
+    supply = sum(counts[s] for s in w)
+    if total is not None:
+        total = min(total, supply)
+    elif weights is None:
+        total = int(sum(min(counts[s], supply * x / mass) for s, x in w.items()) + 1e-6)
+    else:
+        total = int(min(counts[s] * mass / x for s, x in w.items()) + 1e-9)
+    exact = _level(counts, w, total)
+    out = {s: min(counts[s], int(e + 1e-9)) for s, e in exact.items()}
     for s in sorted(exact, key=lambda s: (out[s] - exact[s], s)):
         if sum(out.values()) >= total:
             break

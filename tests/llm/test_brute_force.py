@@ -209,6 +209,24 @@ def test_mixing(spark):
     assert sum(quotas({"a": 7, "b": 9, "c": 0}, total=10).values()) == 10
 
 
+def test_rare_source_does_not_set_the_total(spark):
+    even = {f"s{i}": 500 for i in range(20)}
+    rare = quotas(even | {"": 1})
+    assert quotas(even) == even and rare[""] == 1 and all(rare[s] >= 499 for s in even)
+    cold, hot = {f"s{i}": 500 for i in range(19)}, {"hot": 9500}
+    q = quotas(cold | hot)
+    share = 19000 * 9500**0.7 / (19 * 500**0.7 + 9500**0.7)
+    assert all(q[s] == 500 for s in cold) and abs(q["hot"] - share) <= 1
+    one = quotas(cold | hot | {"one": 1})
+    assert one["one"] == 1 and all(one[s] == 500 for s in cold) and abs(one["hot"] - share) <= 5
+    # a given total is filled: the source that runs dry leaves its share to the others
+    assert quotas({"a": 1, "b": 100, "c": 100}, {"a": 1.0, "b": 1.0, "c": 3.0}, 101) == {"a": 1, "b": 25, "c": 75}
+    assert quotas(cold | hot, total=10**9) == cold | hot
+    rows = [(i, "t", "en", f"s{i % 4}") for i in range(400)] + [(400, "t", "en", None)]
+    got = mix(make_docs(spark, rows), shard_docs=50).collect()
+    assert 400 in {r.doc_id for r in got} and len(got) >= 397
+
+
 def test_split_tree_is_hypergeometric():
     first = np.array([SplitTree([30, 10], 2, seed=s).leaves()[0] for s in range(400)])
     assert (first.sum(1) == 20).all() and abs(first[:, 0].mean() - 15) < 0.3
