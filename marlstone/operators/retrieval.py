@@ -6,6 +6,8 @@ the total order relevance descending, chunk_id ascending.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ RRF_K, MULTIPLIER = 60, 4
 BROADCAST_ROWS = 1_000_000
 #: Distinct query terms up to which they are looked up in place; beyond that they are joined.
 LOOKUP_TERMS = 4096
+#: Vectors of a block of dense_blocks, and queries whose scores are held at once.
+BLOCK_VECTORS, STEP = 4096, 256
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -148,6 +152,42 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int, where=None, metric: st
     return top_k(scored, k)
 
 
+def _block_best(k: int, digits: int, step: int):
+    def run(key, x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(x) and len(q):
+            ids, xs = x["chunk_id"].to_numpy(), np.stack(x["vec"].to_numpy())
+            q_ids, qs = q["query_id"].to_numpy(), np.stack(q["qvec"].to_numpy())
+            for lo in range(0, len(qs), step):
+                for i, s in zip(q_ids[lo : lo + step], np.round(qs[lo : lo + step] @ xs.T, digits)):
+                    at = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
+                    at = at[np.lexsort((ids[at], -s[at]))][:k]
+                    out.append(pd.DataFrame({"query_id": i, "chunk_id": ids[at], "relevance": s[at]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "chunk_id": [], "relevance": []})
+
+    return run
+
+
+def dense_blocks(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 12, block: int = BLOCK_VECTORS) -> DataFrame:
+    """:func:`dense` by dot product for as many queries as there are vectors.
+
+    Every block of queries meets every block of vectors in a matrix product, which keeps k of
+    each query, so no table of all pairs arises.  Vectors are of one length; null ones neither
+    ask nor are found.  Products are rounded to ``digits``, so that equal vectors tie.
+    """
+    if k <= 0:
+        raise ValueError("k must be positive")
+    x, q = vectors.where("vec IS NOT NULL"), queries.where("qvec IS NOT NULL")
+    nx, nq = (max(1, -(-t.count() // block)) for t in (x, q))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    x = x.select("chunk_id", "vec", part("chunk_id", nx).alias("xb"), every(nq).alias("qb"))
+    q = q.select("query_id", "qvec", part("query_id", nq).alias("qb")).withColumn("xb", every(nx))
+    kinds = [t.schema[c].dataType.simpleString() for t, c in ((q, "query_id"), (x, "chunk_id"))]
+    best = x.groupBy("xb", "qb").cogroup(q.groupBy("xb", "qb")).applyInPandas(_block_best(k, digits, STEP), f"query_id {kinds[0]}, chunk_id {kinds[1]}, relevance double")
+    return top_k(best, k)
+
+
 def rrf(sources: list[DataFrame], k: int, rank_constant: int = RRF_K) -> DataFrame:
     """Reciprocal-rank fusion: sum of 1 / (constant + rank), and each source's score in order."""
     every = None

@@ -155,6 +155,21 @@ def cosine_distance_topk(spark, d):
     return _round(out, "relevance", "raw_score").select("query_id", "chunk_id", "raw_score", "relevance", "rank")
 
 
+def dense_batch(spark, d):
+    """Every vector asks for its neighbours."""
+    v = _vectors(spark, d)
+    return _ranked(R.dense_blocks(v, v.select(F.col("chunk_id").alias("query_id"), F.col("vec").alias("qvec")), 10))
+
+
+_DENSE_BATCH_SQL = f"""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e WHERE list_dot_product(v, v) > 0),
+s AS (SELECT q.vec_id AS query_id, u.vec_id AS chunk_id, round(list_dot_product(u.v, q.v), 12) AS d FROM u CROSS JOIN u q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d DESC, chunk_id)::INTEGER AS rank FROM s)
+SELECT query_id, chunk_id, round(d, {_DIGITS}) AS relevance, rank FROM r WHERE rank <= 10
+"""
+
+
 def _dense_sql(where: str = "true", distance: bool = False) -> str:
     score = "-(1 - d)" if distance else "d"
     extra = f"round(1 - d, {_DIGITS}) AS raw_score, " if distance else ""
@@ -186,6 +201,14 @@ def rrf_hybrid(spark, d):
     return _ranked(_fused(spark, d))
 
 
+def rrf_hybrid_batch(spark, d):
+    """The fusion for every question of the benchmark."""
+    c, q, n = _chunks(spark, d), _bench(spark, d), R.depth(10)
+    asked = R.hash_embeddings(q.select(F.col("query_id").alias("chunk_id"), F.col("query").alias("text")), DIM)
+    near = R.dense_blocks(R.hash_embeddings(c, DIM), asked.select(F.col("chunk_id").alias("query_id"), F.col("vec").alias("qvec")), n, digits=9)
+    return _ranked(R.rrf([R.bm25(c, q, n), near], 10))
+
+
 _RRF_SQL = _bm25_sql(40) + f""", qd AS (SELECT query_id AS chunk_id, query AS text FROM queries),
 {_hash_sql('docs', 'he')}, {_hash_sql('qd', 'hq')},
 nz AS (SELECT he.chunk_id, round(sum(he.value * hq.value), 9) AS d FROM he JOIN hq USING (i) GROUP BY 1),
@@ -196,6 +219,16 @@ r AS (SELECT *, row_number() OVER (ORDER BY relevance DESC, chunk_id)::INTEGER A
 {_RANKED} r WHERE rank <= 10"""
 
 
+_RRF_BATCH_SQL = _bm25_sql(40, queries=_BENCH_SQL) + f""", qd AS (SELECT query_id AS chunk_id, query AS text FROM queries),
+{_hash_sql('docs', 'he')}, {_hash_sql('qd', 'hq')},
+nz AS (SELECT hq.chunk_id AS query_id, he.chunk_id, round(sum(he.value * hq.value), 9) AS d FROM he JOIN hq USING (i) GROUP BY 1, 2),
+dn AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(d, 0) DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id FROM queries CROSS JOIN docs) LEFT JOIN nz USING (query_id, chunk_id)),
+f AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS relevance FROM
+  (SELECT query_id, chunk_id, rank FROM bm25 UNION ALL SELECT query_id, chunk_id, rank FROM dn WHERE rank <= 40) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, chunk_id)::INTEGER AS rank FROM f)
+{_RANKED} r WHERE rank <= 10"""
+
+
 def rrf_conflict_check(spark, d):
     """Sources that hold the same documents but, in the second, texts in lower case."""
     c = _chunks(spark, d).select(F.lit(0).cast("long").alias("query_id"), "chunk_id", "text")
@@ -557,7 +590,7 @@ def token_lengths(spark, d):
 
 
 def queries() -> dict:
-    named = [corpus_stats, postings_df, idf_table, token_lengths, bm25_topk, bm25_topk_filtered, bm25_batch, hash_embed, dense_topk, dense_topk_filtered, cosine_distance_topk, rrf_hybrid, rrf_conflict_check, rerank_noop, rerank_stub, chunk_windows_fixed, chunk_windows_sliding, chunk_evidence, sentence_spans, pack_sentence_tiles, chunk_conversation, chunk_table_rows, span_overlap_join, chunk_ids, html_text_spans, asset_dedup, asset_identity, upsert_merge, delete_anti, sparse_conflicts, prompt_budget, prompt_render, extractive_answer, citations, eval_case_metrics, eval_family_means, eval_thresholds, answer_metrics, latency_percentiles, transcript_validate]
+    named = [corpus_stats, postings_df, idf_table, token_lengths, bm25_topk, bm25_topk_filtered, bm25_batch, hash_embed, dense_topk, dense_topk_filtered, cosine_distance_topk, dense_batch, rrf_hybrid, rrf_hybrid_batch, rrf_conflict_check, rerank_noop, rerank_stub, chunk_windows_fixed, chunk_windows_sliding, chunk_evidence, sentence_spans, pack_sentence_tiles, chunk_conversation, chunk_table_rows, span_overlap_join, chunk_ids, html_text_spans, asset_dedup, asset_identity, upsert_merge, delete_anti, sparse_conflicts, prompt_budget, prompt_render, extractive_answer, citations, eval_case_metrics, eval_family_means, eval_thresholds, answer_metrics, latency_percentiles, transcript_validate]
     return {f.__name__: f for f in named} | STRATEGIES | {k: _filter(n) for k, (n, _) in _FILTERS.items()} | {"answer_question": flagship}
 
 
@@ -575,7 +608,9 @@ def oracle_sql() -> dict[str, str]:
         "dense_topk": _dense_sql(),
         "dense_topk_filtered": _dense_sql("label IN (1, 3, 5)"),
         "cosine_distance_topk": _dense_sql(distance=True),
+        "dense_batch": _DENSE_BATCH_SQL,
         "rrf_hybrid": _RRF_SQL,
+        "rrf_hybrid_batch": _RRF_BATCH_SQL,
         "rrf_conflict_check": "SELECT 0::BIGINT AS query_id, doc_id AS chunk_id, 2::BIGINT AS n_rows, 2::BIGINT AS n_contents FROM documents WHERE text <> lower(text)",
         "rerank_noop": _bm25_sql(20, queries=_BENCH_SQL) + _RANKED + "bm25 WHERE rank <= 5",
         "rerank_stub": _RERANK_SQL,
