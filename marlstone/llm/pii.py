@@ -27,20 +27,32 @@ CONTEXT = 48
 KINDS = ("email", "ip", "card", "ssn", "phone", "number")
 VOTERS = ("format", "checksum", "gazetteer", "cue", "counter", "shape")
 _MAIL = re.compile(r"[^\s<>()\[\],;:\"'=]+@[^\s<>()\[\],;:\"'=]+")
+_IP = r"\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"
+_CARD = r"(?:\d{4}[ -]\d{6}[ -]\d{5}|\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7})(?!\w)"
+_SSN = r"\d{3}-\d{2}-\d{4}(?![\w-])"
+#: A separator inside a number; a space before a whole address, card or SSN ends the number.
+_SEP = rf"(?:[.-]| (?!{_IP}|{_CARD}|{_SSN}))"
+#: The same after a calling code, where groups of four may look like the head of a card.
+_JOIN = rf"(?:[.-]| (?!{_IP}|{_SSN}))"
 _NUMBER = re.compile(
-    r"(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
-    r"|(?P<card>(?<![\w.])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\w))"
-    r"|(?P<ssn>(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}(?:[ .-]\d{2,4})?(?!\w))"
-    r"|(?P<number>(?<![\w.])\+?\d[\d .()-]{5,}\d(?!\w))"
+    rf"(?P<ip>(?<![\w.]){_IP})"
+    rf"|(?P<card>(?<![\w.]){_CARD})"
+    rf"|(?P<ssn>(?<![\w.-]){_SSN})"
+    r"|(?P<phone>(?<![\w.])(?:"
+    rf"(?:\+\d{{1,3}}[ .-]?\d|0\d)(?:{_SEP}\d{{2}}){{4}}(?!\w|\.\d)"  # pairs
+    r"|(?:\+\d{8,15}|0\d{8,10}|\d{10})(?!\w|\.\d)"  # no separators
+    # only a group of three may be followed by one more, and not by the head of another number
+    rf"|(?:\+\d{{1,3}}{_JOIN}?(?:\(\d{{2,4}}\)|\d{{2,4}}){_JOIN}?\d{{3,4}}{_JOIN}|(?:\(\d{{2,4}}\)|\d{{2,4}}){_SEP}?\d{{3,4}}{_SEP})"
+    rf"(?:\d{{4}}|\d{{3}}(?:{_SEP}\d{{2,4}}(?![.-]?\d))?)(?!\w|\.\d)))"
+    rf"|(?P<number>(?<![\w.])\+?\d(?:{_SEP}|[\d()]){{5,}}\d(?!\w))"
 )
 _STRICT = {
     "email": re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}"),
     "ip": re.compile(r"(?:\d{1,3}\.){3}\d{1,3}"),
-    "card": re.compile(r"\d{13,19}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}"),
+    "card": re.compile(r"\d{13,19}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5}"),
     "ssn": re.compile(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}"),
-    "phone": re.compile(r"(?:\+\d{1,3} ?)?\(\d{3}\) ?\d{3}-\d{4}|\+\d{1,3}(?:[ -]\d{2,4}){3,4}|\d{3}[-.]\d{3}[-.]\d{4}"),
-    "number": re.compile(r"(?!)"),
+    "phone": re.compile(r"(?:\+\d{1,3} ?)?\(\d{3}\) ?\d{3}-\d{4}|\+\d{1,3}(?:[ -]\d{2,4}){3,4}|\d{3}[-.]\d{3}[-.]\d{4}|(?:\+\d{1,3} ?\d|0\d)(?:[ .-]\d{2}){4}|\+\d{8,15}|0\d{8,10}|[2-9]\d{2}[2-9]\d{6}"),
+    "number": re.compile(r"[+0][\d .()-]+"),  # dialled in groups of no known format
 }
 _TLDS = set("com org net edu gov info io co biz me dev app uk de fr es it nl eu us ca au ch at be jp cn in br pl se no".split())
 _CALLING = {"1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "55", "61", "81", "82", "86", "90", "91"}
@@ -82,7 +94,7 @@ def votes(kind: str, span: str, before: str, after: str) -> list[int]:
     cue = 1 if any(w in _CUES for w in near) else 0
     last = C.WORD.findall(before)[-1:]
     counter = -1 if (last and last[0].lower() in _COUNTER) or before[-1:] in ("=", "#", "$", "€", "/", "\\", "_") or after[:1] in ("%", "/", "_", "=") else 0
-    low, high = {"email": (6, 80), "ip": (7, 15), "card": (13, 23), "ssn": (11, 11), "phone": (9, 22), "number": (99, 99)}[kind]
+    low, high = {"email": (6, 80), "ip": (7, 15), "card": (13, 23), "ssn": (11, 11), "phone": (9, 22), "number": (9, 24)}[kind]
     return [strict, check, gaz, cue, counter, 1 if low <= len(span) <= high and len(set(digits)) != 1 else -1]
 
 

@@ -17,7 +17,7 @@ from marlstone.llm.mixing import SplitTree, mix, quotas
 from marlstone.llm.ngram_join import choose_boundary, components, ngram_jaccard_join, parity, similar_classes
 from marlstone.llm.packing import differencing, pack, pack_documents
 from marlstone.llm.permutation_ann import nearest_neighbours, overlap, weights
-from marlstone.llm.pii import candidates, estimate, find_pii
+from marlstone.llm.pii import candidates, estimate, find_pii, votes
 from marlstone.llm.quality_fm import Featurizer, FactorisationMachine, fit_quality, score_quality
 from marlstone.llm.secret_scan import describe, findings, fit_forest, labelled_findings
 from marlstone.llm.toxicity import CumulativeLink, fit_toxicity, score_toxicity
@@ -297,6 +297,22 @@ def test_pii_spans(spark):
     assert all(t[r.doc_id][r.start : r.end] == t[r.doc_id].split()[20] for r in got if r.kind == "email")
 
 
+def test_pii_adjacent_and_unformatted():
+    spans = lambda t: [(t[s:e], k) for s, e, k in candidates(t)]
+    ip, card = ("190.137.223.204", "ip"), ("4111 1111 1111 1111", "card")
+    alone = ["+1 (555) 555-4081", "319-555-5132", "319.555.5132", "+49 30 1234 5678", "+49 30 123 456 78", "01 42 68 53 00", "+33 1 42 68 53 00", "2125550143", "+12125550143", "+33142685300", "0142685300"]
+    for x in [(p, "phone") for p in alone] + [("3782 822463 10005", "card"), ("378282246310005", "card"), card]:
+        assert votes(x[1], x[0], "", "")[0] == 1 and spans(f"a {x[0]} b") == [x]
+        for y in (ip, card):
+            assert spans(f"a {x[0]} {y[0]} b") == [x, y]
+            assert spans(f"a {y[0]} {x[0]} b") == [y, x]
+    for n in ("12", "1234567"):
+        assert ip in spans(f"a {n} 190.137.223.204 b") and card in spans(f"a {n} 4111 1111 1111 1111 b")
+    assert spans("+1 (555) 555-4081 190 items")[0] == ("+1 (555) 555-4081", "phone")
+    assert spans("a 0176 5 55 12 34 b") == [("0176 5 55 12 34", "number")]
+    assert votes("number", "0176 5 55 12 34", "call ", "") == [1, 0, 0, 1, 0, 1]
+
+
 def test_secret_forest():
     forest = fit_forest(labelled_findings(2000, 5))
     rows = labelled_findings(1500, 77)
