@@ -159,11 +159,14 @@ def _block_best(k: int, digits: int, step: int):
             ids, xs = x["chunk_id"].to_numpy(), np.stack(x["vec"].to_numpy())
             q_ids, qs = q["query_id"].to_numpy(), np.stack(q["qvec"].to_numpy())
             for lo in range(0, len(qs), step):
-                for i, s in zip(q_ids[lo : lo + step], np.round(qs[lo : lo + step] @ xs.T, digits)):
-                    at = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
-                    at = at[np.lexsort((ids[at], -s[at]))][:k]
-                    out.append(pd.DataFrame({"query_id": i, "chunk_id": ids[at], "relevance": s[at]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "chunk_id": [], "relevance": []})
+                for i, s in zip(q_ids[lo : lo + step], qs[lo : lo + step] @ xs.T):
+                    # all that may round to the k-th best or more
+                    at = np.flatnonzero(s >= np.partition(s, -k)[-k] - 10.0**-digits) if len(s) > k else np.arange(len(s))
+                    r = np.round(s[at], digits)
+                    best = np.lexsort((ids[at], -r))[:k]
+                    out.append((np.full(len(best), i), ids[at[best]], r[best]))
+        columns = [np.concatenate(c) for c in zip(*out)] or [[], [], []]
+        return pd.DataFrame(dict(zip(("query_id", "chunk_id", "relevance"), columns)))
 
     return run
 
