@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="marlstone-"))
         base = sc.getCheckpointDir()
     return f"{base.rstrip('/')}/marlstone-{sc.applicationId}"
@@ -35,12 +37,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def table(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends at files
-    that outlive any executor."""
+def table(df: DataFrame, name: str, spark: SparkSession | None = None, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder, in one folder for each value of ``by``, and read
+    it back: lineage ends at files that outlive any executor."""
     spark = spark or df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -68,9 +70,13 @@ def release(tables: list | None = None) -> None:
 atexit.register(release)
 
 
+#: What a row costs in a broadcast hash table beside its values.
+ROW_OVERHEAD = 112
+
+
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Broadcast hint only if the counted rows fit :data:`BROADCAST_BYTES`; otherwise unchanged."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+    return F.broadcast(df) if rows * (row_bytes + ROW_OVERHEAD) <= BROADCAST_BYTES else df
 
 
 def squeeze(values: np.ndarray) -> bytes:

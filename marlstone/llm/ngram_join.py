@@ -12,6 +12,9 @@ the cost, never the result.
 Records travel as packed blocks per (task, shard), not as rows.  Candidates first compare parity
 bitmaps of a few bits per gram, whose difference is never more than that of the sets, so that
 only pairs that are almost surely similar fetch the sets themselves and are verified exactly.
+A gram that more than HOT_LIST documents may hold has its list cut into blocks of documents, and
+every pair of blocks is a group of its own.  Verified pairs are never returned: each block of
+them comes back as one row per set, with its number of links and its root among the block's.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ SKETCH_BITS, CHUNK_BITS = 21, 16
 #: Records of one shard, to bound a task's memory.
 SHARD_RECORDS = 1_500_000
 VERIFY_BYTES = 24 << 20
+#: Documents of one list that are held against each other in one group.
+HOT_LIST = 4096
 SUBSET = 2
 
 
@@ -46,29 +51,33 @@ def parity(g: np.ndarray) -> bytes:
 
 
 def _profile(n: int):
-    names = ["doc_id", "size", "hi", "lo", "bits", "chunk", "blob"]
+    names = ["doc_id", "text_key", "size", "hi", "lo", "bits", "chunk", "blob"]
 
     def run(batches):
         cache, sketch = C.HashCache(), np.zeros(1 << SKETCH_BITS, np.uint32)
         for b in batches:
-            ids, size, hi, lo, bits = [], [], [], [], []
-            for doc, text in zip(b.column(0).to_pylist(), C.each(b.column(1))):
+            ids, text_key, size, hi, lo, bits = [], [], [], [], [], []
+            for doc, text, tk in zip(b.column(0).to_pylist(), C.each(b.column(1)), b.column(2).to_pylist()):
                 g = C.ngram_set(text, n, cache)
+                ids.append(doc)
+                text_key.append(tk)
+                size.append(len(g))
                 if not len(g):
+                    hi.append(0)
+                    lo.append(0)
+                    bits.append(b"")
                     continue
                 np.add.at(sketch, (g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
                 with np.errstate(over="ignore"):
                     hi.append(int(np.bitwise_xor.reduce(C.mix(g))) ^ len(g))
                     lo.append(int(C.mix(g ^ np.uint64(0x5851F42D4C957F2D)).sum()))
-                ids.append(doc)
-                size.append(len(g))
                 bits.append(parity(g))
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(size, pa.int32()), signed(hi), signed(lo), pa.array(bits, pa.binary()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(text_key, pa.int64()), pa.array(size, pa.int32()), signed(hi), signed(lo), pa.array(bits, pa.binary()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names=names)
         if sketch.any():
             parts = np.minimum(sketch, 255).astype(np.uint8).reshape(-1, 1 << CHUNK_BITS)
             k = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
     return run
 
@@ -89,13 +98,36 @@ def _order(g: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return g, (r[by].astype(np.uint64) << np.uint64(26) | g >> np.uint64(38)).astype(np.uint32)
 
 
-def _signatures(n: int, t: float, bound: int, shards: int, rank_b):
-    """Blocks of (key, doc, size) per kind and shard.  kind 0: subsets, 1: inverted lists."""
+#: How an entry of a list meets others: any of them, or only those of the other side.
+ANY, LEFT, RIGHT = 0, 1, 2
+
+
+def _cut(keys: np.ndarray, doc: int, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and sides of one document's entries, lists of more than one block by pairs of blocks.
+
+    The document is in block x of its list: in the pair (x, x) it meets any, in (x, y) those of y.
+    """
+    hot = np.flatnonzero(blocks > 1)
+    if not len(hot):
+        return keys, np.zeros(len(keys), np.int32)
+    out, side = [keys[blocks == 1]], [np.zeros(int((blocks == 1).sum()), np.int32)]
+    for i in hot.tolist():
+        n = int(blocks[i])
+        x, y = int(C.mix(np.array([doc], np.int64).view(np.uint64))[0] % np.uint64(n)), np.arange(n)
+        pair = (np.minimum(x, y) * n + np.maximum(x, y) + 1).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            out.append(C.mix(keys[i] ^ C.mix(pair)))
+        side.append(np.where(y == x, ANY, np.where(x < y, LEFT, RIGHT)).astype(np.int32))
+    return np.concatenate(out), np.concatenate(side)
+
+
+def _signatures(n: int, t: float, bound: int, shards: int, order_b):
+    """Blocks of (key, doc, size and side) per kind and shard.  kind 0: subsets, 1: lists."""
 
     def run(batches):
-        cache, rank = C.HashCache(), rank_b.value
+        cache, (rank, lists) = C.HashCache(), order_b.value
         for b in batches:
-            out = {0: ([], [], [], []), 1: ([], [], [], [])}
+            out = {0: ([], [], [], [], []), 1: ([], [], [], [], [])}
             for doc, text in zip(b.column(0).to_pylist(), C.each(b.column(1))):
                 g = C.ngram_set(text, n, cache)
                 if not len(g):
@@ -110,17 +142,21 @@ def _signatures(n: int, t: float, bound: int, shards: int, rank_b):
                     out[0][1].append(doc)
                     out[0][2].append(s)
                     out[0][3].append(0)
+                    out[0][4].append(np.zeros(len(i), np.int32))
                 # a subset set is in the lists only if a scanning set can match it
                 if not enumerates or s >= t * (bound + 1) - 1e-9 or s * t < SUBSET / t + 1:
-                    out[1][0].append(g[: s - o + 1])
+                    p = g[: s - o + 1]
+                    keys, side = _cut(p, doc, lists[(p >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)])
+                    out[1][0].append(keys)
                     out[1][1].append(doc)
                     out[1][2].append(s)
                     out[1][3].append(int(place[s - o]))
-            for kind, (keys, docs, sizes, lasts) in out.items():
+                    out[1][4].append(side)
+            for kind, (keys, docs, sizes, lasts, sides) in out.items():
                 if not keys:
                     continue
                 lens = [len(k) for k in keys]
-                key, doc, size, last = np.concatenate(keys), np.repeat(np.array(docs, np.int64), lens), np.repeat(np.array(sizes, np.int32), lens), np.repeat(np.array(lasts, np.uint32), lens)
+                key, doc, size, last = np.concatenate(keys), np.repeat(np.array(docs, np.int64), lens), np.repeat(np.array(sizes, np.int32), lens) << 2 | np.concatenate(sides), np.repeat(np.array(lasts, np.uint32), lens)
                 shard = ((key >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
                 by = np.argsort(shard, kind="stable")
                 cuts = np.searchsorted(shard[by], np.arange(shards + 1))
@@ -172,6 +208,7 @@ def _pairs(t: float, bound: int, shards: int):
         key, doc, size, last = key[by], doc[by], size[by], last[by]
         if not len(key):
             return none
+        side, size = size & 3, size >> 2
         rec = np.rec.fromarrays([doc, size, last], names="d,s,w")
         ent, at = np.unique(rec, return_inverse=True)
         del rec, last
@@ -191,7 +228,7 @@ def _pairs(t: float, bound: int, shards: int):
             r = reach[s]
             a = np.repeat(s, r)
             b = a + 1 + (np.arange(len(a)) - np.repeat(np.cumsum(r) - r, r))
-            keep = doc[a] != doc[b]
+            keep = (doc[a] != doc[b]) & ((side[a] == ANY) | (side[a] != side[b]))
             if kind == 1:  # two enumerating sets meet on their subsets
                 keep &= scans[a] | scans[b]
             a, b = a[keep], b[keep]
@@ -245,22 +282,15 @@ def _compare_bitmaps(t: float):
     """Pairs that the bitmaps allow: |x ^ y| >= bits that differ, and <= what t permits."""
 
     def run(key, maps: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        rows: dict[int, list[int]] = {}
-        for i, d in enumerate(maps["doc_id"]):
-            rows.setdefault(d, []).append(i)
-        size = maps["size"].to_numpy(np.int64)
+        maps = maps.drop_duplicates("sid").sort_values("sid", kind="stable")
+        ids, size = maps["sid"].to_numpy(np.int64), maps["size"].to_numpy(np.int64)
         raw = [np.frombuffer(b, np.uint8) for b in maps["bits"]]
         wide = np.array([len(b) * 8 for b in raw], np.int64)
-        at, x, y = [], [], []
-        for k, (a, b) in enumerate(zip(pairs["a"].tolist(), pairs["b"].tolist())):
-            for i in rows.get(a, ()):
-                for j in rows.get(b, ()):
-                    at.append(k)
-                    x.append(i)
-                    y.append(j)
-        at, x, y = (np.array(v, np.int64) for v in (at, x, y))
+        if not len(ids):
+            return pairs.loc[[], ["a", "b"]]
+        x, y = (np.minimum(np.searchsorted(ids, pairs[c].to_numpy(np.int64)), len(ids) - 1) for c in ("a", "b"))
         ok = np.zeros(len(pairs), bool)
-        width = np.minimum(wide[x], wide[y]) if len(x) else np.zeros(0, np.int64)
+        width = np.minimum(wide[x], wide[y])
         for w in np.unique(width):
             of = np.flatnonzero(width == w)
             used, pos = np.unique(np.concatenate([x[of], y[of]]), return_inverse=True)
@@ -270,7 +300,7 @@ def _compare_bitmaps(t: float):
                 o = of[lo : lo + step]
                 differ = np.bitwise_count(m[pos[lo : lo + len(o)]] ^ m[pos[len(of) + lo : len(of) + lo + len(o)]]).sum(1, dtype=np.int64)
                 both = size[x[o]] + size[y[o]]
-                ok[at[o[differ <= both - 2 * needed(both, t / (1 + t))]]] = True
+                ok[o[differ <= both - 2 * needed(both, t / (1 + t))]] = True
         return pairs.loc[ok, ["a", "b"]]
 
     return run
@@ -281,7 +311,7 @@ def _sets(n: int):
         cache = C.HashCache()
         for b in batches:
             # 40 bits of each hash, still sorted: equal grams stay equal, others collide once in 10^12
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([(C.ngram_set(x, n, cache) >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for x in C.each(b.column(1))], pa.binary())], names=["doc_id", "grams"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([(C.ngram_set(x, n, cache) >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for x in C.each(b.column(1))], pa.binary())], names=["sid", "grams"])
 
     return run
 
@@ -292,25 +322,43 @@ def _unpack(b: bytes) -> np.ndarray:
     return out.view(np.uint64).reshape(-1)
 
 
+def _roots(a: np.ndarray, b: np.ndarray) -> dict[int, int]:
+    """Smallest id reachable over the edges (a, b), by union-find."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root.setdefault(up, up)
+            x = up
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist()):
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+    return {x: find(x) for x in list(root)}
+
+
 def _verify(t: float):
+    """The pairs of a block that reach ``t``, as one row per set: its root and number of links."""
+
     def run(key, sets: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        have: dict[int, list[np.ndarray]] = {}
-        for d, b in zip(sets["doc_id"], sets["grams"]):
-            have.setdefault(d, []).append(_unpack(b))
-        out = []
-        for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist()):
-            best = 0.0
-            for x in have.get(a, ()):
-                for y in have.get(b, ()):
-                    if len(x) > len(y):
-                        x, y = y, x
-                    at = np.searchsorted(y, x)
-                    at[at == len(y)] = 0
-                    both = int(np.count_nonzero(y[at] == x))
-                    best = max(best, both / (len(x) + len(y) - both))
-            if best >= t:
-                out.append((a, b, best))
-        return pd.DataFrame(out, columns=["doc_a", "doc_b", "jaccard"]).astype({"doc_a": "int64", "doc_b": "int64", "jaccard": "float64"})
+        have = {d: _unpack(b) for d, b in zip(sets["sid"], sets["grams"])}
+        a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
+        ok = np.zeros(len(a), bool)
+        for i, (p, q) in enumerate(zip(a.tolist(), b.tolist())):
+            x, y = have.get(p), have.get(q)
+            if x is None or y is None:
+                continue
+            if len(x) > len(y):
+                x, y = y, x
+            at = np.searchsorted(y, x)
+            at[at == len(y)] = 0
+            both = int(np.count_nonzero(y[at] == x))
+            ok[i] = both >= t * (len(x) + len(y) - both) - 1e-9
+        ids, links = np.unique(np.concatenate([a[ok], b[ok]]), return_counts=True)
+        root = _roots(a[ok], b[ok])
+        return pd.DataFrame({"sid": ids, "root": np.array([root[x] for x in ids.tolist()], np.int64), "links": links.astype(np.int64)})
 
     return run
 
@@ -333,13 +381,30 @@ def choose_boundary(hist: list[tuple[int, int]], list_len: float, t: float) -> i
     return bound
 
 
-def similar_classes(docs: DataFrame, n: int = NGRAM, t: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): ``members`` (rep, doc_id) maps each document of a class of equal n-gram
-    sets to its smallest doc_id, for classes of two and more; ``pairs`` (doc_a, doc_b, jaccard)
-    holds the similar pairs of representatives.  Compact: no class is expanded."""
+def list_length(sketch: np.ndarray, excess: np.ndarray, t: float) -> float:
+    """Others that an entry of a scanned list meets, on average: over the ``1 - t`` of all gram
+    occurrences that come first in the order, those of the rarest grams, as the sketch has them."""
+    by = np.argsort(excess, kind="stable")
+    mass = np.cumsum(sketch[by], dtype=np.float64)
+    first = by[: int(np.searchsorted(mass, (1 - t) * mass[-1])) + 1] if mass[-1] else by[:0]
+    return float((sketch[first] * excess[first]).sum() / max(1.0, float(sketch[first].sum())))
+
+
+def _coarse(size):
+    """Set sizes as they are up to 4096, above rounded up to 6 leading bits."""
+    step = F.pow(F.lit(2.0), F.floor(F.log2(F.col(size).cast("double"))) - 6)
+    return F.when(F.col(size) <= 4096, F.col(size).cast("long")).otherwise((F.ceil(F.col(size) / step) * step).cast("long"))
+
+
+def similar_sets(docs: DataFrame, n: int = NGRAM, t: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(rows, links).  ``rows`` (doc_id, text_key, sid) has every document's set, null if it has
+    none; equal sets have one sid, which is the smallest doc_id that has the set (a number below
+    all doc_ids where that document has several sets).  ``links`` (sid, root, links) says, for
+    some blocks of similar pairs, how many of them a set is in and the smallest sid that it
+    reaches over them; every pair of similar sets is in one block."""
     spark = docs.sparkSession
-    src = C.require(docs, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    prof = C.table(src.mapInArrow(_profile(n), "doc_id long, size int, hi long, lo long, bits binary, chunk int, blob binary"), "ngram-profile")
+    src = C.require(docs, "doc_id", "text").where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key"))
+    prof = C.table(src.mapInArrow(_profile(n), "doc_id long, text_key long, size int, hi long, lo long, bits binary, chunk int, blob binary"), "ngram-profile")
     sketch = np.zeros((1 << SKETCH_BITS - CHUNK_BITS, 1 << CHUNK_BITS), np.uint32)
     for r in prof.where("chunk IS NOT NULL").select("chunk", "blob").groupBy("chunk").applyInPandas(_add_chunks, "chunk int, blob binary").collect():
         sketch[r.chunk] = np.frombuffer(r.blob, np.uint32)
@@ -348,70 +413,98 @@ def similar_classes(docs: DataFrame, n: int = NGRAM, t: float = THRESHOLD) -> tu
     # classes of excess over what unrelated grams in the same cell explain; 0: nothing stands out
     excess = np.maximum(sketch - (mean + 4 * math.sqrt(mean)), 0)
     rank = np.ceil(np.log2(1 + excess)).astype(np.uint8)
-    sets = prof.where("chunk IS NULL").select("doc_id", "size", "hi", "lo")
-    members = C.table(
-        sets.groupBy("size", "hi", "lo").agg(F.min("doc_id").alias("rep"), F.sort_array(F.collect_set("doc_id")).alias("ids"))
-        .where("size(ids) > 1").select("rep", F.explode("ids").alias("doc_id")), "ngram-classes")
-    other = members.where("rep <> doc_id").select("doc_id").distinct()
+    lists = np.minimum(np.ceil(np.maximum(excess, 1) / HOT_LIST), 65535).astype(np.uint16)
+    rows, sets = prof.where("chunk IS NULL"), prof.where("size > 0")
+    classes = C.table(sets.groupBy("size", "hi", "lo").agg(F.min(F.struct("doc_id", "text_key")).alias("r"), F.count("*").alias("n")).select("size", "hi", "lo", F.col("r.doc_id").alias("rep"), F.col("r.text_key").alias("rep_key"), "n"), "ngram-classes")
+    stats = classes.agg(F.count("*").alias("n"), F.sum(F.expr("CAST(n > 1 AS LONG)")).alias("copied"), F.min("rep").alias("low")).first()
+    twice = C.table(classes.groupBy("rep").count().where("count > 1").select("rep"), "ngram-twice")
+    n_twice = twice.count()
+    sid = classes.withColumn("sid", F.col("rep"))
+    named = lambda d, doc: d.withColumn("sid", F.col(doc))
+    if n_twice:  # a document with several texts that are the least of their classes
+        minted = C.table(classes.join(C.small(twice, n_twice, 8), "rep", "left_semi").select(F.col("rep").alias("m_doc"), F.col("rep_key").alias("m_key"), (F.lit(stats.low - 1) - F.monotonically_increasing_id()).alias("m_sid")), "ngram-minted")
+        n_minted = minted.count()
+
+        def named(d, doc, key="text_key"):
+            return d.join(C.small(minted, n_minted, 24), (F.col(doc) == F.col("m_doc")) & (F.col(key) == F.col("m_key")), "left").withColumn("sid", F.coalesce("m_sid", doc)).drop("m_doc", "m_key", "m_sid")
+
+        sid = named(classes, "rep", "rep_key")
+    copied = sid.where("n > 1").select("size", "hi", "lo", "rep", "rep_key", "sid")
+    other = sets.select("doc_id", "text_key", "size", "hi", "lo").join(C.small(copied, int(stats.copied or 0), 44), ["size", "hi", "lo"]).where("doc_id <> rep OR text_key <> rep_key")
+    other = C.table(other.select("doc_id", "text_key", "sid").distinct(), "ngram-others")
     n_other = other.count()
-    hist = [(int(s), int(c)) for s, c in sets.groupBy(F.least("size", F.lit(4096)).alias("s")).count().collect()]
-    total = sum(s * c for s, c in hist)
-    heavy_share = float(excess.sum()) / max(total, 1)
-    bound = choose_boundary(hist, list_len=heavy_share * 16, t=t)
-    entries = sum(c * (s - int(needed(s, t)) + 1) + (c * (s - int(needed(s, t)) + 2) ** 2 // 2 if s <= bound else 0) for s, c in hist)
+    lone = lambda d: named(d.join(C.small(other, n_other, 24), ["doc_id", "text_key"], "left_anti"), "doc_id")
+    hist = [(int(r.s), int(r.c)) for r in classes.groupBy(_coarse("size").alias("s")).agg(F.count("*").alias("c")).collect()]
+    bound = choose_boundary(hist, list_length(sketch, excess, t), t)
+    # what the cut lists repeat, over all occurrences
+    cut = float((sketch * lists.astype(np.float64)).sum() / max(1.0, float(sketch.sum())))
+    entries = sum(c * (s - int(needed(s, t)) + 1) * cut + (c * (s - int(needed(s, t)) + 2) ** 2 // 2 if s <= bound else 0) for s, c in hist)
     shards = max(4, math.ceil(entries / SHARD_RECORDS))
-    rank_b = spark.sparkContext.broadcast(rank)
-    reps = src.join(C.small(other, n_other, 16), "doc_id", "left_anti") if n_other else src
-    blocks = reps.mapInArrow(_signatures(n, t, bound, shards, rank_b), "shard int, keys binary, docs binary, sizes binary, lasts binary")
+    order_b = spark.sparkContext.broadcast((rank, lists))
+    texts = lone(src.where("text IS NOT NULL")).select("sid", "text")
+    blocks = texts.mapInArrow(_signatures(n, t, bound, shards, order_b), "shard int, keys binary, docs binary, sizes binary, lasts binary")
     met = blocks.groupBy("shard").applyInPandas(_pairs(t, bound, shards), _PACKED)
     cand = C.table(met.groupBy("blk").applyInPandas(_candidates, "a long, b long"), "ngram-candidates")
-    n_sets = sum(c for _, c in hist)
-    grams = max(16, total // max(1, n_sets))
-    close = _by_blocks(cand, prof.where("chunk IS NULL").select("doc_id", "size", "bits"), grams // 2, _compare_bitmaps(t), "a long, b long")
+    grams = max(16, sum(s * c for s, c in hist) // max(1, stats.n))
+    close = _by_blocks(cand, lambda ids: lone(sets).select("sid", "size", "bits").join(ids, "sid", "left_semi"), grams // 2, _compare_bitmaps(t), "a long, b long")
     cand = C.table(close, "ngram-close")
-    sets_of = lambda ids: src.join(ids, "doc_id", "left_semi").mapInArrow(_sets(n), "doc_id long, grams binary")
-    pairs = _by_blocks(cand, sets_of, grams * 5, _verify(t), "doc_a long, doc_b long, jaccard double")
-    return members, C.table(pairs, "ngram-pairs")
+    sets_of = lambda ids: texts.join(ids, "sid", "left_semi").mapInArrow(_sets(n), "sid long, grams binary")
+    links = C.table(_by_blocks(cand, sets_of, grams * 5, _verify(t), "sid long, root long, links long"), "ngram-links")
+    rows = rows.select("doc_id", "text_key", "size").join(C.small(other, n_other, 24), ["doc_id", "text_key"], "left")
+    rows = named(rows.withColumnRenamed("sid", "of"), "doc_id")
+    return rows.select("doc_id", "text_key", F.when(F.col("size") > 0, F.coalesce("of", "sid")).alias("sid")), links
 
 
 def _by_blocks(pairs: DataFrame, side, row_bytes: int, check, schema: str) -> DataFrame:
-    """Run ``check`` on pairs (a, b) together with the rows of ``side`` for their documents.
+    """Run ``check`` on pairs (a, b) together with the rows that ``side`` gives for their sets.
 
-    Documents fall into blocks, and a document goes once to each pair of blocks in which it has a
-    pair: a group's memory is bounded and large groups of similar documents don't multiply rows.
+    Sets fall into blocks, and a set goes once to each pair of blocks in which it has a pair: a
+    group's memory is bounded and large groups of similar documents don't multiply rows.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = C.table(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "ngram-met")
     n = ids.count()
     blocks = max(2, math.ceil(math.sqrt(2 * n * row_bytes / VERIFY_BYTES)))
     blk = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     pair = pairs.withColumn("ga", F.least(blk("a"), blk("b"))).withColumn("gb", F.greatest(blk("a"), blk("b")))
-    where = pair.select(F.col("ga").alias("pa"), F.col("gb").alias("pb"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    ids = C.small(ids, n, 16)
-    rows = side(ids) if callable(side) else side.join(ids, "doc_id", "left_semi")
-    placed = rows.join(C.small(where, where.count(), 24), "doc_id")
+    where = C.table(pair.select(F.col("ga").alias("pa"), F.col("gb").alias("pb"), F.explode(F.array("a", "b")).alias("sid")).distinct(), "ngram-where")
+    placed = side(C.small(ids, n, 8)).join(C.small(where, where.count(), 16), "sid")
     return placed.groupBy("pa", "pb").cogroup(pair.groupBy("ga", "gb")).applyInPandas(check, schema)
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = NGRAM, t: float = THRESHOLD) -> DataFrame:
-    """Every pair doc_a < doc_b of documents whose word n-gram sets have Jaccard >= ``t``.
+def similar_classes(docs: DataFrame, n: int = NGRAM, t: float = THRESHOLD) -> DataFrame:
+    """(doc_id, text_key, class_id, n_links) of every row of ``docs`` with a doc_id; ``text_key``
+    is xxhash64 of the text.  See :func:`ngram_jaccard_join` for the rest."""
+    rows, links = similar_sets(docs, n, t)
+    total = C.table(links.groupBy("sid").agg(F.sum("links").alias("links")), "ngram-degrees")
+    roots = C.table(components(links.select(F.col("root").alias("doc_a"), F.col("sid").alias("doc_b"))), "ngram-roots")
+    info = total.join(roots.withColumnRenamed("doc_id", "sid"), "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), "links")
+    rows = rows.join(C.small(info, total.count(), 24), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    rows = C.table(rows, "ngram-rows")
+    minted = rows.groupBy("root").agg(F.min("doc_id").alias("class_id")).where("root < class_id")
+    n_minted = minted.count()  # of classes whose root isn't a doc_id
+    if n_minted:
+        rows = rows.join(C.small(minted, n_minted, 16), "root", "left")
+    else:
+        rows = rows.withColumn("class_id", F.lit(None).cast("long"))
+    return rows.select("doc_id", "text_key", F.coalesce("class_id", "root", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
-    Returns (doc_a, doc_b, jaccard), exact.  A null doc_id or text and a text without any letter
-    or digit have no set and no pair; a text shorter than n words is one gram.  Rows that repeat
-    a doc_id with other texts count with their best pair; a document never pairs with itself.
-    An empty table gives an empty result; other columns of ``docs`` are ignored.
+
+def ngram_jaccard_join(docs: DataFrame, n: int = NGRAM, t: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, n_links): every document with its class under the word n-gram Jaccard
+    join at ``t``, and its number of links.
+
+    A link joins two different n-gram sets of Jaccard >= ``t``; all are found, none is returned by
+    itself, so the result has as many rows as the documents.  n_links counts the other sets that a
+    document's set is linked to; documents of equal sets share it, and count as one set for
+    others.  class_id is the smallest doc_id that is reached over links and equal sets.  A text
+    shorter than n words is one gram; one without any letter or digit, an empty or null text has no
+    set: it is a class of its own without links.  Rows with a null doc_id are left out.  Equal rows
+    give one row; a doc_id with other texts one for each different class or number of links.  A
+    very long text is one set like others, whole.  Sets are compared by 40 bits of each gram's hash,
+    equal sets by 128 bits of the set's.  An empty table gives an empty result; other columns of
+    ``docs`` are ignored.
     """
-    members, pairs = similar_classes(docs, n, t)
-    m = members.select("rep", "doc_id")
-    n_m = m.count()
-    inside = m.alias("x").join(C.small(m, n_m, 24).alias("y"), F.col("x.rep") == F.col("y.rep")).where("x.doc_id < y.doc_id").select(F.col("x.doc_id").alias("doc_a"), F.col("y.doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    full = lambda side: C.small(m.select(F.col("rep").alias(side), F.col("doc_id").alias(f"{side}_member")), n_m, 24)
-    across = pairs.join(full("doc_a"), "doc_a", "left").join(full("doc_b"), "doc_b", "left")
-    x, y = F.coalesce("doc_a_member", "doc_a"), F.coalesce("doc_b_member", "doc_b")
-    across = across.where(x != y).select(F.least(x, y).alias("doc_a"), F.greatest(x, y).alias("doc_b"), "jaccard")
-    out = inside.unionByName(across)
-    if docs.where("text IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return out  # every document is in one class, so that no pair comes twice
-    return out.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    return similar_classes(docs, n, t).select("doc_id", "class_id", "n_links").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -420,17 +513,18 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps (Kiveris et al. 2014); every second step is
     written to the shared folder, which cuts lineage.
     """
-    e = C.table(edges.select(F.col("doc_a").alias("u"), F.col("doc_b").alias("v")).where("u <> v").distinct(), "star")
+    summary = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    e = C.table(edges.select(F.greatest("doc_a", "doc_b").alias("u"), F.least("doc_a", "doc_b").alias("v")).where("u <> v").distinct(), "star")
+    before = summary(e)
     while True:
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        # every larger neighbour of u goes to the least of u's neighbours
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        nxt = down.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        nxt = C.table(nxt, "star")
-        summary = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        before, after = summary(e), summary(nxt)
-        e = nxt
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        e = C.table(small.where("u <> v").distinct(), "star")
+        after = summary(e)
         if before == after:
             return e.select(F.col("u").alias("doc_id"), F.col("v").alias("root"))
+        before = after

@@ -72,15 +72,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
 g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
         ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g
       FROM w WHERE len(w) > 0),
-n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-b AS (SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, count(*) AS shared FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2)
-SELECT doc_a, doc_b, shared::DOUBLE / (p.n + q.n - shared) AS jaccard
-FROM b JOIN n p ON p.doc_id = doc_a JOIN n q ON q.doc_id = doc_b
-WHERE shared::DOUBLE / (p.n + q.n - shared) >= 0.5
+n AS (SELECT doc_id, count(*) AS n, list(g ORDER BY g) AS s FROM g GROUP BY doc_id),
+b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+p AS (SELECT b.a, b.b, q.s AS s, p.s = q.s AS same FROM b JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b
+      WHERE shared::DOUBLE / (p.n + q.n - shared) >= 0.5),
+r AS (SELECT doc_id, doc_id AS c FROM documents WHERE doc_id IS NOT NULL UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.doc_id),
+c AS (SELECT doc_id, min(c) AS class_id FROM r GROUP BY doc_id),
+k AS (SELECT a AS doc_id, count(DISTINCT s) AS n_links FROM p WHERE NOT same GROUP BY a)
+SELECT c.doc_id, class_id, coalesce(n_links, 0) AS n_links FROM c LEFT JOIN k USING (doc_id)
 """
 
 OP2_SQL = """
