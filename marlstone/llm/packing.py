@@ -4,6 +4,10 @@ Pieces start as partial partitions with one filled window each.  The two partiti
 largest imbalance merge, the fullest windows of one with the emptiest of the other, until one
 partition is left: windows of near-equal load.  If its fullest window exceeds the capacity, the
 number of windows rises and the differencing is done again.
+
+Differencing runs in blocks of about BLOCK_WINDOWS windows of tokens, to which a hash assigns the
+pieces, so that the loss of a block's last window is the same share at every size of corpus and
+document.
 """
 
 from __future__ import annotations
@@ -13,14 +17,18 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
 CAPACITY = 4096
-#: Pieces that are differenced together; the number of such blocks follows the corpus.
-BLOCK_PIECES = 512
+#: Windows' worth of tokens that are differenced together; the number of such blocks follows the
+#: tokens of the corpus.
+BLOCK_WINDOWS = 64
+#: Copies of one piece that are numbered at a time.
+COPIES = 4096
 
 
 def differencing(sizes: np.ndarray, windows: int) -> list[list[int]]:
@@ -64,7 +72,7 @@ def pack(sizes: np.ndarray, capacity: int) -> list[list[int]]:
 
 def _windows(capacity: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "start_token", "n_tokens"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["doc_id", "start_token", "n_tokens", "copy"], kind="stable").reset_index(drop=True)
         size = pdf["n_tokens"].to_numpy(np.int64)
         window, offset = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
         base = int(pdf["block"].iloc[0]) << 32
@@ -77,30 +85,60 @@ def _windows(capacity: int):
     return run
 
 
-def token_count(text: str = "text"):
-    """White-space separated tokens of a text column, inside the JVM."""
-    bare = F.regexp_replace(F.col(f"`{text}`"), r"\s+", " ")
-    bare = F.trim(bare)
-    return F.when(bare == "", 0).otherwise(F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit(""))) + 1)
-
-
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_PIECES) -> DataFrame:
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+#: Lead bytes of the white space beyond ASCII.
+_FURTHER = np.zeros(256, bool)
+_FURTHER[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def token_counts(texts: pa.Array) -> np.ndarray:
+    """Tokens of each text, as ``str.split`` has them: runs without white space of any script."""
+    texts = texts.cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    at = ends - ends[0]
+    space = _SPACE[raw]
+    start = ~space
+    start[1:] &= space[:-1]
+    first = at[:-1][at[1:] > at[:-1]]
+    start[first] = ~space[first]
+    # places, not running sums: their memory is that of the tokens, not eight times the text
+    out = np.diff(np.searchsorted(np.flatnonzero(start), at))
+    odd = np.diff(np.searchsorted(np.flatnonzero(_FURTHER[raw]), at))
+    for i in np.flatnonzero(odd).tolist():
+        out[i] = len(texts[i].as_py().split())
+    return out
+
+
+def _count(batches):
+    for b in batches:
+        n = token_counts(b.column(1))
+        rows = pa.array(np.flatnonzero(n))
+        yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array(n[n > 0])], names=["doc_id", "tokens"])
+
+
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """(doc_id, start_token, n_tokens, window_id, window_offset): where each piece of each
     document lies.
 
-    A document of more than ``capacity`` tokens is cut into pieces of ``capacity`` and a rest;
-    every token is in exactly one piece and no window holds more than ``capacity``.  Pieces are
-    spread over blocks by a hash of doc_id and packed per block.  A null or blank text has no
-    tokens and no piece; rows with a null doc_id are left out; rows that repeat a doc_id are packed
-    one by one.  Other columns are ignored; an empty table gives an empty result.
+    Tokens are runs without white space.  A document of more than ``capacity`` tokens, however
+    long, is cut into pieces of ``capacity`` and a rest; every token is in exactly one piece and no
+    window holds more than ``capacity``.  Pieces are spread over blocks by a hash and packed per
+    block; ties in size go by doc_id and start.  A null, empty or blank text has no tokens and no
+    piece; rows with a null doc_id are left out; rows that repeat a doc_id are packed one by one.
+    Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    src = C.require(docs, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), token_count().cast("int").alias("tokens")).where("tokens > 0")
-    pieces = src.select("doc_id", "tokens", F.explode(F.sequence(F.lit(0), F.col("tokens") - 1, F.lit(capacity))).alias("start_token"))
-    pieces = C.table(pieces.select("doc_id", "start_token", F.least(F.col("tokens") - F.col("start_token"), F.lit(capacity)).alias("n_tokens")), "pack-pieces")
-    n = pieces.count()
-    if not n:
+    src = C.require(docs, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_count, "doc_id long, tokens long")
+    pieces = src.select("doc_id", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tokens") - 1, F.lit(capacity).cast("long"))).alias("start_token"))
+    pieces = pieces.select("doc_id", F.col("start_token").cast("int").alias("start_token"), F.least(F.col("tokens") - F.col("start_token"), F.lit(capacity)).cast("int").alias("n_tokens"))
+    pieces = C.table(pieces.groupBy("doc_id", "start_token", "n_tokens").count(), "pack-pieces")  # equal pieces are numbered, to part them
+    total = pieces.agg(F.sum(F.col("n_tokens") * F.col("count"))).first()[0]
+    if not total:
         return spark.createDataFrame([], "doc_id long, start_token int, n_tokens int, window_id long, window_offset int")
-    blocks = math.ceil(n / block_pieces)
-    placed = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "start_token"), F.lit(blocks)))
+    blocks = math.ceil(total / (capacity * block_windows))
+    some = pieces.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1, F.lit(COPIES).cast("long"))).alias("from"))
+    each = some.select("doc_id", "start_token", "n_tokens", F.explode(F.sequence("from", F.least(F.col("from") + COPIES, F.col("count")) - 1)).alias("copy"))
+    placed = each.withColumn("block", F.pmod(F.xxhash64("doc_id", "start_token", "copy"), F.lit(blocks)))
     return placed.groupBy("block").applyInPandas(_windows(capacity), "doc_id long, start_token int, n_tokens int, window_id long, window_offset int")
