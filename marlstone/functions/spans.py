@@ -275,6 +275,42 @@ def spans(text: str, policy: Policy, part: str = "text") -> list[Named]:
 _ROW = re.compile(r"^\s*\S.*?(?=\n|$)", re.M)
 
 
+def structured(text: str, limit: int, part: str = "text") -> list[Named]:
+    """Paragraphs cut at the last space or line break within ``limit``, each with the headings that are
+    open where it begins."""
+    heads = [(m.start(), len(m[1]), m[2]) for m in re.finditer(r"^(#{1,6})\s+(.+?)\s*$", text, re.M)]
+    out, open_, k = [], {}, 0
+    for lo, hi in paragraphs(text):
+        while True:
+            end = hi if hi - lo <= limit else max(text.rfind(c, lo, lo + limit + 1) for c in " \n")
+            end = lo + limit if end <= lo else end
+            while k < len(heads) and heads[k][0] < lo:
+                _, level, title = heads[k]
+                open_ = {j: t for j, t in open_.items() if j < level} | {level: title}
+                k += 1
+            if piece := strip(text, lo, end):
+                out.append((*piece, " / ".join(open_[j] for j in sorted(open_)) or part))
+            rest = strip(text, end, hi)
+            if end >= hi or not rest:
+                break
+            lo = rest[0]
+    return out
+
+
+def segments(text: str, limit: int) -> list[str]:
+    """Consecutive pieces of at most ``limit``, cut at the last space or line break if there is one."""
+    out, lo = [], 0
+    while rest := strip(text, lo, len(text)):
+        lo = rest[0]
+        end = min(lo + limit, len(text))
+        if end < len(text):
+            at = max(text.rfind(c, lo, end + 1) for c in " \n")
+            end = at if at > lo else end
+        out.append(text[lo:end].strip())
+        lo = end
+    return out
+
+
 def table_rows(text: str) -> list[re.Match]:
     return [m for m in _ROW.finditer(text) if m[0].strip()]
 

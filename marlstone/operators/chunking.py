@@ -65,6 +65,22 @@ def chunk_text(parts: DataFrame, policy: S.Policy) -> DataFrame:
     return _numbered(src.where("text IS NOT NULL").mapInArrow(run, _CHUNK), policy.strategy)
 
 
+def chunk_structure(parts: DataFrame, max_chars: int = 800) -> DataFrame:
+    """The structure-aware chunker: paragraphs within ``max_chars`` under the headings open there."""
+    if max_chars <= 0:
+        raise ValueError("a chunk needs room for at least one character")
+
+    def run(batches):
+        for b in batches:
+            rows = [(doc, part, order, i, start + lo, start + hi, text[lo:hi], path, "text") for doc, part, order, text, start in zip(*(c.to_pylist() for c in b.columns)) for i, (lo, hi, path) in enumerate(S.structured(text, max_chars, part))]
+            cols = list(zip(*rows)) or [()] * 9
+            types = (pa.string(), pa.string(), *[pa.int32()] * 4, *[pa.string()] * 3)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["document_id", "part_id", "part_ordinal", "at", "start", "end", "text", "structural_path", "document_domain"])
+
+    src = parts.select(F.col("document_id").cast("string"), "part_id", F.col("ordinal").cast("int"), "text", F.col("start").cast("int"))
+    return _numbered(src.where("text IS NOT NULL").mapInArrow(run, _CHUNK), "structure_aware")
+
+
 def _numbered(chunks: DataFrame, strategy: str) -> DataFrame:
     w = W.partitionBy("document_id").orderBy("part_ordinal", "at")
     return chunks.select("document_id", "part_id", (F.row_number().over(w) - 1).alias("ordinal"), "start", "end", "text", "structural_path", "document_domain", F.lit(strategy).alias("chunking_strategy"))

@@ -6,7 +6,10 @@ A missing key equals null; ordering holds only between two strings (code points)
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -224,3 +227,130 @@ def unsupported(node, backend: str) -> str | None:
                 return "no inequality and no null"
             return None
     raise ValueError(f"{node!r} is no filter")
+
+
+class UnsupportedFilter(ValueError):
+    pass
+
+
+def for_backend(node, backend: str):
+    """The filter as ``backend`` takes it: (SQL, parameters) over a jsonb column for pgvector, a JSON
+    object for qdrant, opensearch and pinecone; UnsupportedFilter where it can't be said exactly."""
+    if reason := unsupported(node, backend):
+        raise UnsupportedFilter(f"{backend}: {reason}")
+    return {"pgvector": _pgvector, "qdrant": _qdrant, "opensearch": _opensearch, "pinecone": _pinecone}[backend](node)
+
+
+_SIGN = {"gt": ">", "gte": ">=", "lt": "<", "lte": "<="}
+
+
+def _pgvector(node) -> tuple[str, list]:
+    many = lambda word, ts, none: (f" {word} ".join(f"({q})" for q, _ in ts) or none, [x for _, ps in ts for x in ps])
+    match node:
+        case None:
+            return "TRUE", []
+        case Compare(f, "eq", None):
+            return "NOT (metadata ? %s) OR metadata -> %s = 'null'::jsonb", [f, f]
+        case Compare(f, "eq", v):
+            return "COALESCE(metadata -> %s = %s::jsonb, FALSE)", [f, json.dumps(v, ensure_ascii=False)]
+        case Compare(f, "ne", v):
+            q, ps = _pgvector(Compare(f, "eq", v))
+            return f"NOT ({q})", ps
+        case Compare(f, op, str() as v):
+            return f"""COALESCE(jsonb_typeof(metadata -> %s) = 'string' AND (metadata ->> %s) COLLATE "C" {_SIGN[op]} %s, FALSE)""", [f, f, v]
+        case Compare(f, op, v):
+            # a CASE, since AND doesn't promise to test the type before the cast
+            return f"COALESCE(CASE WHEN jsonb_typeof(metadata -> %s) = 'number' THEN (metadata ->> %s)::double precision {_SIGN[op]} %s END, FALSE)", [f, f, v]
+        case In(f, vs):
+            return _pgvector(AnyOf(tuple(Compare(f, "eq", v) for v in vs)))
+        case All(ts):
+            return many("AND", [_pgvector(t) for t in ts], "TRUE")
+        case AnyOf(ts):
+            return many("OR", [_pgvector(t) for t in ts], "FALSE")
+        case Not(t):
+            q, ps = _pgvector(t)
+            return f"NOT ({q})", ps
+
+
+def _qdrant(node) -> dict:
+    match node:
+        case None:
+            return {"must": []}
+        case Compare(f) | In(f) if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", f):
+            raise UnsupportedFilter("qdrant: no such field name")
+        case Compare(f, "eq", float() as v):
+            return {"key": f"metadata.{f}", "range": {"gte": v, "lte": v}}
+        case Compare(f, "eq", v):
+            return {"key": f"metadata.{f}", "match": {"value": v}}
+        case Compare(f, op, v):
+            return {"key": f"metadata.{f}", "range": {op: v}}
+        case In(f, vs):
+            return {"key": f"metadata.{f}", "match": {"any": list(vs)}}
+        case All(ts):
+            return {"must": [_qdrant(t) for t in ts]}
+        case AnyOf(ts):
+            return {"should": [_qdrant(t) for t in ts]}
+
+
+def _entry(v) -> str:
+    """The typed field of a nested metadata entry."""
+    return "entries." + ("flag" if isinstance(v, bool) else "word" if isinstance(v, str) else "number")
+
+
+def _opensearch(node, negated: bool = False) -> dict:
+    key = lambda f: {"term": {"entries.key": hashlib.sha256(f.encode()).hexdigest()}}
+    inside = lambda *q: {"nested": {"path": "entries", "query": {"bool": {"must": list(q)}}}}
+    some = lambda qs: {"bool": {"should": qs, "minimum_should_match": 1}}
+    match node:
+        case None:
+            return {"match_all": {}}
+        case Not(t):
+            return _opensearch(t, not negated)
+        case All(ts) | AnyOf(ts):
+            qs = [_opensearch(t, negated) for t in ts]
+            return {"bool": {"must": qs}} if isinstance(node, All) != negated else some(qs)
+        case Compare(f, "ne", v):
+            return _opensearch(Compare(f, "eq", v), not negated)
+        case Compare(f, "eq", None):
+            q = some([{"bool": {"must_not": [inside(key(f))]}}, inside(key(f), {"term": {"entries.null": True}})])
+        case Compare(f, "eq", v):
+            q = inside(key(f), {"term": {_entry(v): v}})
+        case Compare(f, op, v):
+            q = inside(key(f), {"range": {_entry(v): {op: v}}})
+        case In(f, vs) if vs[0] is None:
+            q = _opensearch(Compare(f, "eq", None))
+        case In(f, vs):
+            q = inside(key(f), {"terms": {_entry(vs[0]): list(vs)}})
+    return {"bool": {"must_not": [q]}} if negated else q
+
+
+def _pinecone(node, negated: bool = False) -> dict:
+    """Fields are kept as ``<hash>`` with ``<hash>_present`` and ``<hash>_kind`` beside them, since a
+    negation must hold for missing keys and for values of another type."""
+    stem = lambda f: "m_" + hashlib.sha256(f.encode()).hexdigest()
+    kind = lambda v: "null" if v is None else "flag" if isinstance(v, bool) else "word" if isinstance(v, str) else "number"
+    match node:
+        case None:
+            return {}
+        case Not(t):
+            return _pinecone(t, not negated)
+        case All(ts) | AnyOf(ts):
+            return {"$and" if isinstance(node, All) != negated else "$or": [_pinecone(t, negated) for t in ts]}
+        case Compare(f, "ne", v):
+            return _pinecone(Compare(f, "eq", v), not negated)
+        case Compare(f, "eq", None) if not negated:
+            return {"$or": [{f"{stem(f)}_present": {"$exists": False}}, {f"{stem(f)}_kind": {"$eq": "null"}}]}
+        case Compare(f, "eq", None):
+            return {"$and": [{f"{stem(f)}_present": {"$exists": True}}, {f"{stem(f)}_kind": {"$ne": "null"}}]}
+        case Compare(f, "eq", v):
+            yes, no, w = {"$eq": v}, {"$ne": v}, v
+        case Compare(f, op, v):
+            other = {"gt": "lte", "gte": "lt", "lt": "gte", "lte": "gt"}[op]
+            yes, no, w = {f"${op}": v}, {f"${other}": v}, v
+        case In(f, vs) if vs[0] is None:
+            return _pinecone(Compare(f, "eq", None), negated)
+        case In(f, vs):
+            yes, no, w = {"$in": list(vs)}, {"$nin": list(vs)}, vs[0]
+    if not negated:
+        return {"$and": [{f"{stem(f)}_kind": {"$eq": kind(w)}}, {stem(f): yes}]}
+    return {"$or": [{f"{stem(f)}_present": {"$exists": False}}, {f"{stem(f)}_kind": {"$ne": kind(w)}}, {stem(f): no}]}

@@ -56,6 +56,21 @@ def regions(parts: DataFrame) -> DataFrame:
 evidence = regions
 
 
+def evidence_segments(parts: DataFrame, max_chars: int = 800) -> DataFrame:
+    """:func:`regions`, each cut into pieces of at most ``max_chars`` that all point to its parts."""
+    if max_chars <= 0:
+        raise ValueError("a chunk needs room for at least one character")
+
+    def run(batches):
+        for b in batches:
+            rows = [{"document_id": d, "o": o, "at": i, "part_ids": ids, "text": t} for d, o, ids, text in zip(*(c.to_pylist() for c in b.columns)) for i, t in enumerate(S.segments(text, max_chars))]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("document_id", pa.string()), ("o", pa.int32()), ("at", pa.int32()), ("part_ids", pa.list_(pa.string())), ("text", pa.string())]))
+
+    cut = regions(parts).select("document_id", "ordinal", "part_ids", "text").mapInArrow(run, "document_id string, o int, at int, part_ids array<string>, text string")
+    w = W.partitionBy("document_id").orderBy("o", "at")
+    return cut.select("document_id", (F.row_number().over(w) - 1).alias("ordinal"), "part_ids", "text")
+
+
 def table_rows(parts: DataFrame) -> DataFrame:
     """Rows of cells by (sheet, row), of boxes by (page, y0, y1); a page locator is its own row.
     Cells read ``labels: value`` and join with `` | ``; rows in order of their first part."""

@@ -6,14 +6,18 @@ the total order relevance descending, chunk_id ascending.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import HASHED, tokens, with_tokens
 from . import filters
+from .sparse_index import SparseIndex
 
 K1, B = 1.2, 0.75
 RRF_K, MULTIPLIER = 60, 4
@@ -21,6 +25,8 @@ RRF_K, MULTIPLIER = 60, 4
 BROADCAST_ROWS = 1_000_000
 #: Distinct query terms up to which they are looked up in place; beyond that they are joined.
 LOOKUP_TERMS = 4096
+#: Queries of a dense search up to which the batch is broadcast.
+BROADCAST_QUERIES = 1024
 #: Vectors of a block of dense_blocks, and queries whose scores are held at once.
 BLOCK_VECTORS, STEP = 4096, 256
 
@@ -62,31 +68,39 @@ def top_k(scored: DataFrame, k: int, by: str = "relevance") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int | None = None, where=None, k1: float = K1, b: float = B, index: DataFrame | None = None) -> DataFrame:
+def bm25(chunks: DataFrame, queries: DataFrame, k: int | None = None, where=None, k1: float = K1, b: float = B, index: SparseIndex | DataFrame | None = None) -> DataFrame:
     """Okapi BM25 with statistics over the chunks that pass ``where``; scores above 0 only.
 
-    Only terms of the query batch are exploded and shuffled.  ``index``: postings written before.
+    Only terms of the query batch are exploded and shuffled.  ``index``: a written index, which
+    spares the texts of ``chunks`` another reading, or postings alone.
     """
     admitted = eligible(chunks, where)
     qt = query_terms(queries)
     vocabulary = [r.term for r in qt.select("term").distinct().limit(LOOKUP_TERMS + 1).collect()]
-    n_terms = len(vocabulary) if len(vocabulary) <= LOOKUP_TERMS else qt.count()
-    stats = corpus_stats(admitted)
-    wanted = small(qt.select("term").distinct(), n_terms)
+    few = len(vocabulary) <= LOOKUP_TERMS
+    n_rows = qt.count()
+    wanted = small(qt.select("term").distinct(), n_rows)
     if index is None:
+        stats = corpus_stats(admitted)
         tok = tokenized(admitted)
-        if len(vocabulary) <= LOOKUP_TERMS:  # other terms are dropped before anything is exploded
+        if few:  # other terms are dropped before anything is exploded
             tok = tok.select("chunk_id", "dl", F.filter("terms", lambda t: t.isin(vocabulary)).alias("terms"))
             used = tok.select("chunk_id", "dl", F.explode("terms").alias("term"))
         else:
             used = tok.select("chunk_id", "dl", F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
         hits = used.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
     else:
-        hits = index.join(wanted, "term", "left_semi")
+        whole = isinstance(index, SparseIndex)
+        lengths = index.lengths() if whole else None
+        hits = index.postings(vocabulary if few else None) if whole else index
+        hits = hits if whole and few else hits.join(wanted, "term", "left_semi")
         if where is not None:
-            hits = hits.join(admitted.select("chunk_id"), "chunk_id", "left_semi")
+            ids = admitted.select("chunk_id")
+            hits = hits.join(ids, "chunk_id", "left_semi")
+            lengths = lengths.join(ids, "chunk_id", "left_semi") if whole else None
+        stats = lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")) if whole else corpus_stats(admitted)
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    part = hits.join(small(df, n_terms), "term").join(small(qt, n_terms), "term").crossJoin(F.broadcast(stats))
+    part = hits.join(small(df, n_rows), "term").join(small(qt, n_rows), "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     ratio = F.when(F.col("avgdl") > 0, F.col("dl") / F.col("avgdl")).otherwise(F.lit(0.0))
     score = F.col("qf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * ratio))
@@ -96,6 +110,12 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int | None = None, where=None
     return scored if k is None else top_k(scored, k)
 
 
+def with_contents(ranked: DataFrame, chunks: DataFrame, most: int) -> DataFrame:
+    """``ranked``, of at most ``most`` rows, with the columns of its chunks; while those are few it is
+    the results that travel, not the texts of the corpus."""
+    return chunks.join(small(ranked, most), "chunk_id")
+
+
 def hash_embedding_cells(chunks: DataFrame, dim: int) -> DataFrame:
     """(chunk_id, i, value): the signed feature hash of each text, L2 normalised, zeros left out.
 
@@ -119,6 +139,32 @@ def hash_embeddings(chunks: DataFrame, dim: int) -> DataFrame:
     return m.select("chunk_id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda j: F.coalesce(F.try_element_at("m", j), F.lit(0.0))).alias("vec"))
 
 
+def model_embeddings(chunks: DataFrame, embed: Callable[[list[str]], np.ndarray], dim: int) -> DataFrame:
+    """(chunk_id, vec): unit vectors of a model, ``embed(texts)`` giving a row of ``dim`` numbers for each.
+
+    The function runs in Python workers, on Arrow batches; what isn't finite, has no length or
+    another dimension is an error.
+    """
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            v = np.asarray(embed([t or "" for t in b.column(1).to_pylist()]), np.float64)
+            if v.shape != (b.num_rows, dim) or not np.isfinite(v).all():
+                raise ValueError(f"the model must give {dim} finite numbers for each text")
+            n = np.linalg.norm(v, axis=1, keepdims=True)
+            if (n == 0).any():
+                raise ValueError("a vector has no direction")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(v / n), pa.list_(pa.float64()))], names=["chunk_id", "vec"])
+
+    return chunks.select("chunk_id", "text").mapInArrow(run, f"chunk_id {kind}, vec array<double>")
+
+
+def no_embeddings(chunks: DataFrame) -> DataFrame:
+    """The embedder of an index without vectors: asking it is an error."""
+    raise NotImplementedError("this index is lexical; there are no vectors")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -141,10 +187,15 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int, where=None, metric: st
     """Exact k nearest of each query (query_id, qvec) among unit vectors (chunk_id, vec).
 
     Scores of zero and below stay.  ``cosine_distance`` gives relevance = -distance and keeps the
-    distance as raw_score.  The query batch is broadcast while it is small.
+    distance as raw_score.  A batch of few queries is broadcast; a larger one meets the vectors in
+    blocks (see :func:`dense_blocks`), with products rounded to 12 digits in either case.
     """
     n = queries.count()
-    pair = eligible(vectors, where).crossJoin(small(queries, n * 64)).select("query_id", "chunk_id", dot(F.col("vec"), F.col("qvec")).alias("d"))
+    x = eligible(vectors, where)
+    if n <= BROADCAST_QUERIES:
+        pair = x.crossJoin(F.broadcast(queries)).select("query_id", "chunk_id", F.round(dot(F.col("vec"), F.col("qvec")), 12).alias("d"))
+    else:
+        pair = dense_blocks(x, queries, k).select("query_id", "chunk_id", F.col("relevance").alias("d"))
     if metric == "cosine_distance":
         scored = pair.select("query_id", "chunk_id", (1 - F.col("d")).alias("raw_score")).withColumn("relevance", -F.col("raw_score"))
     else:

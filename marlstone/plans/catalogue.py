@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions.spans import Policy
-from ..functions.text import with_tokens
+from ..functions.text import tokens, with_tokens
 from ..operators import answering as A
 from ..operators import chunking as C
 from ..operators import evaluation as E
@@ -17,6 +19,9 @@ from ..operators import filters as L
 from ..operators import modality as M
 from ..operators import retrieval as R
 from ..operators import store as S
+from ..operators.sparse_index import SparseIndex
+from ..session import spread, work_dir
+from . import chunk_sql
 
 QUESTION = "the and of that hation thing onre"
 DIM = 128
@@ -24,13 +29,33 @@ _DIGITS = 6
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(spark.read.parquet(f"{d}/{name}.parquet"))
 
 
 def _chunks(spark, d) -> DataFrame:
     return _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "lang", "source", "n_chars")
 
 
+_indexes: dict[tuple, SparseIndex] = {}
+
+
+def _index(spark, d) -> SparseIndex:
+    """The lexical index of ``documents``, written once for the files as they are."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    about = fs.getContentSummary(path)
+    key = (spark.sparkContext.applicationId, d, about.getLength(), about.getFileCount(), fs.getFileStatus(path).getModificationTime())
+    if key not in _indexes or _indexes[key].store.manifest() is None:
+        index = SparseIndex(spark, f"{work_dir(spark)}/lexical-{uuid.uuid4().hex}", {"corpus": f"{d}/documents.parquet", "indexing": "sparse"})
+        index.upsert(_chunks(spark, d).select("chunk_id", "text"))
+        _indexes[key] = index
+    return _indexes[key]
+
+
+def _bm25(spark, d, queries: DataFrame, k: int, chunks: DataFrame | None = None, where=None) -> DataFrame:
+    return R.bm25(_chunks(spark, d) if chunks is None else chunks, queries, k, where=where, index=_index(spark, d))
+
+
 def _question(spark) -> DataFrame:
     return spark.createDataFrame([(0, QUESTION)], "query_id long, query string")
 
@@ -70,17 +95,17 @@ def idf_table(spark, d):
 
 
 def bm25_topk(spark, d):
-    return _ranked(R.bm25(_chunks(spark, d), _question(spark), 20))
+    return _ranked(_bm25(spark, d, _question(spark), 20))
 
 
 def bm25_topk_filtered(spark, d):
     c = _chunks(spark, d).join(_t(spark, d, "labels").withColumnRenamed("doc_id", "chunk_id"), "chunk_id", "left")
     where = L.All((L.Compare("lang", "eq", "en"), L.Not(L.Compare("toxic", "eq", 1)), L.Compare("n_chars", "gte", 200)))
-    return _ranked(R.bm25(c, _question(spark), 20, where=where))
+    return _ranked(_bm25(spark, d, _question(spark), 20, c, where))
 
 
 def bm25_batch(spark, d):
-    return _ranked(R.bm25(_chunks(spark, d), _bench(spark, d), 10))
+    return _ranked(_bm25(spark, d, _bench(spark, d), 10))
 
 
 _FOLD = "replace(lower({}), 'ß', 'ss')"
@@ -133,38 +158,37 @@ def _vectors(spark, d):
     return _t(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), R.unit(F.col("embedding")).alias("vec"), "label")
 
 
-def _label_queries(v: DataFrame) -> DataFrame:
-    """The first vector of each label asks for its neighbours."""
-    q = v.groupBy("label").agg(F.min_by("vec", "chunk_id").alias("qvec"))
-    return q.select(F.col("label").cast("long").alias("query_id"), "qvec")
+def _hundredths(v: DataFrame) -> DataFrame:
+    """Every vector whose id is divisible by 100 asks for its neighbours among all."""
+    return v.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("vec").alias("qvec"))
 
 
 def dense_topk(spark, d):
     v = _vectors(spark, d)
-    return _ranked(R.dense(v, _label_queries(v), 10))
+    return _ranked(R.dense(v, _hundredths(v), 10))
 
 
 def dense_topk_filtered(spark, d):
     v = _vectors(spark, d)
-    return _ranked(R.dense(v, _label_queries(v), 10, where=L.In("label", (1, 3, 5))))
+    return _ranked(R.dense(v, _hundredths(v), 10, where=L.In("label", (1, 3, 5))))
 
 
 def cosine_distance_topk(spark, d):
     v = _vectors(spark, d)
-    out = R.dense(v, _label_queries(v), 10, metric="cosine_distance")
+    out = R.dense(v, _hundredths(v), 10, metric="cosine_distance")
     return _round(out, "relevance", "raw_score").select("query_id", "chunk_id", "raw_score", "relevance", "rank")
 
 
 def dense_batch(spark, d):
-    """Every vector asks for its neighbours."""
+    """The same questions by blocks of queries and vectors, as a batch of any size runs."""
     v = _vectors(spark, d)
-    return _ranked(R.dense_blocks(v, v.select(F.col("chunk_id").alias("query_id"), F.col("vec").alias("qvec")), 10))
+    return _ranked(R.dense_blocks(v, _hundredths(v), 10))
 
 
 _DENSE_BATCH_SQL = f"""
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e WHERE list_dot_product(v, v) > 0),
-s AS (SELECT q.vec_id AS query_id, u.vec_id AS chunk_id, round(list_dot_product(u.v, q.v), 12) AS d FROM u CROSS JOIN u q),
+s AS (SELECT q.vec_id AS query_id, u.vec_id AS chunk_id, round(list_dot_product(u.v, q.v), 12) AS d FROM u CROSS JOIN u q WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d DESC, chunk_id)::INTEGER AS rank FROM s)
 SELECT query_id, chunk_id, round(d, {_DIGITS}) AS relevance, rank FROM r WHERE rank <= 10
 """
@@ -176,8 +200,8 @@ def _dense_sql(where: str = "true", distance: bool = False) -> str:
     return f"""
 WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 u AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e),
-q AS (SELECT label::BIGINT AS query_id, arg_min(v, vec_id) AS qv FROM u GROUP BY 1),
-s AS (SELECT query_id, vec_id AS chunk_id, list_dot_product(v, qv) AS d FROM u CROSS JOIN q WHERE {where}),
+q AS (SELECT vec_id AS query_id, v AS qv FROM u WHERE vec_id % 100 = 0),
+s AS (SELECT query_id, vec_id AS chunk_id, round(list_dot_product(v, qv), 12) AS d FROM u CROSS JOIN q WHERE {where}),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, chunk_id)::INTEGER AS rank FROM s)
 SELECT query_id, chunk_id, {extra}round({score}, {_DIGITS}) AS relevance, rank FROM r WHERE rank <= 10
 """
@@ -186,27 +210,20 @@ SELECT query_id, chunk_id, {extra}round({score}, {_DIGITS}) AS relevance, rank F
 # --- fusion and reranking -------------------------------------------------------------------------
 
 
-def _fused(spark, d, k=10):
+def _fused(spark, d, q: DataFrame, k: int = 10) -> DataFrame:
     c, n = _chunks(spark, d), R.depth(10)
-    q = _question(spark)
-    sparse = R.bm25(c, q, n)
-    qcells = R.hash_embedding_cells(q.select(F.col("query_id").alias("chunk_id"), F.col("query").alias("text")), DIM).select(F.col("chunk_id").alias("query_id"), "i", F.col("value").alias("qv"))
-    # the dot product of hashed vectors is an equi-join on their cells: no dense vector is built
-    near = R.hash_embedding_cells(c, DIM).join(F.broadcast(qcells), "i").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("value") * F.col("qv")), 9).alias("relevance"))
-    every = c.select("chunk_id").crossJoin(F.broadcast(q.select("query_id"))).join(near, ["query_id", "chunk_id"], "left").withColumn("relevance", F.coalesce("relevance", F.lit(0.0)))
-    return R.rrf([sparse, R.top_k(every, n)], k)
+    asked = R.hash_embeddings(q.select(F.col("query_id").alias("chunk_id"), F.col("query").alias("text")), DIM)
+    near = R.dense_blocks(R.hash_embeddings(c, DIM), asked.select(F.col("chunk_id").alias("query_id"), F.col("vec").alias("qvec")), n, digits=9)
+    return R.rrf([_bm25(spark, d, q, n), near], k)
 
 
 def rrf_hybrid(spark, d):
-    return _ranked(_fused(spark, d))
+    return _ranked(_fused(spark, d, _question(spark)))
 
 
 def rrf_hybrid_batch(spark, d):
     """The fusion for every question of the benchmark."""
-    c, q, n = _chunks(spark, d), _bench(spark, d), R.depth(10)
-    asked = R.hash_embeddings(q.select(F.col("query_id").alias("chunk_id"), F.col("query").alias("text")), DIM)
-    near = R.dense_blocks(R.hash_embeddings(c, DIM), asked.select(F.col("chunk_id").alias("query_id"), F.col("vec").alias("qvec")), n, digits=9)
-    return _ranked(R.rrf([R.bm25(c, q, n), near], 10))
+    return _ranked(_fused(spark, d, _bench(spark, d)))
 
 
 _RRF_SQL = _bm25_sql(40) + f""", qd AS (SELECT query_id AS chunk_id, query AS text FROM queries),
@@ -237,12 +254,14 @@ def rrf_conflict_check(spark, d):
 
 
 def rerank_noop(spark, d):
-    return _ranked(R.rerank(R.bm25(_chunks(spark, d), _bench(spark, d), 20), 5))
+    return _ranked(R.rerank(_bm25(spark, d, _bench(spark, d), 20), 5))
 
 
 def rerank_stub(spark, d):
     c = _chunks(spark, d).select("chunk_id", "text")
-    found = R.bm25(c, _bench(spark, d), 20).join(c, "chunk_id").join(F.broadcast(_bench(spark, d)), "query_id")
+    b = _bench(spark, d)
+    n = b.count()
+    found = R.with_contents(_bm25(spark, d, b, 20), c, 20 * n).join(R.small(b, n), "query_id")
     return _ranked(R.rerank(found, 5, score=F.round(R.overlap_score(F.col("query"), F.col("text")), 9)))
 
 
@@ -333,6 +352,8 @@ def _headed(prefix: str):
     return lambda t: F.concat(F.lit(prefix), F.replace(t, F.lit("\n"), F.lit("\n\n" + prefix)))
 
 
+_PREFIXES = {"chunk_section": "# Part\n\n## Line\n\n", "chunk_hierarchical": "# Part\n\n## Line\n\n", "chunk_book": "Chapter 1: Start\n\n", "chunk_legal": "Section 1.1 Terms\n\n", "chunk_medical": "Findings: none\n\n", "chunk_code": "def part():\n    "}
+
 STRATEGIES = {
     "chunk_fixed": _strategy("fixed"),
     "chunk_sliding_window": _strategy("sliding_window"),
@@ -341,16 +362,25 @@ STRATEGIES = {
     "chunk_paragraph": _strategy("paragraph", _blank_lines),
     "chunk_semantic": _strategy("semantic", semantic_threshold=0.1),
     "chunk_proposition": _strategy("proposition"),
-    "chunk_section": _strategy("section", _headed("# Part\n\n## Line\n\n")),
-    "chunk_hierarchical": _strategy("hierarchical", _headed("# Part\n\n## Line\n\n")),
-    "chunk_book": _strategy("book", _headed("Chapter 1: Start\n\n")),
-    "chunk_legal": _strategy("legal", _headed("Section 1.1 Terms\n\n")),
-    "chunk_medical": _strategy("medical", _headed("Findings: none\n\n")),
-    "chunk_code": _strategy("code", _headed("def part():\n    ")),
+    **{k: _strategy(k.removeprefix("chunk_"), _headed(v)) for k, v in _PREFIXES.items()},
     "chunk_table_text": _strategy("table"),
 }
 
 
+def _strategy_sql(name: str) -> str:
+    text = "text"
+    if name in _PREFIXES:
+        lit = " || chr(10) || ".join(f"'{x}'" for x in _PREFIXES[name].split("\n"))
+        text = f"{lit} || replace(text, chr(10), chr(10) || chr(10) || {lit})"
+    elif name == "chunk_paragraph":
+        text = "replace(text, chr(10), chr(10) || chr(10))"
+    strategy = {"chunk_table_text": "table"}.get(name, name.removeprefix("chunk_"))
+    return chunk_sql.chunks(strategy, f"SELECT doc_id::VARCHAR AS document_id, {text} AS text FROM documents", SIZE, OVERLAP, threshold=0.1)
+
+
+_CONVERSATION_SQL = chunk_sql.chunks("conversation", "SELECT conv_id::VARCHAR AS document_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role || ': ' || text) AS text FROM conversations GROUP BY 1", SIZE)
+
+
 def chunk_conversation(spark, d):
     t = _t(spark, d, "conversations")
     line = F.concat(F.col("role"), F.lit(": "), F.col("text"))
@@ -422,8 +452,8 @@ _FILTERS = {
     "filter_in": (L.In("k", (1, 2, 5.0)), "k IN (1, 2, 5)"),
     "filter_range": (L.All((L.Compare("k", "gte", 2), L.Compare("k", "lt", 40))), "k >= 2 AND k < 40"),
     "filter_logic": (L.AnyOf((L.Not(L.Compare("k", "gt", 5)), L.All((L.Compare("k", "eq", 7), L.Compare("missing", "eq", None))))), "NOT coalesce(k > 5, false) OR k = 7"),
-    "filter_null": (L.Compare("missing", "ne", None), "false"),
-    "filter_type": (L.Compare("k", "gt", "1"), "false"),
+    "filter_null": (L.AnyOf((L.Compare("missing", "ne", None), L.All((L.Compare("missing", "eq", None), L.Compare("k", "lt", 9))))), "k < 9"),
+    "filter_type": (L.AnyOf((L.Compare("k", "gt", "1"), L.All((L.Not(L.Compare("k", "lte", "9")), L.Compare("k", "gt", 40))))), "k > 40"),
 }
 
 
@@ -462,7 +492,8 @@ def sparse_conflicts(spark, d):
 
 def _retrieved(spark, d, k=10):
     c = _chunks(spark, d).select("chunk_id", "text")
-    return R.bm25(c, _bench(spark, d), k).join(c, "chunk_id")
+    b = _bench(spark, d)
+    return R.with_contents(_bm25(spark, d, b, k), c, k * b.count())
 
 
 BUDGET = 4000
@@ -499,10 +530,30 @@ _ANSWER_SQL = _BUDGET_SQL + r""", ans AS (SELECT query_id, chunk_id, rank, array
 """
 
 
+_PROMPT_SQL = _BUDGET_SQL + f""", blocks AS (SELECT query_id, string_agg('<evidence chunk_id="' || chunk_id || '">' || chr(10) || replace(replace(to_json(text)::VARCHAR, '<', '\\u003c'), '>', '\\u003e') || chr(10) || '</evidence>', chr(10) ORDER BY prompt_rank) AS evidence FROM included GROUP BY 1),
+pr AS (SELECT query_id, '{A.RULES.replace("'", "''")}' || chr(10) || 'Question: ' || query || chr(10) || 'Evidence:' || chr(10) || coalesce(evidence, '(none)') AS prompt FROM queries LEFT JOIN blocks USING (query_id))
+SELECT query_id, len(prompt)::INTEGER AS n_chars, sha256(prompt) AS sha256 FROM pr"""
+
+
 def _gold(spark, d):
-    """Documents that hold a benchmark passage in full."""
-    b, docs = _bench(spark, d), _t(spark, d, "documents")
-    return docs.join(F.broadcast(b), F.contains("text", F.col("query"))).groupBy("query_id").agg(F.collect_set("doc_id").alias("relevant"))
+    """Documents that hold a benchmark passage in full.
+
+    A document that does has every token of the passage but perhaps the first and the last, which
+    may be parts of words there; only the postings of the rarest of those tokens are compared.
+    """
+    b, docs = _bench(spark, d), _t(spark, d, "documents").select("doc_id", "text")
+    n = b.count()
+    t = b.select("query_id", F.posexplode(tokens(F.col("query"))).alias("pos", "term"), F.size(tokens(F.col("query"))).alias("of"))
+    inner = t.where("pos > 0 AND pos < of - 1").select("query_id", "term").distinct()
+    post = _index(spark, d).postings()
+    df = post.join(F.broadcast(inner.select("term").distinct()), "term").groupBy("term").agg(F.count("*").alias("df"))
+    rarest = inner.join(df, "term", "left").groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
+    pairs = post.join(R.small(rarest, n), "term").select("query_id", F.col("chunk_id").alias("doc_id"))
+    asked = pairs.join(R.small(b, n), "query_id")
+    found = docs.join(asked, "doc_id").where(F.contains("text", F.col("query"))).select("query_id", "doc_id")
+    short = b.join(R.small(rarest, n), "query_id", "left_anti")  # passages of less than three tokens
+    some = docs.join(R.small(short, n), F.contains("text", F.col("query"))).select("query_id", "doc_id")
+    return found.unionByName(some).groupBy("query_id").agg(F.collect_set("doc_id").alias("relevant"))
 
 
 def _cases(spark, d):
@@ -511,7 +562,7 @@ def _cases(spark, d):
 
 
 def _observations(spark, d):
-    r = R.bm25(_chunks(spark, d), _bench(spark, d), 10).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("retrieved"))
+    r = _bm25(spark, d, _bench(spark, d), 10).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("retrieved"))
     cited = F.when(F.col("query_id") % 7 != 0, F.slice("retrieved", 1, 2))
     return r.select(F.col("query_id").alias("case_id"), "retrieved", cited.alias("cited"), (F.col("query_id") % 3).cast("int").alias("extracted_count"), F.lit(None).cast("string").alias("extraction_reason"), F.array(F.lit("text_span")).alias("locators"), F.lit(None).cast("string").alias("observed_ineligible"))
 
@@ -581,7 +632,7 @@ def transcript_validate(spark, d):
 def flagship(spark, d):
     """A literal question over ``documents``: BM25, budget, extractive answer, citation."""
     c = _chunks(spark, d).select("chunk_id", "text")
-    inc = A.within_budget(R.bm25(c, _question(spark), 10).join(c, "chunk_id"), BUDGET)
+    inc = A.within_budget(R.with_contents(_bm25(spark, d, _question(spark), 10), c, 10), BUDGET)
     return A.extractive_answers(inc, _question(spark), 32)
 
 
@@ -638,4 +689,6 @@ def oracle_sql() -> dict[str, str]:
         "transcript_validate": "WITH e AS (SELECT user_id AS document_id, row_number() OVER w AS ordinal, epoch_ms(ts) AS s, lag(epoch_ms(ts)) OVER w AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT document_id, ordinal::INTEGER AS ordinal, 'overlap' AS reason FROM e WHERE p + 60000 > s",
         "answer_question": _bm25_sql(10) + _BUDGET_SQL.replace(_bm25_sql(10, queries=_BENCH_SQL), "") + r""", ans AS (SELECT query_id, chunk_id, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')[1:32], ' ') AS a FROM included WHERE prompt_rank = 1)
 SELECT q.query_id, coalesce(a, '""" + A.NOTHING + "') AS answer, CASE WHEN a <> '' THEN chunk_id END AS citation FROM queries q LEFT JOIN ans USING (query_id)",
-    } | {k: _filter_sql(c) for k, (_, c) in _FILTERS.items()}
+        "chunk_conversation": _CONVERSATION_SQL,
+        "prompt_render": _PROMPT_SQL,
+    } | {k: _filter_sql(c) for k, (_, c) in _FILTERS.items()} | {k: _strategy_sql(k) for k in STRATEGIES}

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -23,3 +23,29 @@ def ship(spark: SparkSession) -> None:
             z.write(p, str(Path(here.name) / p.relative_to(here)))
     spark.sparkContext.addPyFile(str(path))
     _shipped.add(app)
+
+
+#: Bytes up to which :func:`spread` moves a table.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table whose files are too few to keep the cores busy, over as many tasks as there are cores.
+
+    Larger tables have files and row groups enough and are read where they lie.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
+
+
+def work_dir(spark: SparkSession) -> str:
+    """This application's folder under ``spark.checkpoint.dir``; one of our own only where that is
+    unset and the driver is the only machine."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="marlstone-"))
+        base = sc.getCheckpointDir()
+    return f"{base.rstrip('/')}/marlstone-{sc.applicationId}"

@@ -47,20 +47,20 @@ def test_every_sql_has_a_query():
 def test_files_to_answers(spark, tmp_path):
     src = tmp_path / "corpus"
     src.mkdir()
-    (src / "answer.txt").write_text("The fixture answer is forty two and it is stored in this one sentence.\n")
-    (src / "guide.md").write_text("# Guide\n\nA second sentence about something else entirely.\n")
-    (src / "policy.html").write_text("<h1>Policy</h1><p>Refunds within thirty days.</p>")
-    (src / "message.eml").write_text("From: a@example.com\nTo: b@example.com\nSubject: x\n\nThe meeting moved.\n")
+    (src / "answer.txt").write_text("The harbour light is painted green, which one line is enough to say.\n")
+    (src / "guide.md").write_text("# Notes\n\nA boat needs a coat of paint every spring.\n")
+    (src / "policy.html").write_text("<h1>Policy</h1><p>Dogs stay on the quay.</p>")
+    (src / "message.eml").write_text("From: a@example.com\nTo: b@example.com\nSubject: x\n\nThe ferry is late.\n")
     (src / "example.py").write_text('"""Doc."""\nVALUE = 1\n')
     (tmp_path / "p.toml").write_text('[indexing]\nstrategy = "hybrid"\n[chunking]\nmin_chunk_chars = 1\n')
     profile = files.load_profile(tmp_path / "p.toml")
     n = answer.index(spark, profile, str(tmp_path / "store"), str(src))
     chunks = answer.Store(spark, str(tmp_path / "store")).rows(P.manifest(str(src), profile))
     assert n >= 5 and chunks.select("uri").distinct().count() == 5
-    said, found = answer.ask(chunks, spark.createDataFrame([(0, "What is the fixture answer?")], "query_id long, query string"), profile)
+    said, found = answer.ask(chunks, spark.createDataFrame([(0, "Which colour is the harbour light?")], "query_id long, query string"), profile)
     assert found.where("rank = 1").first().uri.endswith("answer.txt")
-    assert said.first().answer.startswith("The fixture answer is forty two")
-    (tmp_path / "e.jsonl").write_text(json.dumps({"example_id": "e", "query": "fixture answer", "expected_answer": "FORTY TWO"}) + "\n")
+    assert said.first().answer.startswith("The harbour light is painted green,")
+    (tmp_path / "e.jsonl").write_text(json.dumps({"example_id": "e", "query": "harbour light", "expected_answer": "PAINTED green"}) + "\n")
     got = answer.evaluate(chunks, files.read_examples(spark, str(tmp_path / "e.jsonl")), profile).collect()
     assert [(r.metric, r.value) for r in got] == [("answer_contains_expected", 1.0)]
 
