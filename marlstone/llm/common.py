@@ -99,22 +99,6 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-class HashCache(dict):
-    """word -> 64-bit hash; emptied when large so that a task's memory stays bounded."""
-
-    LIMIT = 200_000
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-
-def word_hashes(tokens: list[str], cache: HashCache) -> np.ndarray:
-    return np.fromiter(map(cache.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64-bit values (Stafford's variant 13)."""
     x = x.astype(np.uint64, copy=True)
@@ -126,18 +110,120 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def ngram_set(text: str | None, n: int, cache: HashCache) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word n-grams; a text of 1 to n-1 words is one gram."""
-    h = word_hashes(words(text), cache)
-    if not len(h):
-        return h
-    width = min(n, len(h))
-    out = h[: len(h) - width + 1].copy()
+#: Code points that are hashed together; longer texts are cut between words.
+PIECE = 1 << 20
+_BASE = 0x9E3779B97F4A7C15
+_BETWEEN = re.compile(r"[\W_]")
+
+
+class _Powers:
+    """Powers of an odd number and of its inverse modulo 2^64, and which code points make words."""
+
+    def __init__(self):
+        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
+        self.word = np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
+
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            n = 1 << n.bit_length()
+            made = []
+            for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+                x = np.full(n, base, np.uint64)
+                x[0] = 1
+                with np.errstate(over="ignore"):
+                    made.append(np.cumprod(x))
+            self.up, self.down = made
+        return self.up, self.down
+
+
+_powers: list[_Powers] = []
+
+
+def _pieces(texts, limit: int):
+    """Groups of (text, piece) of about ``limit`` code points; a long text is cut between words."""
+    held, size = [], 0
+    for i, text in enumerate(texts):
+        text, at = (text or "").lower(), 0
+        while len(text) - at > limit:
+            m = _BETWEEN.search(text, at + limit)
+            if not m:
+                break
+            held.append((i, text[at : m.start()]))
+            yield held
+            held, size, at = [], 0, m.end()
+        held.append((i, text[at:]))
+        size += len(text) - at
+        if size > limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def word_hashes(texts, prefixes: tuple[int, ...] = (), limit: int | None = None) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """(ends, hashes, starts of words) of an iterable of texts: text i has the words, lower-cased runs of
+    letters and digits, of ``hashes[ends[i - 1] : ends[i]]``; for each k of ``prefixes`` the hashes of
+    the words' first k letters, 0 for shorter words.
+
+    A word's hash is a polynomial in its code points modulo 2^64, from differences of running sums
+    over the whole piece, so that no word is looked at by itself.
+    """
+    if not _powers:
+        _powers.append(_Powers())
+    counts: list[np.ndarray] = []
+    owner, found, heads = [], [], {k: [] for k in prefixes}
+    for piece in _pieces(texts, limit or PIECE):
+        code = np.frombuffer("\n".join(t for _, t in piece).encode("utf-32-le", "surrogatepass"), np.uint32)
+        up, down = _powers[0].to(len(code) + 1)
+        inside = np.zeros(len(code) + 2, np.int8)
+        inside[1:-1] = _powers[0].word[code]
+        edge = np.flatnonzero(np.diff(inside))
+        lo, hi = edge[::2], edge[1::2]
+        with np.errstate(over="ignore"):
+            total = np.zeros(len(code) + 1, np.uint64)
+            np.cumsum((code.astype(np.uint64) + np.uint64(1)) * down[: len(code)], out=total[1:])
+            of = lambda a, b: mix((total[b] - total[a]) * up[b - 1] if len(a) else np.zeros(0, np.uint64))
+            found.append(of(lo, hi))
+            for k in prefixes:
+                heads[k].append(np.where(hi - lo >= k, of(lo, np.minimum(lo + k, hi)), np.uint64(0)))
+        begins = np.cumsum([0, *(len(t) + 1 for _, t in piece[:-1])])
+        owner.append(np.array([i for i, _ in piece], np.int64)[np.searchsorted(begins, lo, side="right") - 1])
+        counts.append(np.array([piece[-1][0] + 1]))
+    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+    n = int(counts[-1][0]) if counts else 0
+    return np.cumsum(np.bincount(join(owner, np.int64), minlength=n)), join(found, np.uint64), {k: join(v, np.uint64) for k, v in heads.items()}
+
+
+def word_hash(word: str) -> int:
+    """The hash of one lower-cased word, by the polynomial itself."""
+    h = 0
+    for c in word:
+        h = (h * _BASE + ord(c) + 1) & MASK
+    return int(mix(np.array([h], np.uint64))[0])
+
+
+def ngram_sets(texts, n: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the word n-grams of each text; 1 to n-1 words are one gram."""
+    ends, h, _ = word_hashes(texts)
+    out = []
     with np.errstate(over="ignore"):
-        for k in range(1, width):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - width + 1 + k]
-        out = mix(out + np.uint64(width))
-    return np.unique(out)
+        g = h[: max(0, len(h) - n + 1)].copy()
+        for k in range(1, n):
+            g = g * np.uint64(_BASE) + h[k : len(h) - n + 1 + k]
+        g = mix(g + np.uint64(n))
+        at = 0
+        for end in ends.tolist():
+            if end - at >= n:
+                out.append(np.unique(g[at : end - n + 1]))
+            elif end == at:
+                out.append(h[:0])
+            else:
+                one = h[at]
+                for k in range(at + 1, end):
+                    one = one * np.uint64(_BASE) + h[k]
+                out.append(mix(np.array([one], np.uint64) + np.uint64(end - at)))
+            at = end
+    return out
 
 
 def unused(df: DataFrame, name: str) -> str:

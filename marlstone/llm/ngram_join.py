@@ -54,11 +54,10 @@ def _profile(n: int):
     names = ["doc_id", "text_key", "size", "hi", "lo", "bits", "chunk", "blob"]
 
     def run(batches):
-        cache, sketch = C.HashCache(), np.zeros(1 << SKETCH_BITS, np.uint32)
+        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         for b in batches:
             ids, text_key, size, hi, lo, bits = [], [], [], [], [], []
-            for doc, text, tk in zip(b.column(0).to_pylist(), C.each(b.column(1)), b.column(2).to_pylist()):
-                g = C.ngram_set(text, n, cache)
+            for doc, g, tk in zip(b.column(0).to_pylist(), C.ngram_sets(C.each(b.column(1)), n), b.column(2).to_pylist()):
                 ids.append(doc)
                 text_key.append(tk)
                 size.append(len(g))
@@ -125,11 +124,10 @@ def _signatures(n: int, t: float, bound: int, shards: int, order_b):
     """Blocks of (key, doc, size and side) per kind and shard.  kind 0: subsets, 1: lists."""
 
     def run(batches):
-        cache, (rank, lists) = C.HashCache(), order_b.value
+        rank, lists = order_b.value
         for b in batches:
             out = {0: ([], [], [], [], []), 1: ([], [], [], [], [])}
-            for doc, text in zip(b.column(0).to_pylist(), C.each(b.column(1))):
-                g = C.ngram_set(text, n, cache)
+            for doc, g in zip(b.column(0).to_pylist(), C.ngram_sets(C.each(b.column(1)), n)):
                 if not len(g):
                     continue
                 s, o = len(g), int(needed(len(g), t))
@@ -308,10 +306,9 @@ def _compare_bitmaps(t: float):
 
 def _sets(n: int):
     def run(batches):
-        cache = C.HashCache()
         for b in batches:
             # 40 bits of each hash, still sorted: equal grams stay equal, others collide once in 10^12
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([(C.ngram_set(x, n, cache) >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for x in C.each(b.column(1))], pa.binary())], names=["sid", "grams"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([(g >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for g in C.ngram_sets(C.each(b.column(1)), n)], pa.binary())], names=["sid", "grams"])
 
     return run
 

@@ -20,6 +20,7 @@ from . import labelled
 WORD_BITS, META_BITS, FACTORS = 16, 8, 6
 #: Labelled documents to fit on; a bound on the sample, never on what is scored.
 SAMPLE = 6000
+#: Below one half, since a good document lost costs more than a bad one kept.
 KEEP = 0.35
 _CUTS = {
     "symbols": (0.002, 0.01, 0.03, 0.06, 0.1, 0.2),
@@ -34,7 +35,6 @@ _CUTS = {
     "line": (10, 40, 100, 250, 600, 2000),
     "length": (20, 80, 250, 800, 2500, 8000, 30000),
 }
-_STRUCT = {k: i for i, k in enumerate(_CUTS)}
 STRUCT0 = 1 << WORD_BITS
 META0 = STRUCT0 + 16 * len(_CUTS)
 SIZE = META0 + (1 << META_BITS)
@@ -45,36 +45,49 @@ _NOT_DIGIT = bytes(c for c in range(256) if not 48 <= c <= 57)
 
 
 class Featurizer:
-    def __init__(self):
-        self.cache = C.HashCache()
+    def batch(self, texts, langs: list, sources: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, feature, value) of several texts, in that order."""
+        texts = [t or "" for t in texts]
+        n = len(texts)
+        ends, h, _ = C.word_hashes(texts)
+        words = np.diff(ends, prepend=0)
+        of = np.repeat(np.arange(n), words)
+        code, counts = np.unique(of << WORD_BITS | (h & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64), return_counts=True)
+        w_row, w_idx, tf = code >> WORD_BITS, code & ((1 << WORD_BITS) - 1), np.log1p(counts)
+        norm = np.sqrt(np.bincount(w_row, tf * tf, n))
+        by = h[np.lexsort((h, of))]
+        new = np.ones(len(h), bool)
+        new[1:] = (by[1:] != by[:-1]) | (of[1:] != of[:-1])  # ``of`` is in order already
+        echo = np.zeros(len(h), bool)
+        echo[1:] = (h[1:] == h[:-1]) & (of[1:] == of[:-1])
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        count = lambda f: np.array([f(x) for x in raw], float)
+        left = lambda drop: count(lambda x: len(x.translate(None, drop)))
+        size = np.maximum(1, np.array([len(t) for t in texts], float))
+        spaces, some = count(lambda x: x.count(b" ")), np.maximum(1, words)
+        stats = (
+            left(_SYMBOLS) / size,
+            left(_NOT_UPPER) / np.maximum(1, count(len) - spaces),
+            left(_NOT_DIGIT) / size,
+            spaces / size,
+            size / some,
+            np.bincount(of[new], minlength=n) / some,
+            np.bincount(of[echo], minlength=n) / np.maximum(1, words - 1),
+            count(lambda x: x.count(b"!")) / size,
+            count(lambda x: x.count(b"|")) / size,
+            size / (1 + count(lambda x: x.count(b"\n"))),
+            size,
+        )
+        struct = np.stack([STRUCT0 + 16 * i + np.searchsorted(cuts, v) for i, (cuts, v) in enumerate(zip(_CUTS.values(), stats))], 1) if n else np.zeros((0, len(_CUTS)), np.int64)
+        meta = [{META0 + zlib.crc32(f"{k}={v}".encode("utf-8", "surrogatepass")) % (1 << META_BITS) for k, v in (("lang", lang), ("source", source))} for lang, source in zip(langs, sources)]
+        row = np.concatenate([w_row, np.repeat(np.arange(n), len(_CUTS)), np.repeat(np.arange(n), [len(m) for m in meta])]).astype(np.int64)
+        idx = np.concatenate([w_idx, struct.reshape(-1), np.array([x for m in meta for x in sorted(m)], np.int64)]).astype(np.int64)
+        val = np.concatenate([tf / norm[w_row], np.full(n * len(_CUTS), 0.5), np.full(sum(map(len, meta)), 0.2)]).astype(np.float32)
+        by = np.lexsort((idx, row))
+        return row[by], idx[by], val[by]
 
     def __call__(self, text: str | None, lang: str | None, source: str | None) -> tuple[np.ndarray, np.ndarray]:
-        text = text or ""
-        raw = text.encode("utf-8", "surrogatepass")
-        n = max(len(text), 1)
-        h = C.word_hashes(C.words(text), self.cache)
-        slots, counts = np.unique(h & np.uint64((1 << WORD_BITS) - 1), return_counts=True)
-        tf = np.log1p(counts)
-        tf /= np.sqrt((tf * tf).sum()) or 1.0
-        letters = max(1, len(raw) - raw.count(b" "))
-        stats = {
-            "symbols": len(raw.translate(None, _SYMBOLS)) / n,
-            "upper": len(raw.translate(None, _NOT_UPPER)) / letters,
-            "digits": len(raw.translate(None, _NOT_DIGIT)) / n,
-            "spaces": raw.count(b" ") / n,
-            "word": n / max(1, len(h)),
-            "distinct": len(np.unique(h)) / max(1, len(h)),
-            "echo": float((h[1:] == h[:-1]).mean()) if len(h) > 1 else 0.0,
-            "bang": raw.count(b"!") / n,
-            "bar": raw.count(b"|") / n,
-            "line": n / (1 + raw.count(b"\n")),
-            "length": n,
-        }
-        struct = [STRUCT0 + 16 * _STRUCT[k] + int(np.searchsorted(_CUTS[k], v)) for k, v in stats.items()]
-        meta = [META0 + zlib.crc32(f"{k}={v}".encode("utf-8", "surrogatepass")) % (1 << META_BITS) for k, v in (("lang", lang), ("source", source))]
-        idx = np.concatenate([slots.astype(np.int64), struct, np.unique(meta)])
-        val = np.concatenate([tf, np.full(len(struct), 0.5), np.full(len(set(meta)), 0.2)]).astype(np.float32)
-        return idx, val
+        return self.batch([text], [lang], [source])[1:]
 
 
 class FactorisationMachine:
@@ -86,6 +99,15 @@ class FactorisationMachine:
         s = vx.sum(0)
         return float(self.w0 + self.w[idx] @ val + 0.5 * (s @ s - (vx * vx).sum()))
 
+    def probabilities(self, rows: int, x: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """Of a good document, for several texts whose features are (row, feature, value)."""
+        row, idx, val = x
+        at = np.flatnonzero(np.diff(row, prepend=-1))  # every text has features, in order
+        vx = self.v[idx] * val[:, None]
+        s = np.add.reduceat(vx, at, axis=0, dtype=np.float64) if rows else np.zeros((0, 1))
+        z = self.w0 + np.bincount(row, self.w[idx] * val, rows) + 0.5 * ((s * s).sum(1) - np.bincount(row, (vx * vx).sum(1), rows))
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
     @staticmethod
     def fit(rows: list, y: list[int], epochs: int = 6, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> "FactorisationMachine":
         """Logistic loss by Adagrad, one document at a time, classes weighted to equal mass."""
@@ -121,8 +143,9 @@ class FactorisationMachine:
 
 
 def _train(rows: list, y: list[int]) -> bytes:
-    f = Featurizer()
-    return FactorisationMachine.fit([f(r["text"], r["lang"], r["source"]) for r in rows], y).dump()
+    row, idx, val = Featurizer().batch(*([r[c] for r in rows] for c in ("text", "lang", "source")))
+    cuts = np.searchsorted(row, np.arange(1, len(rows)))
+    return FactorisationMachine.fit(list(zip(np.split(idx, cuts), np.split(val, cuts))), y).dump()
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes | None:
@@ -130,41 +153,45 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> byt
     return labelled.fit(labelled.sample(docs, labels, "quality", sample, ["text", "lang", "source"]), _train)
 
 
+def _kept(texts: pa.Array, p: np.ndarray | None, keep: float) -> np.ndarray:
+    said = np.array([bool(t and not t.isspace()) for t in C.each(texts)], bool)
+    return said if p is None else said & (p >= keep)
+
+
 def score_quality(docs: DataFrame, model: bytes | None, keep: float = KEEP) -> DataFrame:
     """(doc_id, quality, keep) for every row of ``docs``.
 
     quality is the machine's probability of a good document.  An empty or null text is scored on
-    structure and metadata alone and never kept; a null lang or source is a value of its own.
-    Without a model (no labels of two classes) quality is null and every other document is kept.
-    A null doc_id passes through.  Equal rows get equal results.  Other columns are ignored.
+    structure and metadata alone and never kept; a very long one is scored whole; a null lang or
+    source is a value of its own.  Without a model (no labels of two classes) quality is null and
+    every other document is kept.  A null doc_id passes through.  Equal rows get equal results.
+    Other columns are ignored; an empty table gives an empty result.
     """
     blob = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        fm = FactorisationMachine.load(blob.value) if blob.value else None
-        f = Featurizer()
+        fm, f = FactorisationMachine.load(blob.value) if blob.value else None, Featurizer()
         for b in batches:
-            q, k = [], []
-            for text, lang, source in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
-                p = None if fm is None else 1 / (1 + np.exp(-np.clip(fm.score(*f(text, lang, source)), -30, 30)))
-                q.append(p)
-                k.append(bool(text and text.strip()) and (p is None or p >= keep))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(q, pa.float64()), pa.array(k, pa.bool_())], names=["doc_id", "quality", "keep"])
+            p = None if fm is None else fm.probabilities(b.num_rows, f.batch(C.each(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist()))
+            q = pa.nulls(b.num_rows, pa.float64()) if p is None else pa.array(p)
+            yield pa.RecordBatch.from_arrays([b.column(0), q, pa.array(_kept(b.column(1), p, keep))], names=["doc_id", "quality", "keep"])
 
     src = C.require(docs, "doc_id", "text", "lang", "source").select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"), F.col("source").cast("string"))
     return src.mapInArrow(run, "doc_id long, quality double, keep boolean")
 
 
 def keep_quality(docs: DataFrame, model: bytes | None, keep: float = KEEP) -> DataFrame:
-    """The rows of ``docs`` that the machine keeps, all columns as they are, in one pass."""
+    """The rows of ``docs`` that the machine keeps (see :func:`score_quality`), all columns as they
+    are, in one pass: not those of null, empty or blank text; those with a null doc_id are judged
+    like others; equal rows stay or go together; an empty table stays so."""
     blob = docs.sparkSession.sparkContext.broadcast(model)
     at = [docs.columns.index(c) for c in ("text", "lang", "source")]
 
     def run(batches):
-        fm = FactorisationMachine.load(blob.value) if blob.value else None
-        f = Featurizer()
+        fm, f = FactorisationMachine.load(blob.value) if blob.value else None, Featurizer()
         for b in batches:
-            ok = [bool(t and t.strip()) and (fm is None or 1 / (1 + np.exp(-np.clip(fm.score(*f(t, *m)), -30, 30))) >= keep) for t, *m in zip(*(b.column(i).to_pylist() for i in at))]
-            yield b.filter(pa.array(ok, pa.bool_()))
+            texts = b.column(at[0])
+            p = None if fm is None else fm.probabilities(b.num_rows, f.batch(C.each(texts), *(b.column(i).to_pylist() for i in at[1:])))
+            yield b.filter(pa.array(_kept(texts, p, keep)))
 
     return docs.mapInArrow(run, docs.schema)

@@ -7,10 +7,10 @@ under and the words beside it.
 
 from __future__ import annotations
 
+import bisect
 import math
 import random
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +22,14 @@ from . import common as C
 ACCEPT = 0.5
 TREES, DEPTH, LEAF = 40, 9, 3
 CONTEXT = 40
-_KEYED = re.compile(r"(?P<key>\w*(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)\w*)[\"']?\s{0,2}(?:=|:|:=|=>)\s{0,2}[\"']?(?P<value>[^\s\"'<>(){}\[\],;]{6,})", re.I)
+_KEY = r"(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)"
+#: From a key word on; the letters before it belong to the key too, but decide nothing.  What is
+#: left of a key to its sign is bounded, so that a run without spaces costs linear time.
+_KEYED = re.compile(_KEY + r"\w{0,64}[\"']?\s{0,2}(?:=|:|:=|=>)\s{0,2}[\"']?(?P<value>[^\s\"'<>(){}\[\],;]{6,})", re.I)
 _LONG = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*\d)(?=[\d+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_-])")
 _KNOWN = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA|ghp_|gho_|sk_live_|xox[bp]-|AIza|glpat-)[A-Za-z0-9_-]{10,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{16}")
+_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "sk_live_", "xoxb-", "xoxp-", "AIza", "glpat-")
 _DICTIONARY = sorted(
     "password passwd change changeme example sample test dummy fake placeholder your here insert token secret key value default admin user username root login none null true false string todo replace enter the and for with that this from version release build file path name data config setting hello world demo foo bar baz qwerty letmein welcome abc xxx key1 value1 mypassword api auth access private public client server local host index content image style script module function class return object array number license apache general".split(),
     key=lambda w: (-len(w), w),
@@ -33,7 +37,8 @@ _DICTIONARY = sorted(
 _WORDS = re.compile("|".join(map(re.escape, _DICTIONARY)), re.I)
 _SOFT_PATH = re.compile(r"test|example|sample|doc|fixture|mock|demo", re.I)
 _SOFT_WORD = re.compile(r"\b(?:example|sample|dummy|fake|placeholder|test|commit|sha\d*|md5|checksum|hash|digest|uuid|revision|version|e\.g)\b", re.I)
-_HARD_WORD = re.compile(r"(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)", re.I)
+_HARD_WORD = re.compile(_KEY, re.I)
+_VOWELS = set("aeiouáéíóúäöüèê")
 FEATURES = ("length", "digit", "upper", "lower", "other", "transitions", "case_flips", "entropy", "distinct", "longest_run", "steps", "vowels", "dictionary", "hex", "known", "keyed", "soft_path", "soft_word", "hard_word", "assigned")
 
 
@@ -43,21 +48,22 @@ def _class(c: str) -> int:
 
 def describe(value: str, before: str, after: str, path: str | None) -> list[float]:
     n = len(value)
-    kinds = [_class(c) for c in value]
-    pairs = list(zip(kinds, kinds[1:]))
-    counts = Counter(value)
-    run = best = 1
-    for a, b in zip(value, value[1:]):
-        run = run + 1 if a == b else 1
-        best = max(best, run)
-    steps = sum(abs(ord(b) - ord(a)) <= 1 for a, b in zip(value, value[1:])) / max(1, n - 1)
-    letters = [c for c in value.lower() if c.isalpha()]
+    code = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    used, at, counts = np.unique(code, return_inverse=True, return_counts=True)
+    chars = [chr(c) for c in used]
+    kinds = np.array([_class(c) for c in chars])[at]
+    a, b = kinds[:-1], kinds[1:]
+    ends = np.flatnonzero(np.concatenate([np.diff(code) != 0, [True]]))
+    best = int(np.diff(ends, prepend=-1).max())
+    letters = int(counts[[c.isalpha() for c in chars]].sum())
+    vowels = int(counts[[c.lower() in _VOWELS for c in chars]].sum())
     covered = sum(len(m.group()) for m in _WORDS.finditer(value))
+    share = counts / n
     return [
-        n, *(kinds.count(k) / n for k in range(4)),
-        sum(a != b for a, b in pairs) / max(1, n - 1), sum({a, b} == {1, 2} for a, b in pairs) / max(1, n - 1),
-        -sum(c / n * math.log2(c / n) for c in counts.values()), len(counts) / n, best, steps,
-        sum(c in "aeiouáéíóúäöüèê" for c in letters) / max(1, len(letters)), covered / n,
+        n, *(np.bincount(kinds, minlength=4) / n),
+        float((a != b).sum()) / max(1, n - 1), float((((a == 1) & (b == 2)) | ((a == 2) & (b == 1))).sum()) / max(1, n - 1),
+        float(-(share * np.log2(share)).sum()), len(counts) / n, best, float((np.abs(np.diff(code)) <= 1).sum()) / max(1, n - 1),
+        vowels / max(1, letters), covered / n,
         float(re.fullmatch(r"[0-9a-f]+", value) is not None), float(_KNOWN.match(value) is not None),
         float(_KEYED.search(before[-24:] + value) is not None), float(_SOFT_PATH.search(path or "") is not None),
         float(_SOFT_WORD.search(before) is not None), float(_HARD_WORD.search(before) is not None), float(before.rstrip("\"' ")[-1:] in ("=", ":")),
@@ -164,18 +170,23 @@ def fit_forest(findings: list[tuple[str, str, str, str, int]] | None = None) ->
 
 def findings(text: str | None):
     """(start, end, rule) of proposed findings; where rules overlap the first to match stays."""
-    if not text or not ("=" in text or ":" in text or _RUN.search(text)):
+    if not text:
         return []
-    found = [(m.start(), m.end(), "known") for m in _KNOWN.finditer(text)]
+    # each rule is passed over where the text lacks what every match of that rule has
+    found = [(m.start(), m.end(), "known") for m in _KNOWN.finditer(text)] if any(p in text for p in _PREFIXES) else []
     found += [(m.start("value"), m.end("value"), "keyed") for m in _KEYED.finditer(text)] if "=" in text or ":" in text else []
-    found += [(m.start(), m.end(), "long") for m in _LONG.finditer(text)]
+    found += [(m.start(), m.end(), "long") for m in _LONG.finditer(text)] if _RUN.search(text) else []
+    starts: list[int] = []
     out: list[tuple[int, int, str]] = []
     for s, e, rule in found:
         while e > s + 1 and text[e - 1] in ".,;:!?":
             e -= 1
-        if not any(s < y and x < e for x, y, _ in out):
-            out.append((s, e, rule))
-    return sorted(out)
+        at = bisect.bisect_left(starts, s)
+        # disjoint spans in order: only the neighbours can overlap
+        if (at == 0 or out[at - 1][1] <= s) and (at == len(out) or out[at][0] >= e):
+            starts.insert(at, s)
+            out.insert(at, (s, e, rule))
+    return out
 
 
 def scan_secrets(docs: DataFrame, forest: Forest | None = None, accept: float = ACCEPT) -> DataFrame:
@@ -183,8 +194,9 @@ def scan_secrets(docs: DataFrame, forest: Forest | None = None, accept: float =
 
     Offsets are code points, half open; score is the forest's probability, at least ``accept``.
     A null or empty text has no finding, a document without one no row; a null source is an empty
-    path; a null doc_id stays null.  Equal rows give equal findings.  Other columns are ignored; an
-    empty table gives an empty result.
+    path; a null doc_id stays null.  Equal rows give equal findings.  A text is scanned whole in
+    time linear in its length, however long and with or without spaces.  Other columns are ignored;
+    an empty table gives an empty result.
     """
     model = docs.sparkSession.sparkContext.broadcast(forest or fit_forest())
 

@@ -25,23 +25,44 @@ GRADES = 4
 EVIDENCE = 3.0
 
 
+PREFIXES = (4, 5, 6, 7)
+_PREFIX = 0xA24BAED4963EE407
+_SLOTS = (1 << BITS) - 1
+
+
+def slots_of(word: str) -> list[int]:
+    """The slots of a lower-cased word and of its leading 4 to 7 letters."""
+    return [C.word_hash(word) & _SLOTS, *(int(C.mix(np.array([C.word_hash(word[:k]) ^ _PREFIX], np.uint64))[0]) & _SLOTS for k in PREFIXES if len(word) >= k)]
+
+
 class Featurizer:
-    def __init__(self):
-        self.cache: dict[str, tuple[int, ...]] = {}
+    """Features of texts; with ``told``, a mask of slots, of those slots only."""
+
+    def __init__(self, told: np.ndarray | None = None):
+        self.told = told
+
+    def batch(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, slot, value) of all features of several texts, in that order."""
+        ends, h, heads = C.word_hashes(texts, PREFIXES)
+        row = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        by = np.lexsort((h, row))
+        new = np.ones(len(by), bool)  # distinct words of each text
+        new[1:] = (h[by][1:] != h[by][:-1]) | (row[by][1:] != row[by][:-1])
+        first = by[new]
+        codes = []
+        for k in (0, *PREFIXES):
+            x = h[first] if k == 0 else heads[k][first]
+            slot = ((x if k == 0 else C.mix(x ^ np.uint64(_PREFIX))) & np.uint64(_SLOTS)).astype(np.int64)
+            ok = (x != 0) if k else np.ones(len(x), bool)
+            if self.told is not None:
+                ok &= self.told[slot]
+            codes.append(row[first[ok]] << BITS | slot[ok])
+        code, n = np.unique(np.concatenate(codes), return_counts=True)
+        return code >> BITS, code & _SLOTS, np.log2(1.0 + n)
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Slots and their values."""
-        if len(self.cache) > 200_000:
-            self.cache.clear()
-        slots: list[int] = []
-        for w in set(C.words(text)):
-            s = self.cache.get(w)
-            if s is None:
-                mask = (1 << BITS) - 1
-                s = self.cache[w] = tuple(C.xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass")) & mask for p in {f"={w}", *(f"{w[:k]}*" for k in (4, 5, 6, 7) if len(w) >= k)})
-            slots.extend(s)
-        idx, n = np.unique(np.array(slots, np.int64), return_counts=True)
-        return idx, np.log2(1.0 + n)
+        return self.batch([text])[1:]
 
 
 def _sigmoid(z):
@@ -56,6 +77,10 @@ class CumulativeLink:
         """P(grade > k) for k = 0, 1, ..."""
         return _sigmoid(self.w[x[0]] @ x[1] - self.theta)
 
+    def above_each(self, rows: int, x: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """The same for several texts, whose features are (row, slot, value)."""
+        return _sigmoid(np.bincount(x[0], self.w[x[1]] * x[2], rows)[:, None] - self.theta)
+
     @staticmethod
     def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: list[int], steps: int = 500, rate: float = 0.1, ridge: float = 2.0, z_least: float = 2.5, balance: float = 0.5) -> "CumulativeLink":
         y_ = np.asarray(y)
@@ -123,12 +148,15 @@ def grade(rows: list[tuple[np.ndarray, np.ndarray]], toxic: list[int], grades: i
 
 
 def _train(rows: list, y: list[int]) -> bytes:
-    f = Featurizer()
-    x = [f(r["text"]) for r in rows]
+    row, slot, value = Featurizer().batch([r["text"] for r in rows])
+    cuts = np.searchsorted(row, np.arange(1, len(rows)))
+    x = list(zip(np.split(slot, cuts), np.split(value, cuts)))
     return CumulativeLink.fit(x, grade(x, y)).dump()
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes | None:
+    """The model of labels ``toxic``, graded (0, 1, 2, ...) or, as in the tables here, 0 and 1 only, for
+    which :func:`grade` makes up grades to show the method; None if the labels have no two values."""
     return labelled.fit(labelled.sample(docs, labels, "toxic", sample, ["text"]), _train)
 
 
@@ -137,22 +165,25 @@ def score_toxicity(docs: DataFrame, model: bytes | None) -> DataFrame:
 
     expected_severity is the mean grade, the sum over k of P(grade > k); grade is the number of
     thresholds that are more likely passed than not; toxic means grade >= 1.  A null, empty or
-    wordless text has no features: severity 0, grade 0.  Without a model (no labels of two
-    classes) severity and grade are null and toxic is false.  A null doc_id passes through; equal
-    rows get equal results; other columns are ignored.
+    wordless text has no features: severity 0, grade 0; a very long one is scored whole.  Without a
+    model (no labels of two classes) severity and grade are null and toxic is false.  A null doc_id
+    passes through; equal rows get equal results; other columns are ignored; an empty table gives
+    an empty result.
     """
+    names = ["doc_id", "expected_severity", "grade", "toxic"]
     blob = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = CumulativeLink.load(blob.value) if blob.value else None
-        f = Featurizer()
+        f = Featurizer(m.w != 0) if m else None
         for b in batches:
-            sev, gr = [], []
-            for text in b.column(1).to_pylist():
-                x = f(text)
-                p = None if m is None else m.above(x) if len(x[0]) else np.zeros(1)
-                sev.append(None if p is None else float(p.sum()))
-                gr.append(None if p is None else int((p >= 0.5).sum()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sev, pa.float64()), pa.array(gr, pa.int32()), pa.array([bool(g) for g in gr], pa.bool_())], names=["doc_id", "expected_severity", "grade", "toxic"])
+            texts, n = b.column(1), b.num_rows
+            if m is None:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.nulls(n, pa.float64()), pa.nulls(n, pa.int32()), pa.array(np.zeros(n, bool))], names=names)
+                continue
+            p = m.above_each(n, f.batch(C.each(texts)))
+            p[np.array([not C.WORD.search(t or "") for t in C.each(texts)], bool)] = 0.0
+            grade = (p >= 0.5).sum(1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p.sum(1)), pa.array(grade.astype(np.int32)), pa.array(grade > 0)], names=names)
 
     return C.require(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, expected_severity double, grade int, toxic boolean")

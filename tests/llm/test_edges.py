@@ -43,8 +43,8 @@ def test_empty_tables(edge_docs, labels, name):
 
 
 def test_defined_results(spark, edge_docs, labels):
-    pairs = {(r.doc_a, r.doc_b) for r in ngram_jaccard_join(edge_docs).collect()}
-    assert pairs == {(4, 5), (6, 7), (6, 8), (7, 8), (10, 11)}
+    classes = {tuple(r) for r in ngram_jaccard_join(edge_docs).collect()}
+    assert classes == {(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 0), (5, 4, 0), (6, 6, 1), (7, 6, 1), (8, 6, 1), (9, 9, 0), (10, 10, 0), (11, 10, 0), (12, 12, 0), (13, 13, 0)}
     canon = {(r.doc_id, r.canonical_id) for r in exact_dedup(edge_docs).collect()}
     assert canon == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (6, 6), (7, 6), (8, 8), (9, 9), (10, 10), (11, 10), (12, 12), (13, 13)}
     assert {r.doc_id for r in score_toxicity(edge_docs, None).collect() if r.toxic} == set()
@@ -63,9 +63,12 @@ def test_vectors(spark):
     v = [(i, [float(i % 5), 1.0, float(i)], i) for i in range(20)]
     odd = [(20, None, 0), (21, [0.0, 0.0, 0.0], 0), (22, [1.0], 0), (None, [1.0, 2.0, 3.0], 0), (23, [1.0, None, 2.0], 0), (24, [float("nan"), 1.0, 1.0], 0), (0, [0.0, 1.0, 0.0], 0)]
     df = spark.createDataFrame(v + odd, "vec_id long, embedding array<double>, v int")
-    got = nearest_neighbours(df, k=3).collect()
+    got = nearest_neighbours(df, k=3, every=1).collect()
     assert {r.vec_id for r in got} == set(range(20)) and all(r.neighbour_id < 20 and r.neighbour_id != r.vec_id for r in got)
-    assert len(got) == 60 and nearest_neighbours(df.limit(0)).count() == 0
+    assert len(got) == 60 and nearest_neighbours(df.limit(0), every=1).count() == 0
+    assert {r.vec_id for r in nearest_neighbours(df, k=3).collect()} == {0} and nearest_neighbours(df.where("vec_id % 100 > 0")).count() == 0
+    clash = df.selectExpr("*", "1 AS file", "2 AS part", "3 AS query", "4 AS q", "5 AS sim")
+    assert rows_of(nearest_neighbours(clash, k=3, every=1)) == sorted(map(tuple, got), key=repr)
     same = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(5)], "vec_id long, embedding array<double>")
-    assert sorted((r.vec_id, r.rank, r.neighbour_id) for r in nearest_neighbours(same, k=2).collect())[:2] == [(0, 1, 1), (0, 2, 2)]
-    assert nearest_neighbours(same.limit(1)).count() == 0
+    assert sorted((r.vec_id, r.rank, r.neighbour_id) for r in nearest_neighbours(same, k=2, every=1).collect())[:2] == [(0, 1, 1), (0, 2, 2)]
+    assert nearest_neighbours(same.limit(1), every=1).count() == 0
