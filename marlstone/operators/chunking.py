@@ -105,12 +105,32 @@ def windows(text: Column, size: int, step: int | None = None) -> Column:
     return F.get(F.transform(F.array(full), new), F.lit(0))
 
 
+def _bind(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, where a lambda would compute it for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+#: Elements that are summed or held together, so that long arrays cost no quadratic time.
+_RUN = 64
+
+
+def _before(sizes: Column) -> Column:
+    """array<int>: the sum of the sizes before each one."""
+    add = lambda a, x: a + x
+    part = lambda b: F.aggregate(F.slice(sizes, b * _RUN + 1, F.lit(_RUN)), F.lit(0), add)
+    sums = F.when(F.size(sizes) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / _RUN).cast("int")), part)).otherwise(F.array().cast("array<int>"))
+    seed = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    heads = F.aggregate(sums, seed, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
+    inside = lambda i: F.aggregate(F.slice(sizes, i - i % _RUN + 1, i % _RUN), F.lit(0), add)
+    return _bind(heads, lambda h: F.transform(sizes, lambda x, i: F.get(h, F.floor(i / _RUN).cast("int")) + inside(i)))
+
+
 def tiles(text: Column, pattern: str = SENTENCE_TILE) -> Column:
     """array<struct(start, end, text)>: trimmed tiles of a text that together cover it."""
     raw = F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda t: t != "")
-    seed = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
-    placed = F.aggregate(raw, seed, lambda a, t: F.struct((a["at"] + F.length(t)).alias("at"), F.concat(a["out"], F.array(trimmed_span(t, a["at"]))).alias("out")))
-    return F.filter(placed["out"], lambda s: F.length(s["text"]) > 0)
+    at = lambda r: _bind(F.transform(r, F.length), _before)
+    placed = _bind(raw, lambda r: _bind(at(r), lambda b: F.transform(r, lambda t, i: trimmed_span(t, F.get(b, i)))))
+    return F.filter(placed, lambda s: F.length(s["text"]) > 0)
 
 
 def explode_spans(docs: DataFrame, spans: Column, *keep: str) -> DataFrame:
@@ -120,15 +140,19 @@ def explode_spans(docs: DataFrame, spans: Column, *keep: str) -> DataFrame:
 
 def packed(units: Column, limit: int) -> Column:
     """array<struct(start, end)>: greedy packing of units none of which exceeds ``limit``."""
+    span = "struct<start:int,end:int>"
     bare = F.transform(units, lambda u: F.struct(u["start"].alias("start"), u["end"].alias("end")))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
+    seed = F.struct(F.lit(None).cast(span).alias("open"), F.array().cast(f"array<{span}>").alias("few"), F.array().cast(f"array<array<{span}>>").alias("many"))
 
-    def step(acc, u):
-        last = F.get(acc, F.size(acc) - 1)
-        grown = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), u["end"].alias("end"))))
-        return F.when((F.size(acc) > 0) & (u["end"] - last["start"] <= limit), grown).otherwise(F.concat(acc, F.array(u)))
+    def step(a, u):
+        grown = F.struct(F.struct(a["open"]["start"].alias("start"), u["end"].alias("end")).alias("open"), a["few"].alias("few"), a["many"].alias("many"))
+        full = F.size(a["few"]) >= _RUN
+        few = F.concat(F.when(full, F.array().cast(f"array<{span}>")).otherwise(a["few"]), F.array(a["open"]))
+        fresh = F.struct(u.alias("open"), F.when(a["open"].isNull(), a["few"]).otherwise(few).alias("few"), F.when(full, F.concat(a["many"], F.array(a["few"]))).otherwise(a["many"]).alias("many"))
+        return F.when(a["open"].isNotNull() & (u["end"] - a["open"]["start"] <= limit), grown).otherwise(fresh)
 
-    return F.aggregate(bare, empty, step)
+    end = lambda a: F.concat(F.flatten(a["many"]), a["few"], F.when(a["open"].isNotNull(), F.array(a["open"])).otherwise(F.array().cast(f"array<{span}>")))
+    return F.aggregate(bare, seed, step, end)
 
 
 PARAGRAPHS, SENTENCES = PARAGRAPH_TILE, SENTENCE_TILE

@@ -21,8 +21,9 @@ from .sparse_index import SparseIndex
 
 K1, B = 1.2, 0.75
 RRF_K, MULTIPLIER = 60, 4
-#: Largest query side, in rows of terms, that is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Largest counted side, in rows of at most some 150 bytes in a hash table, that is broadcast; beyond
+#: it the join shuffles.
+BROADCAST_ROWS = 200_000
 #: Distinct query terms up to which they are looked up in place; beyond that they are joined.
 LOOKUP_TERMS = 4096
 #: Queries of a dense search up to which the batch is broadcast.

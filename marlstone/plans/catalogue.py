@@ -546,7 +546,8 @@ def _gold(spark, d):
     t = b.select("query_id", F.posexplode(tokens(F.col("query"))).alias("pos", "term"), F.size(tokens(F.col("query"))).alias("of"))
     inner = t.where("pos > 0 AND pos < of - 1").select("query_id", "term").distinct()
     post = _index(spark, d).postings()
-    df = post.join(F.broadcast(inner.select("term").distinct()), "term").groupBy("term").agg(F.count("*").alias("df"))
+    terms = inner.select("term").distinct()
+    df = post.join(R.small(terms, terms.count()), "term").groupBy("term").agg(F.count("*").alias("df"))
     rarest = inner.join(df, "term", "left").groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
     pairs = post.join(R.small(rarest, n), "term").select("query_id", F.col("chunk_id").alias("doc_id"))
     asked = pairs.join(R.small(b, n), "query_id")
