@@ -255,6 +255,19 @@ def rrf(sources: list[DataFrame], k: int, rank_constant: int = RRF_K) -> DataFra
     return top_k(fused.withColumn("relevance", total), k)
 
 
+#: How each kind of search turns its raw score into relevance.
+SCORES = {"bm25": ("sparse", "identity"), "dot": ("dense", "identity"), "cosine": ("dense", "identity"), "cosine_distance": ("dense", "negate"), "rrf": ("fused", "identity"), "overlap": ("reranked", "identity")}
+
+
+def with_provenance(ranked: DataFrame, metric: str) -> DataFrame:
+    """``ranked`` with ``provenance`` (kind, metric, conversion, raw_score)."""
+    if metric not in SCORES:
+        raise ValueError(f"{metric!r} is no metric")
+    kind, conversion = SCORES[metric]
+    raw = -F.col("relevance") if conversion == "negate" else F.col("relevance")
+    return ranked.withColumn("provenance", F.struct(F.lit(kind).alias("kind"), F.lit(metric).alias("metric"), F.lit(conversion).alias("conversion"), raw.alias("raw_score")))
+
+
 def depth(k: int, multiplier: int = MULTIPLIER, most: int | None = None) -> int:
     """How many candidates each source of a fusion is asked for."""
     if most is not None and k * multiplier > most:

@@ -30,12 +30,13 @@ SPREAD_BYTES = 256 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table whose files are too few to keep the cores busy, over as many tasks as there are cores.
+    """A small table of fewer files than there are cores, over as many tasks as cores.
 
-    Larger tables have files and row groups enough and are read where they lie.
+    Other tables have files and row groups enough and are read where they lie.
     """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if size <= SPREAD_BYTES and len(df.inputFiles()) < cores else df
 
 
 def work_dir(spark: SparkSession) -> str:
