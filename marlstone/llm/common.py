@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import atexit
 import re
-import tempfile
 import uuid
 
 import numpy as np
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import work_dir
+
 WORD = re.compile(r"[^\W_]+")
 MASK = (1 << 64) - 1
 #: Largest side, in bytes, that is ever broadcast; beyond it the same join runs as a shuffle.
@@ -21,20 +21,8 @@ BROADCAST_BYTES = 32 << 20
 _written: list[tuple[SparkSession, str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; one of our own only where that is unset."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="marlstone-"))
-        base = sc.getCheckpointDir()
-    return f"{base.rstrip('/')}/marlstone-{sc.applicationId}"
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def table(df: DataFrame, name: str, spark: SparkSession | None = None, by: str | None = None) -> DataFrame:

@@ -128,8 +128,9 @@ class Forest:
 
 
 def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str, str, int]]:
-    """(value, before, after, path, secret) - a made-up labelled set, half secrets: credentials in
-    common formats against placeholders, words, identifiers, digests and numbers."""
+    """(value, before, after, path, secret) - a made-up labelled set to show the method, half secrets:
+    credentials in common formats against placeholders, words, identifiers, digests and numbers.
+    Findings that people have judged are passed to :func:`fit_forest` in the same form."""
     rng = random.Random(seed)
     pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
     hexa, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
@@ -138,7 +139,7 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str
     filler = lambda: " ".join(natural(rng.randint(1, 4)) for _ in range(5))
     keys = ["password", "token", "secret", "api_key", "auth_token", "passwd", "client_secret", "access_key"]
     assign = lambda: rng.choice(keys) + rng.choice(["=", " = ", ": ", ' = "', '="', ": '"])
-    paths = ["src1", "src7", "src19", "app/settings.py", "deploy/prod.env", "main.tf", "web", "notes"]
+    paths = ["lib/core", "crawl", "mail", "app/settings.py", "deploy/prod.env", "main.tf", "web", "notes"]
     soft = ["tests/test_login.py", "docs/guide.md", "examples/demo.py", "fixtures/data.json"]
     out = []
     for i in range(n):
