@@ -18,7 +18,7 @@ from marlstone.llm.mixing import mixed_documents
 from marlstone.llm.ngram_join import similar_classes
 from marlstone.llm.packing import pack_documents
 from marlstone.llm.quality_fm import fit_quality, keep_quality
-from marlstone.session import ship
+from marlstone.session import ship, spread
 
 
 def _stage(f):
@@ -97,7 +97,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     What a stage wrote on its way is deleted once its result is written.
     """
     ship(spark)
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), C.written()
+    docs, before = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), C.written()
     for name, stage in STAGES[:-1]:
         docs = C.table(stage(spark, docs, sf_dir), f"stage-{name}", spark)
         made = [x for x in C.written() if x not in before]
