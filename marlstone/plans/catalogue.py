@@ -436,6 +436,16 @@ def html_text_spans(spark, d):
     return X.html_text(_t(spark, d, "pages"), strict=False)
 
 
+_TAG = """(?:[^>"'']|"[^"]*"|''[^'']*'')*>"""
+_HTML_TOKEN = rf"(?is)<!--.*?-->|<script\b{_TAG}.*?</script\s*>|<style\b{_TAG}.*?</style\s*>|<[a-z/!?]{_TAG}|&(?:#[0-9]+|#x[0-9a-f]+|[a-z][a-z0-9]*);?|[^<&]+|[<&]"
+_HTML_SQL = rf"""
+WITH t AS (SELECT page_id, regexp_extract_all(html, '{_HTML_TOKEN}') AS l FROM pages WHERE html IS NOT NULL),
+e AS (SELECT page_id, unnest(l) AS p, generate_subscripts(l, 1) AS n FROM t),
+a AS (SELECT page_id, n, p, sum(len(p)) OVER (PARTITION BY page_id ORDER BY n) - len(p) AS pos FROM e),
+k AS (SELECT * FROM a WHERE NOT regexp_matches(p, '(?i)^<[a-z/!?]') AND trim(p, {_WS}) <> '')
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY n) - 1)::INTEGER AS ordinal, (pos + len(p) - len(ltrim(p, {_WS})))::INTEGER AS start, (pos + len(rtrim(p, {_WS})))::INTEGER AS "end", trim(p, {_WS}) AS text FROM k"""
+
+
 def asset_dedup(spark, d):
     a = _t(spark, d, "documents").groupBy(F.sha2("text", 256).alias("sha256"))
     return a.agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc_id")).where("n > 1")
@@ -690,6 +700,7 @@ def oracle_sql() -> dict[str, str]:
         "transcript_validate": "WITH e AS (SELECT user_id AS document_id, row_number() OVER w AS ordinal, epoch_ms(ts) AS s, lag(epoch_ms(ts)) OVER w AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT document_id, ordinal::INTEGER AS ordinal, 'overlap' AS reason FROM e WHERE p + 60000 > s",
         "answer_question": _bm25_sql(10) + _BUDGET_SQL.replace(_bm25_sql(10, queries=_BENCH_SQL), "") + r""", ans AS (SELECT query_id, chunk_id, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')[1:32], ' ') AS a FROM included WHERE prompt_rank = 1)
 SELECT q.query_id, coalesce(a, '""" + A.NOTHING + "') AS answer, CASE WHEN a <> '' THEN chunk_id END AS citation FROM queries q LEFT JOIN ans USING (query_id)",
+        "html_text_spans": _HTML_SQL,
         "chunk_conversation": _CONVERSATION_SQL,
         "prompt_render": _PROMPT_SQL,
     } | {k: _filter_sql(c) for k, (_, c) in _FILTERS.items()} | {k: _strategy_sql(k) for k in STRATEGIES}
