@@ -7,6 +7,8 @@ import re
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,6 +79,21 @@ def unsqueeze(blob: bytes, dtype) -> np.ndarray:
     return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype), dtype=dtype)
 
 
+#: Bytes of text that are taken apart at once, to bound a worker's memory.
+SLICE = 2 << 20
+
+
+def slices(batch: pa.RecordBatch, at: int, limit: int | None = None):
+    """The batch in parts of about ``limit`` bytes of its text column ``at``, a row at least."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        done = int(size[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(size, done + (limit or SLICE), side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def each(column):
     """Values of an Arrow column one by one, never all as Python objects at once."""
     return (x.as_py() for x in column)
@@ -99,7 +116,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 #: Code points that are hashed together; longer texts are cut between words.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _BETWEEN = re.compile(r"[\W_]")
 

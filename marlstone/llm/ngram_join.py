@@ -55,7 +55,7 @@ def _profile(n: int):
 
     def run(batches):
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-        for b in batches:
+        for b in (x for y in batches for x in C.slices(y, 1)):
             ids, text_key, size, hi, lo, bits = [], [], [], [], [], []
             for doc, g, tk in zip(b.column(0).to_pylist(), C.ngram_sets(C.each(b.column(1)), n), b.column(2).to_pylist()):
                 ids.append(doc)
@@ -127,7 +127,7 @@ def _signatures(n: int, t: float, bound: int, shards: int, order_b):
         rank, lists = order_b.value
         for b in batches:
             out = {0: ([], [], [], [], []), 1: ([], [], [], [], [])}
-            for doc, g in zip(b.column(0).to_pylist(), C.ngram_sets(C.each(b.column(1)), n)):
+            for doc, g in ((d, g) for x in C.slices(b, 1) for d, g in zip(x.column(0).to_pylist(), C.ngram_sets(C.each(x.column(1)), n))):
                 if not len(g):
                     continue
                 s, o = len(g), int(needed(len(g), t))
@@ -306,7 +306,7 @@ def _compare_bitmaps(t: float):
 
 def _sets(n: int):
     def run(batches):
-        for b in batches:
+        for b in (x for y in batches for x in C.slices(y, 1)):
             # 40 bits of each hash, still sorted: equal grams stay equal, others collide once in 10^12
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([(g >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for g in C.ngram_sets(C.each(b.column(1)), n)], pa.binary())], names=["sid", "grams"])
 

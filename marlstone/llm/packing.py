@@ -112,7 +112,7 @@ def token_counts(texts: pa.Array) -> np.ndarray:
 
 
 def _count(batches):
-    for b in batches:
+    for b in (x for y in batches for x in C.slices(y, 1)):
         n = token_counts(b.column(1))
         rows = pa.array(np.flatnonzero(n))
         yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array(n[n > 0])], names=["doc_id", "tokens"])

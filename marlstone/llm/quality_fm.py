@@ -46,7 +46,7 @@ _NOT_DIGIT = bytes(c for c in range(256) if not 48 <= c <= 57)
 
 class Featurizer:
     def batch(self, texts, langs: list, sources: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, feature, value) of several texts, in that order."""
+        """(row, feature, value) of several texts, in no order."""
         texts = [t or "" for t in texts]
         n = len(texts)
         ends, h, _ = C.word_hashes(texts)
@@ -55,9 +55,9 @@ class Featurizer:
         code, counts = np.unique(of << WORD_BITS | (h & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64), return_counts=True)
         w_row, w_idx, tf = code >> WORD_BITS, code & ((1 << WORD_BITS) - 1), np.log1p(counts)
         norm = np.sqrt(np.bincount(w_row, tf * tf, n))
-        by = h[np.lexsort((h, of))]
+        by = np.sort(of.astype(np.uint64) << np.uint64(40) | h >> np.uint64(24))  # texts first, so that ``of`` fits it
         new = np.ones(len(h), bool)
-        new[1:] = (by[1:] != by[:-1]) | (of[1:] != of[:-1])  # ``of`` is in order already
+        new[1:] = by[1:] != by[:-1]
         echo = np.zeros(len(h), bool)
         echo[1:] = (h[1:] == h[:-1]) & (of[1:] == of[:-1])
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
@@ -83,8 +83,7 @@ class Featurizer:
         row = np.concatenate([w_row, np.repeat(np.arange(n), len(_CUTS)), np.repeat(np.arange(n), [len(m) for m in meta])]).astype(np.int64)
         idx = np.concatenate([w_idx, struct.reshape(-1), np.array([x for m in meta for x in sorted(m)], np.int64)]).astype(np.int64)
         val = np.concatenate([tf / norm[w_row], np.full(n * len(_CUTS), 0.5), np.full(sum(map(len, meta)), 0.2)]).astype(np.float32)
-        by = np.lexsort((idx, row))
-        return row[by], idx[by], val[by]
+        return row, idx, val
 
     def __call__(self, text: str | None, lang: str | None, source: str | None) -> tuple[np.ndarray, np.ndarray]:
         return self.batch([text], [lang], [source])[1:]
@@ -102,10 +101,10 @@ class FactorisationMachine:
     def probabilities(self, rows: int, x: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
         """Of a good document, for several texts whose features are (row, feature, value)."""
         row, idx, val = x
-        at = np.flatnonzero(np.diff(row, prepend=-1))  # every text has features, in order
-        vx = self.v[idx] * val[:, None]
-        s = np.add.reduceat(vx, at, axis=0, dtype=np.float64) if rows else np.zeros((0, 1))
-        z = self.w0 + np.bincount(row, self.w[idx] * val, rows) + 0.5 * ((s * s).sum(1) - np.bincount(row, (vx * vx).sum(1), rows))
+        z = self.w0 + np.bincount(row, self.w[idx] * val, rows)
+        for v in self.v.T:
+            vx = v[idx] * val
+            z += 0.5 * (np.bincount(row, vx, rows) ** 2 - np.bincount(row, vx * vx, rows))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     @staticmethod
@@ -143,9 +142,8 @@ class FactorisationMachine:
 
 
 def _train(rows: list, y: list[int]) -> bytes:
-    row, idx, val = Featurizer().batch(*([r[c] for r in rows] for c in ("text", "lang", "source")))
-    cuts = np.searchsorted(row, np.arange(1, len(rows)))
-    return FactorisationMachine.fit(list(zip(np.split(idx, cuts), np.split(val, cuts))), y).dump()
+    f = Featurizer()
+    return FactorisationMachine.fit([f(r["text"], r["lang"], r["source"]) for r in rows], y).dump()
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes | None:
@@ -171,7 +169,7 @@ def score_quality(docs: DataFrame, model: bytes | None, keep: float = KEEP) -> D
 
     def run(batches):
         fm, f = FactorisationMachine.load(blob.value) if blob.value else None, Featurizer()
-        for b in batches:
+        for b in (x for y in batches for x in C.slices(y, 1)):
             p = None if fm is None else fm.probabilities(b.num_rows, f.batch(C.each(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist()))
             q = pa.nulls(b.num_rows, pa.float64()) if p is None else pa.array(p)
             yield pa.RecordBatch.from_arrays([b.column(0), q, pa.array(_kept(b.column(1), p, keep))], names=["doc_id", "quality", "keep"])
@@ -189,7 +187,7 @@ def keep_quality(docs: DataFrame, model: bytes | None, keep: float = KEEP) -> Da
 
     def run(batches):
         fm, f = FactorisationMachine.load(blob.value) if blob.value else None, Featurizer()
-        for b in batches:
+        for b in (x for y in batches for x in C.slices(y, at[0])):
             texts = b.column(at[0])
             p = None if fm is None else fm.probabilities(b.num_rows, f.batch(C.each(texts), *(b.column(i).to_pylist() for i in at[1:])))
             yield b.filter(pa.array(_kept(texts, p, keep)))

@@ -45,10 +45,8 @@ class Featurizer:
         """(row, slot, value) of all features of several texts, in that order."""
         ends, h, heads = C.word_hashes(texts, PREFIXES)
         row = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-        by = np.lexsort((h, row))
-        new = np.ones(len(by), bool)  # distinct words of each text
-        new[1:] = (h[by][1:] != h[by][:-1]) | (row[by][1:] != row[by][:-1])
-        first = by[new]
+        key = row.astype(np.uint64) << np.uint64(40) | h >> np.uint64(24)
+        first = np.unique(key, return_index=True)[1]  # distinct words of each text, by 40 bits of their hash
         codes = []
         for k in (0, *PREFIXES):
             x = h[first] if k == 0 else heads[k][first]
@@ -148,9 +146,8 @@ def grade(rows: list[tuple[np.ndarray, np.ndarray]], toxic: list[int], grades: i
 
 
 def _train(rows: list, y: list[int]) -> bytes:
-    row, slot, value = Featurizer().batch([r["text"] for r in rows])
-    cuts = np.searchsorted(row, np.arange(1, len(rows)))
-    x = list(zip(np.split(slot, cuts), np.split(value, cuts)))
+    f = Featurizer()
+    x = [f(r["text"]) for r in rows]
     return CumulativeLink.fit(x, grade(x, y)).dump()
 
 
@@ -176,7 +173,7 @@ def score_toxicity(docs: DataFrame, model: bytes | None) -> DataFrame:
     def run(batches):
         m = CumulativeLink.load(blob.value) if blob.value else None
         f = Featurizer(m.w != 0) if m else None
-        for b in batches:
+        for b in (x for y in batches for x in C.slices(y, 1)):
             texts, n = b.column(1), b.num_rows
             if m is None:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.nulls(n, pa.float64()), pa.nulls(n, pa.int32()), pa.array(np.zeros(n, bool))], names=names)
