@@ -56,23 +56,18 @@ def _profile(n: int):
     def run(batches):
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         for b in (x for y in batches for x in C.slices(y, 1)):
-            ids, text_key, size, hi, lo, bits = [], [], [], [], [], []
-            for doc, g, tk in zip(b.column(0).to_pylist(), C.ngram_sets(C.each(b.column(1)), n), b.column(2).to_pylist()):
-                ids.append(doc)
-                text_key.append(tk)
-                size.append(len(g))
-                if not len(g):
-                    hi.append(0)
-                    lo.append(0)
-                    bits.append(b"")
-                    continue
-                np.add.at(sketch, (g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+            sets = C.ngram_sets(C.each(b.column(1)), n)
+            size = np.array([len(g) for g in sets], np.int32)
+            every, some = np.concatenate(sets), np.flatnonzero(size)
+            np.add.at(sketch, (every >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+            hi, lo = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
+            if len(some):
+                at = (np.cumsum(size) - size)[some]
                 with np.errstate(over="ignore"):
-                    hi.append(int(np.bitwise_xor.reduce(C.mix(g))) ^ len(g))
-                    lo.append(int(C.mix(g ^ np.uint64(0x5851F42D4C957F2D)).sum()))
-                bits.append(parity(g))
-            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(text_key, pa.int64()), pa.array(size, pa.int32()), signed(hi), signed(lo), pa.array(bits, pa.binary()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names=names)
+                    hi[some] = np.bitwise_xor.reduceat(C.mix(every), at) ^ size[some].astype(np.uint64)
+                    lo[some] = np.add.reduceat(C.mix(every ^ np.uint64(0x5851F42D4C957F2D)), at)
+            bits, k = [parity(g) if len(g) else b"" for g in sets], len(sets)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(size), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array(bits, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
         if sketch.any():
             parts = np.minimum(sketch, 255).astype(np.uint8).reshape(-1, 1 << CHUNK_BITS)
             k = len(parts)
@@ -88,73 +83,71 @@ def _add_chunks(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "blob": [total.tobytes()]})
 
 
-def _order(g: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The set's grams in the global order, frequency class and then hash; and the leading 32 bits
-    of each one's place in it."""
-    r = rank[(g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    by = np.argsort(r, kind="stable")
-    g = g[by]
-    return g, (r[by].astype(np.uint64) << np.uint64(26) | g >> np.uint64(38)).astype(np.uint32)
-
-
 #: How an entry of a list meets others: any of them, or only those of the other side.
 ANY, LEFT, RIGHT = 0, 1, 2
 
 
-def _cut(keys: np.ndarray, doc: int, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and sides of one document's entries, lists of more than one block by pairs of blocks.
+def _cut(keys: np.ndarray, doc: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries whose lists are cut into ``blocks``, by pairs of blocks: (entry, key, side).
 
     The document is in block x of its list: in the pair (x, x) it meets any, in (x, y) those of y.
     """
-    hot = np.flatnonzero(blocks > 1)
-    if not len(hot):
-        return keys, np.zeros(len(keys), np.int32)
-    out, side = [keys[blocks == 1]], [np.zeros(int((blocks == 1).sum()), np.int32)]
-    for i in hot.tolist():
-        n = int(blocks[i])
-        x, y = int(C.mix(np.array([doc], np.int64).view(np.uint64))[0] % np.uint64(n)), np.arange(n)
-        pair = (np.minimum(x, y) * n + np.maximum(x, y) + 1).astype(np.uint64)
+    at = np.repeat(np.arange(len(keys)), blocks)
+    n = blocks.astype(np.int64)[at]
+    x = (C.mix(doc.view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)[at]
+    y = np.arange(len(at)) - np.repeat(np.cumsum(blocks, dtype=np.int64) - blocks, blocks)
+    pair = (np.minimum(x, y) * n + np.maximum(x, y) + 1).astype(np.uint64)
+    return at, C.mix(keys[at] ^ C.mix(pair)), np.where(y == x, ANY, np.where(x < y, LEFT, RIGHT)).astype(np.int32)
+
+
+def _entries(sets: list[np.ndarray], ids: np.ndarray, t: float, bound: int, rank: np.ndarray, lists: np.ndarray):
+    """(kind, keys, docs, sizes and sides, lasts) of some sets.  kind 0: subsets, 1: lists."""
+    size = np.array([len(g) for g in sets], np.int64)
+    need, start = needed(size, t), np.cumsum(size) - size
+    of = np.repeat(np.arange(len(sets)), size)
+    g = np.concatenate(sets)
+    cell = (g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+    # the global order: frequency class, then hash, by which each set is in order already
+    by = np.argsort(of << 8 | rank[cell], kind="stable")
+    g, cell = g[by], cell[by]
+    small = (size <= bound) & (need >= SUBSET)
+    for k in np.flatnonzero(small).tolist():
+        p = g[start[k] : start[k] + size[k] - need[k] + SUBSET]
+        i, j = np.triu_indices(len(p), 1)
         with np.errstate(over="ignore"):
-            out.append(C.mix(keys[i] ^ C.mix(pair)))
-        side.append(np.where(y == x, ANY, np.where(x < y, LEFT, RIGHT)).astype(np.int32))
-    return np.concatenate(out), np.concatenate(side)
+            keys = C.mix(p[i] * np.uint64(3) ^ C.mix(p[j] ^ p[i]))
+        yield 0, keys, np.full(len(i), ids[k]), np.full(len(i), size[k] << 2 | ANY, np.int32), np.zeros(len(i), np.uint32)
+    # a subset set is in the lists only if a scanning set can match it
+    listed = ~small | (size >= t * (bound + 1) - 1e-9) | (size * t < SUBSET / t + 1)
+    head = np.flatnonzero(listed[of] & (np.arange(len(g)) - start[of] <= (size - need)[of]))
+    last = start + size - need  # the place, in the global order, where each prefix ends
+    place = (rank[cell[last]].astype(np.uint64) << np.uint64(26) | g[last] >> np.uint64(38)).astype(np.uint32)
+    blocks = lists[cell[head]]
+    for part in (head[blocks == 1], head[blocks > 1]):
+        keys, d, side = g[part], of[part], np.zeros(len(part), np.int32)
+        if len(part) and lists[cell[part[0]]] > 1:
+            at, keys, side = _cut(keys, ids[d], lists[cell[part]])
+            d = d[at]
+        yield 1, keys, ids[d], (size[d] << 2).astype(np.int32) | side, place[d]
 
 
 def _signatures(n: int, t: float, bound: int, shards: int, order_b):
-    """Blocks of (key, doc, size and side) per kind and shard.  kind 0: subsets, 1: lists."""
+    """Blocks of entries (key, doc, size and side, last) per kind and shard, one for each batch."""
 
     def run(batches):
         rank, lists = order_b.value
         for b in batches:
-            out = {0: ([], [], [], [], []), 1: ([], [], [], [], [])}
-            for doc, g in ((d, g) for x in C.slices(b, 1) for d, g in zip(x.column(0).to_pylist(), C.ngram_sets(C.each(x.column(1)), n))):
-                if not len(g):
-                    continue
-                s, o = len(g), int(needed(len(g), t))
-                g, place = _order(g, rank)
-                if enumerates := (s <= bound and o >= SUBSET):
-                    p = g[: s - o + SUBSET]
-                    i, j = np.triu_indices(len(p), 1)
-                    with np.errstate(over="ignore"):
-                        out[0][0].append(C.mix(p[i] * np.uint64(3) ^ C.mix(p[j] ^ p[i])))
-                    out[0][1].append(doc)
-                    out[0][2].append(s)
-                    out[0][3].append(0)
-                    out[0][4].append(np.zeros(len(i), np.int32))
-                # a subset set is in the lists only if a scanning set can match it
-                if not enumerates or s >= t * (bound + 1) - 1e-9 or s * t < SUBSET / t + 1:
-                    p = g[: s - o + 1]
-                    keys, side = _cut(p, doc, lists[(p >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)])
-                    out[1][0].append(keys)
-                    out[1][1].append(doc)
-                    out[1][2].append(s)
-                    out[1][3].append(int(place[s - o]))
-                    out[1][4].append(side)
-            for kind, (keys, docs, sizes, lasts, sides) in out.items():
-                if not keys:
+            out = {0: [], 1: []}
+            for x in C.slices(b, 1):
+                sets = C.ngram_sets(C.each(x.column(1)), n)
+                some = [i for i, g in enumerate(sets) if len(g)]
+                if some:
+                    for kind, *entries in _entries([sets[i] for i in some], x.column(0).to_numpy()[some], t, bound, rank, lists):
+                        out[kind].append(entries)
+            for kind, found in out.items():
+                if not found:
                     continue
-                lens = [len(k) for k in keys]
-                key, doc, size, last = np.concatenate(keys), np.repeat(np.array(docs, np.int64), lens), np.repeat(np.array(sizes, np.int32), lens) << 2 | np.concatenate(sides), np.repeat(np.array(lasts, np.uint32), lens)
+                key, doc, size, last = (np.concatenate(c) for c in zip(*found))
                 shard = ((key >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
                 by = np.argsort(shard, kind="stable")
                 cuts = np.searchsorted(shard[by], np.arange(shards + 1))

@@ -58,7 +58,7 @@ _STRICT = {
     "phone": re.compile(r"(?:\+\d{1,3} ?)?\(\d{3}\) ?\d{3}-\d{4}|\+\d{1,3}(?:[ -]\d{2,4}){3,4}|\d{3}[-.]\d{3}[-.]\d{4}|(?:\+\d{1,3} ?\d|0\d)(?:[ .-]\d{2}){4}|\+\d{8,15}|0\d{8,10}|[2-9]\d{2}[2-9]\d{6}"),
     "number": re.compile(r"[+0][\d .()-]+"),  # dialled in groups of no known format
 }
-_TLDS = set("com org net edu gov info io co biz me dev app uk de fr es it nl eu us ca au ch at be jp cn in br pl se no".split())
+_TLDS = set("com org net edu gov mil int info io co biz me dev app ai xyz online site shop cloud tech uk de fr es it nl eu us ca au ch at be jp cn in br pl se no dk fi ie pt gr cz sk hu ro bg hr si lt lv ee lu is ru ua tr il ae sa za ng ke eg ma mx ar cl pe ve kr tw hk sg my th vn ph id nz pk bd lk ir".split())
 _CALLING = {"1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "55", "61", "81", "82", "86", "90", "91"}
 _CUES = set("mail email e courriel correo contact contacto kontakt phone tel telephone téléphone teléfono telefon mobile handy call fax card visa mastercard credit karte carte tarjeta ip host server client address adresse dirección ssn social security account konto compte cuenta".split())
 _COUNTER = set("version v page pages section chapter figure fig table isbn issn doi rfc no nr num vol license licence copyright build release id sha md5 hash".split())
@@ -88,7 +88,7 @@ def votes(kind: str, span: str, before: str, after: str) -> list[int]:
         check = 1 if _luhn(digits) else -1
         gaz = 1 if digits[0] in "3456" or 2221 <= int(digits[:4]) <= 2720 else -1
     elif kind == "ssn":
-        check, gaz = 0, 0
+        check, gaz = 0, 1 if int(digits[:3]) <= 772 else 0  # areas that were given out by region
     elif kind == "phone":
         check = 1 if 7 <= len(digits) <= 15 else -1
         gaz = 0 if "+" not in span else 1 if any(digits.startswith(c) for c in _CALLING) else -1
@@ -112,6 +112,20 @@ def features(kind: str, span: str, before: str, after: str, v: list[int]) -> lis
     return sorted({zlib.crc32(s.encode("utf-8", "surrogatepass")) & ((1 << FEATURE_BITS) - 1) for s in said})
 
 
+#: What every number begins with: only there is the long pattern tried.
+_START = re.compile(r"[+(\d]")
+
+
+def _numbers(text: str):
+    """All matches of the number pattern, from left to right."""
+    at = _START.search(text)
+    while at:
+        m = _NUMBER.match(text, at.start())
+        if m:
+            yield m
+        at = _START.search(text, m.end() if m else at.start() + 1)
+
+
 def _mails(text: str):
     """(start, end) around each @, not overlapping; found from the @, so in linear time."""
     at, done = text.find("@"), 0
@@ -130,7 +144,7 @@ def candidates(text: str | None):
     mails = list(_mails(text)) if "@" in text else []
     spans = [(s, e, "email") for s, e in mails]
     k = 0
-    for m in _NUMBER.finditer(text):  # both in order: each mail is passed once
+    for m in _numbers(text):  # both in order: each mail is passed once
         while k < len(mails) and mails[k][1] <= m.start():
             k += 1
         if k == len(mails) or m.end() <= mails[k][0]:

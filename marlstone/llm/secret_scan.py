@@ -25,9 +25,20 @@ CONTEXT = 40
 _KEY = r"(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)"
 #: From a key word on; the letters before it belong to the key too, but decide nothing.  What is
 #: left of a key to its sign is bounded, so that a run without spaces costs linear time.
-_KEYED = re.compile(_KEY + r"\w{0,64}[\"']?\s{0,2}(?:=|:|:=|=>)\s{0,2}[\"']?(?P<value>[^\s\"'<>(){}\[\],;]{6,})", re.I)
+_KEYED = re.compile(_KEY + r"\w{0,64}[\"']?\s{0,2}(?::=|=>|=|:)\s{0,2}[\"']?(?P<value>[^\s\"'<>(){}\[\],;]{6,})", re.I)
 _LONG = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*\d)(?=[\d+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_-])")
 _KNOWN = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA|ghp_|gho_|sk_live_|xox[bp]-|AIza|glpat-)[A-Za-z0-9_-]{10,}")
+_KEY_PARTS = ("passw", "pwd", "secret", "token", "api", "access", "private", "credential", "auth")
+
+
+def _may_have_key(text: str) -> bool:
+    """False only where no key word can match; two letters fold to ASCII in patterns but not in lower case."""
+    if not ("=" in text or ":" in text):
+        return False
+    low = text.lower()
+    return any(k in low for k in _KEY_PARTS) or "\u017f" in text or "\u212a" in text
+
+
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{16}")
 _PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "sk_live_", "xoxb-", "xoxp-", "AIza", "glpat-")
 _DICTIONARY = sorted(
@@ -175,7 +186,7 @@ def findings(text: str | None):
         return []
     # each rule is passed over where the text lacks what every match of that rule has
     found = [(m.start(), m.end(), "known") for m in _KNOWN.finditer(text)] if any(p in text for p in _PREFIXES) else []
-    found += [(m.start("value"), m.end("value"), "keyed") for m in _KEYED.finditer(text)] if "=" in text or ":" in text else []
+    found += [(m.start("value"), m.end("value"), "keyed") for m in _KEYED.finditer(text)] if _may_have_key(text) else []
     found += [(m.start(), m.end(), "long") for m in _LONG.finditer(text)] if _RUN.search(text) else []
     starts: list[int] = []
     out: list[tuple[int, int, str]] = []

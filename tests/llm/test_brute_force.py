@@ -398,6 +398,13 @@ def test_pii_adjacent_and_unformatted():
         for y in (ip, card):
             assert spans(f"a {x[0]} {y[0]} b") == [x, y]
             assert spans(f"a {y[0]} {x[0]} b") == [y, x]
+    from marlstone.llm.pii import _NUMBER, _numbers
+
+    rng = np.random.default_rng(8)
+    bits = ["+1", "(555)", " ", "-", ".", "4081", "12", "0", "x", "190.137.223.204", "4111 1111 1111 1111", "078-05-1120", ") ", "٣"]
+    for _ in range(2000):
+        t = "".join(bits[i] for i in rng.integers(0, len(bits), 9))
+        assert [m.span() for m in _numbers(t)] == [m.span() for m in _NUMBER.finditer(t)], t
     for n in ("12", "1234567"):
         assert ip in spans(f"a {n} 190.137.223.204 b") and card in spans(f"a {n} 4111 1111 1111 1111 b")
     assert spans("+1 (555) 555-4081 190 items")[0] == ("+1 (555) 555-4081", "phone")
@@ -448,7 +455,7 @@ def _naive_findings(text):
 
 def test_findings_against_brute_force():
     rng = np.random.default_rng(2)
-    bits = ["AKIA1234567890", "AKIA1234567890ABCD", "x", " ", "  ", "=", ":", "token", "my_password", "= ", '"', "ghp_abcdefghij0", "0f" * 8, "a1" * 9, "_", ".", "==", "secret_key", "hello world", "auth: ", "'", "\n", "zzzzzzzzzzzzzzzzzzzz", "9" * 20]
+    bits = ["AKIA1234567890", "AKIA1234567890ABCD", "x", " ", "  ", "=", ":", "token", "my_password", "= ", '"', "ghp_abcdefghij0", "0f" * 8, "a1" * 9, "_", ".", "==", "secret_key", "hello world", "auth: ", "'", "\n", "zzzzzzzzzzzzzzzzzzzz", "9" * 20, "PAſſWORD", "to\u212aen="]
     for _ in range(1500):
         text = "".join(bits[i] for i in rng.integers(0, len(bits), rng.integers(1, 14)))
         assert findings(text) == _naive_findings(text), text
