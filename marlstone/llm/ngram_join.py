@@ -20,6 +20,7 @@ them comes back as one row per set, with its number of links and its root among
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,10 @@ from . import common as C
 NGRAM, THRESHOLD = 3, 0.5
 SKETCH_BITS, CHUNK_BITS = 21, 16
 #: Records of one shard, to bound a task's memory.
-SHARD_RECORDS = 1_500_000
+SHARD_RECORDS = 750_000
+#: Entries that a task packs at once, whatever its batches hold.
+ENTRY_STEP = 500_000
+#: Bytes of sets that meet in one group.
 VERIFY_BYTES = 24 << 20
 #: Documents of one list that are held against each other in one group.
 HOT_LIST = 4096
@@ -132,42 +136,48 @@ def _entries(sets: list[np.ndarray], ids: np.ndarray, t: float, bound: int, rank
 
 
 def _signatures(n: int, t: float, bound: int, shards: int, order_b):
-    """Blocks of entries (key, doc, size and side, last) per kind and shard, one for each batch."""
+    """Blocks of entries (key, doc, size and side, last) per kind and shard, of about ENTRY_STEP."""
+
+    def packed(kind, found):
+        key, doc, size, last = (np.concatenate(c) for c in zip(*found))
+        shard = ((key >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
+        by = np.argsort(shard, kind="stable")
+        cuts = np.searchsorted(shard[by], np.arange(shards + 1))
+        rows = [(k, by[cuts[k] : cuts[k + 1]]) for k in range(shards) if cuts[k + 1] > cuts[k]]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([kind * shards + k for k, _ in rows], pa.int32()),
+                pa.array([(key[x] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for _, x in rows], pa.binary()),
+                pa.array([C.squeeze(doc[x]) for _, x in rows], pa.binary()),
+                pa.array([C.squeeze(size[x]) for _, x in rows], pa.binary()),
+                pa.array([C.squeeze(last[x]) for _, x in rows], pa.binary()),
+            ],
+            names=["shard", "keys", "docs", "sizes", "lasts"],
+        )
 
     def run(batches):
         rank, lists = order_b.value
-        for b in batches:
-            out = {0: [], 1: []}
-            for x in C.slices(b, 1):
-                sets = C.ngram_sets(C.each(x.column(1)), n)
-                some = [i for i, g in enumerate(sets) if len(g)]
-                if some:
-                    for kind, *entries in _entries([sets[i] for i in some], x.column(0).to_numpy()[some], t, bound, rank, lists):
-                        out[kind].append(entries)
-            for kind, found in out.items():
-                if not found:
-                    continue
-                key, doc, size, last = (np.concatenate(c) for c in zip(*found))
-                shard = ((key >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
-                by = np.argsort(shard, kind="stable")
-                cuts = np.searchsorted(shard[by], np.arange(shards + 1))
-                rows = [(k, by[cuts[k] : cuts[k + 1]]) for k in range(shards) if cuts[k + 1] > cuts[k]]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([kind * shards + k for k, _ in rows], pa.int32()),
-                        pa.array([(key[x] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for _, x in rows], pa.binary()),
-                        pa.array([C.squeeze(doc[x]) for _, x in rows], pa.binary()),
-                        pa.array([C.squeeze(size[x]) for _, x in rows], pa.binary()),
-                        pa.array([C.squeeze(last[x]) for _, x in rows], pa.binary()),
-                    ],
-                    names=["shard", "keys", "docs", "sizes", "lasts"],
-                )
+        out, held = {0: [], 1: []}, {0: 0, 1: 0}
+        for x in (x for b in batches for x in C.slices(b, 1)):
+            sets = C.ngram_sets(C.each(x.column(1)), n)
+            some = [i for i, g in enumerate(sets) if len(g)]
+            if some:
+                for kind, *entries in _entries([sets[i] for i in some], x.column(0).to_numpy()[some], t, bound, rank, lists):
+                    out[kind].append(entries)
+                    held[kind] += len(entries[0])
+                    if held[kind] > ENTRY_STEP:
+                        yield packed(kind, out[kind])
+                        out[kind], held[kind] = [], 0
+        for kind, found in out.items():
+            if found:
+                yield packed(kind, found)
 
     return run
 
 
+#: Pairs that a task holds as numbers at once.
 PAIR_STEP = 500_000
-_PACKED = "blk int, a binary, b binary, need binary, k binary"
+_PACKED = "blk int, a binary, b binary, need binary, k binary, n int"
 
 
 def _merge(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -179,15 +189,31 @@ def _pairs(t: float, bound: int, shards: int):
     """All pairs of one shard that meet on a key, with how many keys they meet on.
 
     Packed by a block of the smaller doc_id and sorted, so that the pairs of large groups, which
-    repeat the same partners, compress well when they are moved.
+    repeat the same partners, compress well when they are moved.  A shard with more pairs than
+    PAIR_STEP gives them in portions, in which a pair may come again: its meetings add up.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kind = int(pdf["shard"].iloc[0]) // shards
-        none = pd.DataFrame({"blk": [], "a": [], "b": [], "need": [], "k": []})
-        key = np.concatenate([np.frombuffer(b, np.uint32) for b in pdf["keys"]])
-        doc, size, last = (np.concatenate([C.unsqueeze(b, d) for b in pdf[c]]) for c, d in (("docs", np.int64), ("sizes", np.int32), ("lasts", np.uint32)))
-        del pdf
+    def packed(kind, ent, ent_o, c, n):
+        x, y = c // len(ent), c % len(ent)  # ent is sorted by doc_id first
+        # k common grams within the prefixes: at most rest more, rest following the prefix that
+        # ends first in the global order (of the longer one where that can't be told)
+        rest = np.where(ent.w[x] < ent.w[y], ent_o[x], np.where(ent.w[x] > ent.w[y], ent_o[y], np.maximum(ent_o[x], ent_o[y]))) - 1
+        short = needed(ent.s[x].astype(np.int64) + ent.s[y], t / (1 + t)) - rest
+        need = np.maximum(short, 1).astype(np.int32) if kind else np.zeros(len(c), np.int32)
+        blk = (C.mix(ent.d[x].view(np.uint64)) % np.uint64(2 * shards)).astype(np.int32)
+        by = np.argsort(blk, kind="stable")
+        cuts = np.searchsorted(blk[by], np.arange(2 * shards + 1))
+        rows = [(j, by[cuts[j] : cuts[j + 1]]) for j in range(2 * shards) if cuts[j + 1] > cuts[j]]  # sorted by pair
+        return pd.DataFrame([(j, C.squeeze(ent.d[x[i]]), C.squeeze(ent.d[y[i]]), C.squeeze(need[i]), C.squeeze(n[i].astype(np.int32)), len(i)) for j, i in rows], columns=["blk", "a", "b", "need", "k", "n"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kind, parts = 0, []
+        for pdf in batches:
+            kind = int(pdf["shard"].iloc[0]) // shards
+            parts.append([np.concatenate(c) for c in ([np.frombuffer(b, np.uint32) for b in pdf["keys"]], *([C.unsqueeze(b, d) for b in pdf[c]] for c, d in (("docs", np.int64), ("sizes", np.int32), ("lasts", np.uint32))))])
+            del pdf
+        key, doc, size, last = (np.concatenate(c) for c in zip(*parts))
+        del parts
         by = np.argsort(key, kind="stable")
         k = key[by]
         alone = np.ones(len(k), bool)  # entries that share no key are dropped at once
@@ -198,7 +224,7 @@ def _pairs(t: float, bound: int, shards: int):
         by = by[np.lexsort((doc[by], size[by], key[by]))]
         key, doc, size, last = key[by], doc[by], size[by], last[by]
         if not len(key):
-            return none
+            return
         side, size = size & 3, size >> 2
         rec = np.rec.fromarrays([doc, size, last], names="d,s,w")
         ent, at = np.unique(rec, return_inverse=True)
@@ -228,38 +254,43 @@ def _pairs(t: float, bound: int, shards: int):
             codes.append(c)
             counts.append(n)
             held += len(c)
-            if held > 2 * PAIR_STEP and len(codes) > 1:
+            if held > 2 * PAIR_STEP:
                 c, n = _merge(codes, counts)
-                codes, counts, held = [c], [n], 0
-        if not codes:
-            return none
-        c, n = _merge(codes, counts)
-        x, y = c // len(ent), c % len(ent)  # ent is sorted by doc_id first
-        # k common grams within the prefixes: at most rest more, rest following the prefix that
-        # ends first in the global order (of the longer one where that can't be told)
-        rest = np.where(ent.w[x] < ent.w[y], ent_o[x], np.where(ent.w[x] > ent.w[y], ent_o[y], np.maximum(ent_o[x], ent_o[y]))) - 1
-        short = needed(ent.s[x].astype(np.int64) + ent.s[y], t / (1 + t)) - rest
-        need = np.maximum(short, 1).astype(np.int32) if kind else np.zeros(len(c), np.int32)
-        blk = (C.mix(ent.d[x].view(np.uint64)) % np.uint64(4 * shards)).astype(np.int32)
-        by = np.argsort(blk, kind="stable")
-        cuts = np.searchsorted(blk[by], np.arange(4 * shards + 1))
-        rows = [(j, by[cuts[j] : cuts[j + 1]]) for j in range(4 * shards) if cuts[j + 1] > cuts[j]]  # sorted by pair
-        return pd.DataFrame([(j, C.squeeze(ent.d[x[i]]), C.squeeze(ent.d[y[i]]), C.squeeze(need[i]), C.squeeze(n[i].astype(np.int32))) for j, i in rows], columns=["blk", "a", "b", "need", "k"])
+                codes, counts, held = [c], [n], len(c)
+                if held > PAIR_STEP:
+                    codes, counts, held = [], [], 0
+                    yield packed(kind, ent, ent_o, c, n)
+        if held:
+            yield packed(kind, ent, ent_o, *_merge(codes, counts))
 
     return run
 
 
-def _candidates(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs whose meetings, over all shards, leave a similarity of the threshold possible."""
-    rows = np.rec.fromarrays([np.concatenate([C.unsqueeze(b, d) for b in pdf[c]]) for c, d in (("a", np.int64), ("b", np.int64), ("need", np.int32), ("k", np.int32))], names="a,b,need,k")
-    by = np.lexsort((rows.need, rows.b, rows.a))
-    rows = rows[by]
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows.a[1:] != rows.a[:-1]) | (rows.b[1:] != rows.b[:-1]) | (rows.need[1:] != rows.need[:-1])
-    first = np.flatnonzero(new)
-    ok = first[np.add.reduceat(rows.k.astype(np.int64), first) >= rows.need[first]]
-    out = pd.DataFrame({"a": rows.a[ok], "b": rows.b[ok]})
-    return out.drop_duplicates()
+def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs whose meetings, over all shards, leave a similarity of the threshold possible.
+
+    The group stays packed; of its pairs about two PAIR_STEP are taken out at once, by a hash.
+    """
+    packed = [r for b in batches for r in zip(b["a"], b["b"], b["need"], b["k"], b["n"])]
+    parts = max(1, math.ceil(sum(r[-1] for r in packed) / (2 * PAIR_STEP)))
+    for part in range(parts):
+        found = []
+        for *blobs, _ in packed:
+            r = [C.unsqueeze(b, d) for b, d in zip(blobs, (np.int64, np.int64, np.int32, np.int32))]
+            if parts > 1:
+                own = C.mix(r[0].view(np.uint64) ^ C.mix(r[1].view(np.uint64))) % np.uint64(parts) == part
+                r = [x[own] for x in r]
+            found.append(r)
+        a, b, need, k = (np.concatenate(c) for c in zip(*found))
+        del found
+        by = np.lexsort((need, b, a))
+        a, b, need, k = a[by], b[by], need[by], k[by]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (need[1:] != need[:-1])
+        first = np.flatnonzero(new)
+        if len(first):
+            ok = first[np.add.reduceat(k.astype(np.int64), first) >= need[first]]
+            yield pd.DataFrame({"a": a[ok], "b": b[ok]}).drop_duplicates()
 
 
 def _fold(bits: np.ndarray, width: int) -> np.ndarray:
@@ -452,8 +483,9 @@ def _by_blocks(pairs: DataFrame, side, row_bytes: int, check, schema: str) -> Da
     group's memory is bounded and large groups of similar documents don't multiply rows.
     """
     ids = C.table(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "ngram-met")
-    n = ids.count()
-    blocks = max(2, math.ceil(math.sqrt(2 * n * row_bytes / VERIFY_BYTES)))
+    n, n_pairs = ids.count(), pairs.count()
+    # a set is in as many groups as there are blocks, or as it has pairs, whichever is less
+    blocks = max(2, math.ceil(min(2 * n * row_bytes / VERIFY_BYTES, math.sqrt(4 * n_pairs * row_bytes / VERIFY_BYTES))), math.ceil(math.sqrt(2 * n_pairs / PAIR_STEP)))
     blk = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     pair = pairs.withColumn("ga", F.least(blk("a"), blk("b"))).withColumn("gb", F.greatest(blk("a"), blk("b")))
     where = C.table(pair.select(F.col("ga").alias("pa"), F.col("gb").alias("pb"), F.explode(F.array("a", "b")).alias("sid")).distinct(), "ngram-where")

@@ -83,6 +83,65 @@ def test_ngram_join_cuts_hot_lists(spark, monkeypatch):
     assert {tuple(r) for r in ngram_jaccard_join(make_docs(spark, rows)).collect()} == _classes(rows, 3, 0.5)
 
 
+def test_ngram_join_over_many_blocks(spark, monkeypatch):
+    from marlstone.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "VERIFY_BYTES", 2000)
+    rows = _varied()
+    assert {tuple(r) for r in ngram_jaccard_join(make_docs(spark, rows)).collect()} == _classes(rows, 3, 0.5)
+
+
+def test_pairs_of_a_shard_come_in_portions(monkeypatch):
+    """A task holds few of a shard's pairs at once; none is lost, and all their meetings count."""
+    import tracemalloc
+    from itertools import combinations
+
+    import pandas as pd
+
+    from marlstone.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "PAIR_STEP", 10_000)
+    rng = np.random.default_rng(1)
+    lists = [np.sort(rng.choice(3000, 60, replace=False)) for _ in range(200)]
+    key, doc = np.repeat(np.arange(200, dtype=np.uint32), 60), np.concatenate(lists)
+    size, last = np.full(len(doc), 100 << 2, np.int32), np.zeros(len(doc), np.uint32)
+    shard = pd.DataFrame({"shard": [1], "keys": [key.tobytes()], "docs": [C.squeeze(doc)], "sizes": [C.squeeze(size)], "lasts": [C.squeeze(last)]})
+    tracemalloc.start()
+    portions = list(ngram_join._pairs(0.5, 0, 1)(iter([shard])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    met = Counter(p for x in lists for p in combinations(x.tolist(), 2))
+    got, least = Counter(), set()
+    for out in portions:
+        for a, b, need, k in zip(out["a"], out["b"], out["need"], out["k"]):
+            pairs = list(zip(C.unsqueeze(a, np.int64).tolist(), C.unsqueeze(b, np.int64).tolist()))
+            got.update(dict(zip(pairs, C.unsqueeze(k, np.int32).tolist())))
+            least.update(C.unsqueeze(need, np.int32).tolist())
+    assert got == met and len(portions) > 5 and max(out["n"].sum() for out in portions) <= 30_000
+    assert peak < 15e6
+    enough = [p for p, k in met.items() if k >= max(least)]
+    found = list(ngram_join._candidates(iter(portions)))
+    assert len(least) == 1 and len(found) > 5
+    assert sorted(p for f in found for p in zip(f["a"].tolist(), f["b"].tolist())) == sorted(enough)
+
+
+def test_entries_come_in_portions(monkeypatch):
+    import types
+
+    import pyarrow as pa
+
+    from marlstone.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "ENTRY_STEP", 500)
+    monkeypatch.setattr(C, "SLICE", 1000)
+    cells = 1 << ngram_join.SKETCH_BITS
+    order = types.SimpleNamespace(value=(np.zeros(cells, np.uint8), np.ones(cells, np.uint16)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array([words(50, i) for i in range(60)])], names=["sid", "text"])
+    sizes = [sum(len(k) // 4 for k in out.column(1).to_pylist()) for out in ngram_join._signatures(3, 0.5, 0, 4, order)(iter([batch]))]
+    assert len(sizes) > 2 and max(sizes) < 1000
+    assert sum(sizes) == sum(len(g) - int(ngram_join.needed(len(g), 0.5)) + 1 for g in C.ngram_sets(batch.column(1).to_pylist(), 3))
+
+
 def test_ngram_join_of_repeated_ids(spark):
     a, b = words(30, 1), words(30, 2)
     rows = [(1, a), (5, a), (5, b), (5, b), (7, b + " edit"), (9, a + " edit"), (2, None), (3, "..."), (5, words(30, 3)), (20, words(30, 3) + " x"), (21, words(30, 3))]
