@@ -15,6 +15,11 @@ only pairs that are almost surely similar fetch the sets themselves and are veri
 A gram that more than HOT_LIST documents may hold has its list cut into blocks of documents, and
 every pair of blocks is a group of its own.  Verified pairs are never returned: each block of
 them comes back as one row per set, with its number of links and its root among the block's.
+
+Pairs within a large group of copies would come again from every shard, as often as the square of
+the group.  Sets that agree with many others on a band of least hashes are therefore put into a
+group with the smallest of them that their bitmaps allow; all pairs within a group are counted in
+one place, and shards leave them out.  Which sets are in a group changes the cost, never the result.
 """
 
 from __future__ import annotations
@@ -41,6 +46,10 @@ VERIFY_BYTES = 24 << 20
 #: Documents of one list that are held against each other in one group.
 HOT_LIST = 4096
 SUBSET = 2
+#: Keys of a set, each of two least hashes, and sets on one key from which they make a group.
+BANDS, DENSE = 6, 32
+#: Bytes of the sets of a group that are held against each other at once, on either side.
+DENSE_BYTES = 6 << 20
 
 
 def needed(size, t: float):
@@ -54,8 +63,20 @@ def parity(g: np.ndarray) -> bytes:
     return np.packbits(np.bincount((g & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1).tobytes()
 
 
+_ODD = C.mix(np.arange(1, 2 * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def bands(every: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """BANDS keys of each of the sets that begin at ``at``; two sets have one in common with the
+    probability of their Jaccard squared."""
+    with np.errstate(over="ignore"):
+        least = [np.minimum.reduceat(every * odd, at) for odd in _ODD]
+        keys = [C.mix(a ^ C.mix(b)) >> np.uint64(32) for a, b in zip(least[::2], least[1::2])]
+    return np.stack(keys, 1).astype(np.uint32).view(np.int32)
+
+
 def _profile(n: int):
-    names = ["doc_id", "text_key", "size", "hi", "lo", "bits", "chunk", "blob"]
+    names = ["doc_id", "text_key", "size", "hi", "lo", "bits", "bands", "chunk", "blob"]
 
     def run(batches):
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -71,11 +92,12 @@ def _profile(n: int):
                     hi[some] = np.bitwise_xor.reduceat(C.mix(every), at) ^ size[some].astype(np.uint64)
                     lo[some] = np.add.reduceat(C.mix(every ^ np.uint64(0x5851F42D4C957F2D)), at)
             bits, k = [parity(g) if len(g) else b"" for g in sets], len(sets)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(size), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array(bits, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
+            own = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(size > 0)]) * BANDS, pa.int32()), pa.array(bands(every, at).reshape(-1) if len(some) else [], pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(size), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array(bits, pa.binary()), own, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
         if sketch.any():
             parts = np.minimum(sketch, 255).astype(np.uint8).reshape(-1, 1 << CHUNK_BITS)
             k = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int32())), pa.array(range(k), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
     return run
 
@@ -136,10 +158,13 @@ def _entries(sets: list[np.ndarray], ids: np.ndarray, t: float, bound: int, rank
 
 
 def _signatures(n: int, t: float, bound: int, shards: int, order_b):
-    """Blocks of entries (key, doc, size and side, last) per kind and shard, of about ENTRY_STEP."""
+    """Blocks of entries (key, doc, size and side, last) per kind and shard, of about ENTRY_STEP.
+
+    A third column, of the groups of the sets, comes back as each entry's doc less its group.
+    """
 
     def packed(kind, found):
-        key, doc, size, last = (np.concatenate(c) for c in zip(*found))
+        key, doc, size, last, *own = (np.concatenate(c) for c in zip(*found))
         shard = ((key >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
         by = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[by], np.arange(shards + 1))
@@ -151,8 +176,9 @@ def _signatures(n: int, t: float, bound: int, shards: int, order_b):
                 pa.array([C.squeeze(doc[x]) for _, x in rows], pa.binary()),
                 pa.array([C.squeeze(size[x]) for _, x in rows], pa.binary()),
                 pa.array([C.squeeze(last[x]) for _, x in rows], pa.binary()),
+                *[pa.array([C.squeeze(doc[x] - o[x]) for _, x in rows], pa.binary()) for o in own],
             ],
-            names=["shard", "keys", "docs", "sizes", "lasts"],
+            names=["shard", "keys", "docs", "sizes", "lasts", "owns"][: 5 + len(own)],
         )
 
     def run(batches):
@@ -162,8 +188,10 @@ def _signatures(n: int, t: float, bound: int, shards: int, order_b):
             sets = C.ngram_sets(C.each(x.column(1)), n)
             some = [i for i, g in enumerate(sets) if len(g)]
             if some:
-                for kind, *entries in _entries([sets[i] for i in some], x.column(0).to_numpy()[some], t, bound, rank, lists):
-                    out[kind].append(entries)
+                ids, *own = (c.to_numpy()[some] for c in [x.column(0), *x.columns[2:]])
+                by = np.argsort(ids, kind="stable")
+                for kind, *entries in _entries([sets[i] for i in some], ids, t, bound, rank, lists):
+                    out[kind].append(entries + [o[by][np.searchsorted(ids[by], entries[1])] for o in own])
                     held[kind] += len(entries[0])
                     if held[kind] > ENTRY_STEP:
                         yield packed(kind, out[kind])
@@ -186,13 +214,15 @@ def _merge(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def _pairs(t: float, bound: int, shards: int):
-    """All pairs of one shard that meet on a key, with how many keys they meet on.
+    """All pairs of one shard that meet on a key, but those of one group, with how many keys they meet on.
 
     Packed by a block of the smaller doc_id and sorted, so that the pairs of large groups, which
     repeat the same partners, compress well when they are moved.  A shard with more pairs than
     PAIR_STEP gives them in portions, in which a pair may come again: its meetings add up.
     """
 
+    blks = max(4, shards // 2)
+
     def packed(kind, ent, ent_o, c, n):
         x, y = c // len(ent), c % len(ent)  # ent is sorted by doc_id first
         # k common grams within the prefixes: at most rest more, rest following the prefix that
@@ -200,20 +230,21 @@ def _pairs(t: float, bound: int, shards: int):
         rest = np.where(ent.w[x] < ent.w[y], ent_o[x], np.where(ent.w[x] > ent.w[y], ent_o[y], np.maximum(ent_o[x], ent_o[y]))) - 1
         short = needed(ent.s[x].astype(np.int64) + ent.s[y], t / (1 + t)) - rest
         need = np.maximum(short, 1).astype(np.int32) if kind else np.zeros(len(c), np.int32)
-        blk = (C.mix(ent.d[x].view(np.uint64)) % np.uint64(2 * shards)).astype(np.int32)
+        blk = (C.mix(ent.d[x].view(np.uint64)) % np.uint64(blks)).astype(np.int32)
         by = np.argsort(blk, kind="stable")
-        cuts = np.searchsorted(blk[by], np.arange(2 * shards + 1))
-        rows = [(j, by[cuts[j] : cuts[j + 1]]) for j in range(2 * shards) if cuts[j + 1] > cuts[j]]  # sorted by pair
+        cuts = np.searchsorted(blk[by], np.arange(blks + 1))
+        rows = [(j, by[cuts[j] : cuts[j + 1]]) for j in range(blks) if cuts[j + 1] > cuts[j]]  # sorted by pair
         return pd.DataFrame([(j, C.squeeze(ent.d[x[i]]), C.squeeze(ent.d[y[i]]), C.squeeze(need[i]), C.squeeze(n[i].astype(np.int32)), len(i)) for j, i in rows], columns=["blk", "a", "b", "need", "k", "n"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kind, parts = 0, []
         for pdf in batches:
             kind = int(pdf["shard"].iloc[0]) // shards
-            parts.append([np.concatenate(c) for c in ([np.frombuffer(b, np.uint32) for b in pdf["keys"]], *([C.unsqueeze(b, d) for b in pdf[c]] for c, d in (("docs", np.int64), ("sizes", np.int32), ("lasts", np.uint32))))])
+            parts.append([np.concatenate(c) for c in ([np.frombuffer(b, np.uint32) for b in pdf["keys"]], *([C.unsqueeze(b, d) for b in pdf[c]] for c, d in (("docs", np.int64), ("sizes", np.int32), ("lasts", np.uint32), ("owns", np.int64)) if c in pdf))])
             del pdf
-        key, doc, size, last = (np.concatenate(c) for c in zip(*parts))
+        key, doc, size, last, *own = (np.concatenate(c) for c in zip(*parts))
         del parts
+        own = doc - own[0] if own else doc
         by = np.argsort(key, kind="stable")
         k = key[by]
         alone = np.ones(len(k), bool)  # entries that share no key are dropped at once
@@ -221,21 +252,35 @@ def _pairs(t: float, bound: int, shards: int):
         alone[:-1] &= k[1:] != k[:-1]
         by = by[~alone]
         del k, alone
-        by = by[np.lexsort((doc[by], size[by], key[by]))]
-        key, doc, size, last = key[by], doc[by], size[by], last[by]
+        # by size, except where sets of one group share a key: by group, so that they are passed over
+        shared = np.zeros(len(by), bool)
+        if (own[by] != doc[by]).any():
+            by = by[np.lexsort((own[by], key[by]))]
+            new = key[by[1:]] != key[by[:-1]]
+            of = np.cumsum(np.concatenate([[0], new]))
+            twice = np.zeros(of[-1] + 1, bool)
+            twice[of[1:][~new & (own[by[1:]] == own[by[:-1]])]] = True
+            shared = twice[of]
+        at = np.lexsort((doc[by], np.where(shared, own[by], size[by]), key[by]))
+        by, shared = by[at], shared[at]
+        key, doc, size, last, own = key[by], doc[by], size[by], last[by], own[by]
         if not len(key):
             return
         side, size = size & 3, size >> 2
+        first = np.arange(1, len(key) + 1)
+        ends = np.flatnonzero(np.append((key[1:] != key[:-1]) | (own[1:] != own[:-1]), True)) + 1
+        first = np.where(shared, np.repeat(ends, np.diff(ends, prepend=0)), first)
         rec = np.rec.fromarrays([doc, size, last], names="d,s,w")
         ent, at = np.unique(rec, return_inverse=True)
         del rec, last
         ent_o = needed(ent.s, t)
         scans = (size > bound) | (needed(size, t) < SUBSET)
-        # entry i meets the following entries of its key whose size is at most size / t
-        comp = key.astype(np.uint64) << np.uint64(32) | size.astype(np.uint64)
-        top = np.minimum(np.floor(size / t + 1e-9), 2**31).astype(np.uint64)
-        reach = np.maximum(np.searchsorted(comp, key.astype(np.uint64) << np.uint64(32) | top, side="right") - np.arange(len(key)) - 1, 0)
-        del comp, top, key
+        # entry i meets the following entries of its key whose size is at most size / t, or all of
+        # those of other groups
+        comp = key.astype(np.uint64) << np.uint64(32) | np.where(shared, 0, size).astype(np.uint64)
+        most = np.minimum(np.floor(size / t + 1e-9), 2**31).astype(np.int64)
+        reach = np.maximum(np.searchsorted(comp, key.astype(np.uint64) << np.uint64(32) | most.astype(np.uint64), side="right") - first, 0)
+        del comp, key, shared
         starts = np.flatnonzero(reach)
         total = np.cumsum(reach[starts])
         codes, counts, held, done = [], [], 0, 0
@@ -244,8 +289,8 @@ def _pairs(t: float, bound: int, shards: int):
             s, done = starts[done:stop], stop
             r = reach[s]
             a = np.repeat(s, r)
-            b = a + 1 + (np.arange(len(a)) - np.repeat(np.cumsum(r) - r, r))
-            keep = (doc[a] != doc[b]) & ((side[a] == ANY) | (side[a] != side[b]))
+            b = first[a] + (np.arange(len(a)) - np.repeat(np.cumsum(r) - r, r))
+            keep = (doc[a] != doc[b]) & (own[a] != own[b]) & ((side[a] == ANY) | (side[a] != side[b])) & (size[a] <= most[b]) & (size[b] <= most[a])
             if kind == 1:  # two enumerating sets meet on their subsets
                 keep &= scans[a] | scans[b]
             a, b = a[keep], b[keep]
@@ -328,6 +373,58 @@ def _compare_bitmaps(t: float):
     return run
 
 
+def _near(t: float):
+    """The rows (sid, doc_id, text_key, size, bits, grp, of, with) whose bitmap allows a similarity of
+    ``t`` with that of the group's first set, as (sid, doc_id, text_key, size, grp)."""
+
+    def run(batches):
+        for b in batches:
+            ok = []
+            for size, x, of, y in zip(*(b.column(c).to_pylist() for c in ("size", "bits", "of", "with"))):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                w = 8 * min(len(x), len(y))
+                ok.append(int(np.bitwise_count(_fold(x, w) ^ _fold(y, w)).sum(dtype=np.int64)) <= size + of - 2 * int(needed(size + of, t / (1 + t))))
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(ok, pa.bool_())) for c in ("sid", "doc_id", "text_key", "size", "grp")], names=["sid", "doc_id", "text_key", "size", "grp"])
+
+    return run
+
+
+def _all_pairs(t: float):
+    """The pairs of sets within a block of a group, or between two, as :func:`_verify` gives them."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("sid")
+        far = (pdf["x"] != pdf["pi"]).to_numpy()
+        one = int(pdf["pi"].iloc[0]) == int(pdf["pj"].iloc[0])
+        by = np.lexsort((pdf["sid"].to_numpy(), far))
+        ids, sets = pdf["sid"].to_numpy()[by], [_unpack(b) for b in pdf["grams"].to_numpy()[by]]
+        near = len(ids) if one else int((~far).sum())
+        size = np.array([len(g) for g in sets], np.int64)
+        start = np.cumsum(size) - size
+        every, at = np.unique(np.concatenate(sets), return_inverse=True)
+        del sets, pdf
+        at, mark = at.astype(np.int32), np.zeros(len(every), np.uint8)
+        root, links = ids.copy(), np.zeros(len(ids), np.int64)
+        for a in range(near):
+            lo = a + 1 if one else near
+            if lo == len(ids):
+                break
+            own = at[start[a] : start[a] + size[a]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[at[start[lo] :]], start[lo:] - start[lo], dtype=np.int64)
+            mark[own] = 0
+            met = lo + np.flatnonzero(both >= t * (size[a] + size[lo:] - both) - 1e-9)
+            links[a] += len(met)
+            links[met] += 1
+            found = np.unique(np.append(root[met], root[a]))
+            if len(found) > 1:
+                root[np.isin(root, found)] = found[0]
+        ok = links > 0
+        return pd.DataFrame({"sid": ids[ok], "root": root[ok], "links": links[ok]})
+
+    return run
+
+
 def _sets(n: int):
     def run(batches):
         for b in (x for y in batches for x in C.slices(y, 1)):
@@ -425,7 +522,7 @@ def similar_sets(docs: DataFrame, n: int = NGRAM, t: float = THRESHOLD) -> tuple
     reaches over them; every pair of similar sets is in one block."""
     spark = docs.sparkSession
     src = C.require(docs, "doc_id", "text").where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key"))
-    prof = C.table(src.mapInArrow(_profile(n), "doc_id long, text_key long, size int, hi long, lo long, bits binary, chunk int, blob binary"), "ngram-profile")
+    prof = C.table(src.mapInArrow(_profile(n), "doc_id long, text_key long, size int, hi long, lo long, bits binary, bands array<int>, chunk int, blob binary"), "ngram-profile")
     sketch = np.zeros((1 << SKETCH_BITS - CHUNK_BITS, 1 << CHUNK_BITS), np.uint32)
     for r in prof.where("chunk IS NOT NULL").select("chunk", "blob").groupBy("chunk").applyInPandas(_add_chunks, "chunk int, blob binary").collect():
         sketch[r.chunk] = np.frombuffer(r.blob, np.uint32)
@@ -462,8 +559,13 @@ def similar_sets(docs: DataFrame, n: int = NGRAM, t: float = THRESHOLD) -> tuple
     entries = sum(c * (s - int(needed(s, t)) + 1) * cut + (c * (s - int(needed(s, t)) + 2) ** 2 // 2 if s <= bound else 0) for s, c in hist)
     shards = max(4, math.ceil(entries / SHARD_RECORDS))
     order_b = spark.sparkContext.broadcast((rank, lists))
-    texts = lone(src.where("text IS NOT NULL")).select("sid", "text")
-    blocks = texts.mapInArrow(_signatures(n, t, bound, shards, order_b), "shard int, keys binary, docs binary, sizes binary, lasts binary")
+    members, n_members = _groups(lone(sets).select("sid", "doc_id", "text_key", "size", "bits", "bands"), t)
+    # what becomes of a text: a copy goes, a member of a group brings it along
+    role = other.select("doc_id", "text_key", F.lit(True).alias("gone"), F.lit(None).cast("long").alias("grp")).unionByName(members.select("doc_id", "text_key", F.lit(False).alias("gone"), "grp"))
+    texts = src.where("text IS NOT NULL").join(C.small(role, n_other + n_members, 33), ["doc_id", "text_key"], "left").where("gone IS NULL OR NOT gone")
+    texts = named(texts, "doc_id").select("sid", "text", "grp")
+    grouped = texts.select("sid", "text", F.coalesce("grp", "sid").alias("own"))
+    blocks = grouped.mapInArrow(_signatures(n, t, bound, shards, order_b), "shard int, keys binary, docs binary, sizes binary, lasts binary, owns binary")
     met = blocks.groupBy("shard").applyInPandas(_pairs(t, bound, shards), _PACKED)
     cand = C.table(met.groupBy("blk").applyInPandas(_candidates, "a long, b long"), "ngram-candidates")
     grams = max(16, sum(s * c for s, c in hist) // max(1, stats.n))
@@ -471,11 +573,33 @@ def similar_sets(docs: DataFrame, n: int = NGRAM, t: float = THRESHOLD) -> tuple
     cand = C.table(close, "ngram-close")
     sets_of = lambda ids: texts.join(ids, "sid", "left_semi").mapInArrow(_sets(n), "sid long, grams binary")
     links = C.table(_by_blocks(cand, sets_of, grams * 5, _verify(t), "sid long, root long, links long"), "ngram-links")
+    if n_members:
+        own = texts.where("grp IS NOT NULL").select("sid", "text").mapInArrow(_sets(n), "sid long, grams binary").join(C.small(members.select("sid", "grp", "blocks"), n_members, 24), "sid")
+        own = own.withColumn("x", F.expr("CAST(pmod(xxhash64(sid), blocks) AS INT)")).withColumn("y", F.explode(F.expr("sequence(0, blocks - 1)")))
+        own = own.select("sid", "grams", "grp", "x", F.least("x", "y").alias("pi"), F.greatest("x", "y").alias("pj"))
+        links = links.unionByName(C.table(own.groupBy("grp", "pi", "pj").applyInPandas(_all_pairs(t), "sid long, root long, links long"), "ngram-grouped"))
     rows = rows.select("doc_id", "text_key", "size").join(C.small(other, n_other, 24), ["doc_id", "text_key"], "left")
     rows = named(rows.withColumnRenamed("sid", "of"), "doc_id")
     return rows.select("doc_id", "text_key", F.when(F.col("size") > 0, F.coalesce("of", "sid")).alias("sid")), links
 
 
+def _groups(sets: DataFrame, t: float) -> tuple[DataFrame, int]:
+    """(members, their number).  ``members`` (sid, doc_id, text_key, grp, blocks): sets that share a
+    band with at least DENSE sets, the smallest sid of those that are near, and into how many blocks
+    the group is cut.  The first set of a key is near itself, so it is always in a group too."""
+    keyed = sets.withColumn("band", F.explode("bands")).drop("bands")
+    dense = C.table(keyed.groupBy("band").agg(F.min("sid").alias("grp"), F.count("*").alias("n")).where(F.col("n") >= DENSE).select("band", "grp"), "ngram-dense")
+    n_dense = dense.count()
+    some = keyed.join(C.small(dense, n_dense, 12), "band").drop("band").dropDuplicates(["sid", "grp"])
+    heads = C.table(sets.join(C.small(dense.select(F.col("grp").alias("sid")).distinct(), n_dense, 8), "sid", "left_semi").select(F.col("sid").alias("grp"), F.col("size").alias("of"), F.col("bits").alias("with")).dropDuplicates(["grp"]), "ngram-heads")
+    near = some.join(heads, "grp").select("sid", "doc_id", "text_key", "size", "bits", "grp", "of", "with")
+    near = near.mapInArrow(_near(t), "sid long, doc_id long, text_key long, size int, grp long")
+    near = C.table(near.groupBy("sid").agg(F.min(F.struct("grp", "doc_id", "text_key", "size")).alias("r")).select("sid", "r.*"), "ngram-near")
+    groups = near.groupBy("grp").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") * 5 / F.lit(DENSE_BYTES))).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
+    members = C.table(near.join(C.small(groups, n_dense, 12), "grp").select("sid", "doc_id", "text_key", "grp", "blocks"), "ngram-members")
+    return members, members.count()
+
+
 def _by_blocks(pairs: DataFrame, side, row_bytes: int, check, schema: str) -> DataFrame:
     """Run ``check`` on pairs (a, b) together with the rows that ``side`` gives for their sets.
 

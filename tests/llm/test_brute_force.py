@@ -91,6 +91,53 @@ def test_ngram_join_over_many_blocks(spark, monkeypatch):
     assert {tuple(r) for r in ngram_jaccard_join(make_docs(spark, rows)).collect()} == _classes(rows, 3, 0.5)
 
 
+@pytest.mark.parametrize("dense,dense_bytes,hot", [(32, 6 << 20, 4096), (3, 2000, 3)])
+def test_ngram_join_leaves_pairs_of_groups_out_of_the_shards(spark, monkeypatch, dense, dense_bytes, hot):
+    """Large groups of near copies, whose pairs no shard gives; strays, copies and repeated ids count as ever."""
+    from marlstone.llm import ngram_join
+
+    for name, value in (("DENSE", dense), ("DENSE_BYTES", dense_bytes), ("HOT_LIST", hot)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng, rows = np.random.default_rng(4), []
+    for i in range(160):
+        w = words(90, 7 + i % 2, 10**6).split()
+        for at in rng.choice(90, int(rng.integers(0, 3 if i % 5 else 12)), replace=False):
+            w[at] = f"e{rng.integers(10**6)}"
+        rows.append((i // 2 if i < 20 else i, " ".join(w)))
+    rows += [(1000 + i, rows[i][1]) for i in range(0, 40, 3)] + [(2000 + i, words(50, 50 + i)) for i in range(20)]
+    found, table = {}, C.table
+
+    def kept(df, name, *more, **by):
+        found[name] = table(df, name, *more, **by)
+        return found[name]
+
+    monkeypatch.setattr(C, "table", kept)
+    want = _classes(rows, 3, 0.5)
+    got = ngram_jaccard_join(make_docs(spark, rows)).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert sum(n for _, _, n in want) > 6000 and found["ngram-candidates"].count() < 1500
+    assert found["ngram-grouped"].count() > 90
+
+
+def test_ngram_join_passes_over_groups_on_a_key():
+    """Entries of one group on one key meet those of other groups only, whatever their sizes."""
+    import pandas as pd
+
+    from marlstone.llm import ngram_join
+
+    doc = np.array([5, 1, 2, 9, 3, 4, 8, 1, 7], np.int64)
+    own = np.array([1, 1, 1, 9, 2, 2, 2, 1, 7], np.int64)
+    size = np.array([100, 100, 60, 90, 40, 90, 100, 100, 50], np.int32)
+    key = np.array([1] * 7 + [2] * 2, np.uint32)
+    shard = pd.DataFrame({"shard": [1], "keys": [key.tobytes()], "docs": [C.squeeze(doc)], "sizes": [C.squeeze(size << 2)], "lasts": [C.squeeze(np.zeros(9, np.uint32))], "owns": [C.squeeze(doc - own)]})
+    met = set()
+    for out in ngram_join._pairs(0.5, 0, 1)(iter([shard])):
+        for a, b in zip(out["a"], out["b"]):
+            met |= set(zip(C.unsqueeze(a, np.int64).tolist(), C.unsqueeze(b, np.int64).tolist()))
+    at = range(len(doc))
+    assert met == {tuple(sorted((int(doc[i]), int(doc[j])))) for i in at for j in at if key[i] == key[j] and own[i] != own[j] and size[i] <= size[j] <= 2 * size[i]}
+
+
 def test_pairs_of_a_shard_come_in_portions(monkeypatch):
     """A task holds few of a shard's pairs at once; none is lost, and all their meetings count."""
     import tracemalloc
