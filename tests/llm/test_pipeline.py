@@ -94,3 +94,22 @@ def test_packing(steps):
 
 def test_run(spark, steps):
     assert sorted(map(tuple, P.run(spark, DATA).collect())) == sorted(map(tuple, steps["packing"].collect()))
+
+
+def test_copies_of_a_large_class(spark, monkeypatch):
+    """A large class of near copies leaves one document, and its pairs don't come from the shards."""
+    from conftest_llm import make_docs, words
+
+    from marlstone.llm import common as C
+
+    base, found, table = words(80, 1, 10**6).split(), {}, C.table
+    rows = [(i, " ".join(base[: i % 80] + [f"e{i}"] + base[i % 80 + 1 :])) for i in range(150)] + [(1000 + i, words(40, 9 + i)) for i in range(10)]
+
+    def kept(df, name, *more, **by):
+        found[name] = table(df, name, *more, **by)
+        return found[name]
+
+    monkeypatch.setattr(C, "table", kept)
+    got = {r.doc_id for r in P.near_copies(spark, make_docs(spark, rows), DATA).collect()}
+    assert got == {0, *range(1000, 1010)}
+    assert found["ngram-candidates"].count() < 1000
