@@ -29,6 +29,7 @@ def fit(rows: DataFrame, train: Callable[[list, list], bytes]) -> bytes | None:
     """
     import pyarrow as pa
 
+    @C.lean
     def run(batches):
         got = [r for b in batches for r in b.to_pylist()]
         if len({r["label"] for r in got}) < 2:

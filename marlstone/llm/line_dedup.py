@@ -134,6 +134,7 @@ class GrowingFilter:
         return GrowingFilter(tables=tables)
 
 
+@C.lean
 def _admit(key, held: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
     """The batch's keys of one shard: what the filter, as it was, says of each, and the filter with
     those that it had never seen."""
@@ -146,6 +147,7 @@ def _admit(key, held: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
+@C.lean
 def _update(key, held: pd.DataFrame, change: pd.DataFrame) -> pd.DataFrame:
     """A shard's filter after deletions (``live`` false) and insertions (``live`` true)."""
     f = GrowingFilter.load(held["filter"].iloc[0]) if len(held) else GrowingFilter()
@@ -264,6 +266,7 @@ def _key(s: str) -> int:
 
 
 def _strip(id_at: int, text_at: int):
+    @C.lean
     def run(batches):
         for b in batches:
             text, lines, gone = [], [], []

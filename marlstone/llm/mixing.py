@@ -131,6 +131,7 @@ def quotas(counts: dict[str, int], weights: dict[str, float] | None = None, tota
 
 
 def _shard_of(sources: list[str], quota: np.ndarray, block: int, shards: int, seed: int):
+    @C.lean
     def run(batches):
         tree = SplitTree(-(-quota // block), shards, seed)
         at = {s: i for i, s in enumerate(sources)}

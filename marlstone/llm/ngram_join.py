@@ -78,6 +78,7 @@ def bands(every: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _profile(n: int):
     names = ["doc_id", "text_key", "size", "hi", "lo", "bits", "bands", "chunk", "blob"]
 
+    @C.lean
     def run(batches):
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         for b in (x for y in batches for x in C.slices(y, 1)):
@@ -181,6 +182,7 @@ def _signatures(n: int, t: float, bound: int, shards: int, order_b):
             names=["shard", "keys", "docs", "sizes", "lasts", "owns"][: 5 + len(own)],
         )
 
+    @C.lean
     def run(batches):
         rank, lists = order_b.value
         out, held = {0: [], 1: []}, {0: 0, 1: 0}
@@ -209,8 +211,12 @@ _PACKED = "blk int, a binary, b binary, need binary, k binary, n int"
 
 
 def _merge(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    u, at = np.unique(np.concatenate(codes), return_inverse=True)
-    return u, np.bincount(at, weights=np.concatenate(counts), minlength=len(u)).astype(np.int64)
+    u, n = np.concatenate(codes), np.concatenate(counts)
+    by = np.argsort(u, kind="stable")
+    u, n = u[by], n[by]
+    del by
+    at = np.flatnonzero(np.append(True, u[1:] != u[:-1])) if len(u) else np.zeros(0, np.int64)
+    return u[at], np.add.reduceat(n, at, dtype=np.int32) if len(u) else n
 
 
 def _pairs(t: float, bound: int, shards: int):
@@ -223,94 +229,119 @@ def _pairs(t: float, bound: int, shards: int):
 
     blks = max(4, shards // 2)
 
-    def packed(kind, ent, ent_o, c, n):
-        x, y = c // len(ent), c % len(ent)  # ent is sorted by doc_id first
-        # k common grams within the prefixes: at most rest more, rest following the prefix that
-        # ends first in the global order (of the longer one where that can't be told)
-        rest = np.where(ent.w[x] < ent.w[y], ent_o[x], np.where(ent.w[x] > ent.w[y], ent_o[y], np.maximum(ent_o[x], ent_o[y]))) - 1
-        short = needed(ent.s[x].astype(np.int64) + ent.s[y], t / (1 + t)) - rest
-        need = np.maximum(short, 1).astype(np.int32) if kind else np.zeros(len(c), np.int32)
-        blk = (C.mix(ent.d[x].view(np.uint64)) % np.uint64(blks)).astype(np.int32)
-        by = np.argsort(blk, kind="stable")
-        cuts = np.searchsorted(blk[by], np.arange(blks + 1))
+    def packed(kind, ids, ent, blk, c, n):
+        of, size, last, least = ent
+        x, y = (c // len(of)).astype(np.int32), (c % len(of)).astype(np.int32)  # ent is sorted by doc_id first
+        need = np.zeros(len(c), np.int32)
+        for lo in range(0, len(c) if kind else 0, PAIR_STEP // 8 + 1):
+            p, q = x[lo : lo + PAIR_STEP // 8 + 1], y[lo : lo + PAIR_STEP // 8 + 1]
+            # k common grams within the prefixes: at most rest more, rest following the prefix that
+            # ends first in the global order (of the longer one where that can't be told)
+            rest = np.where(last[p] < last[q], least[p], np.where(last[p] > last[q], least[q], np.maximum(least[p], least[q]))) - 1
+            need[lo : lo + len(p)] = np.maximum(needed(size[p].astype(np.int64) + size[q], t / (1 + t)) - rest, 1)
+        by = np.argsort(blk[x], kind="stable")
+        cuts = np.searchsorted(blk[x[by]], np.arange(blks + 1))
         rows = [(j, by[cuts[j] : cuts[j + 1]]) for j in range(blks) if cuts[j + 1] > cuts[j]]  # sorted by pair
-        return pd.DataFrame([(j, C.squeeze(ent.d[x[i]]), C.squeeze(ent.d[y[i]]), C.squeeze(need[i]), C.squeeze(n[i].astype(np.int32)), len(i)) for j, i in rows], columns=["blk", "a", "b", "need", "k", "n"])
+        return pd.DataFrame([(j, C.squeeze(ids[of[x[i]]]), C.squeeze(ids[of[y[i]]]), C.squeeze(need[i]), C.squeeze(n[i]), len(i)) for j, i in rows], columns=["blk", "a", "b", "need", "k", "n"])
 
+    @C.lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kind, parts = 0, []
+        kind, blobs = 0, {}
         for pdf in batches:
             kind = int(pdf["shard"].iloc[0]) // shards
-            parts.append([np.concatenate(c) for c in ([np.frombuffer(b, np.uint32) for b in pdf["keys"]], *([C.unsqueeze(b, d) for b in pdf[c]] for c, d in (("docs", np.int64), ("sizes", np.int32), ("lasts", np.uint32), ("owns", np.int64)) if c in pdf))])
+            for c in pdf.columns:
+                blobs.setdefault(c, []).extend(pdf[c] if c != "shard" else [])
             del pdf
-        key, doc, size, last, *own = (np.concatenate(c) for c in zip(*parts))
-        del parts
-        own = doc - own[0] if own else doc
-        by = np.argsort(key, kind="stable")
-        k = key[by]
-        alone = np.ones(len(k), bool)  # entries that share no key are dropped at once
-        alone[1:] &= k[1:] != k[:-1]
-        alone[:-1] &= k[1:] != k[:-1]
-        by = by[~alone]
-        del k, alone
+        key = np.concatenate([np.frombuffer(x, np.uint32) for x in blobs.pop("keys")])
+        by = np.argsort(key, kind="stable").astype(np.int32)
+        key = key[by]
+        alone = np.ones(len(key), bool)  # entries that share no key are dropped at once
+        alone[1:] &= key[1:] != key[:-1]
+        alone[:-1] &= key[1:] != key[:-1]
+        by, key = by[~alone], key[~alone]
+        del alone
+
+        def column(name, dtype):  # one at a time, of what is left
+            return np.concatenate([C.unsqueeze(x, dtype) for x in blobs.pop(name)])[by]
+
+        if not len(key):
+            return
+        doc = column("docs", np.int64)
+        own = doc - column("owns", np.int64) if "owns" in blobs else doc
+        grouped = bool((own != doc).any())
+        ids, doc = np.unique(doc, return_inverse=True)
+        doc = doc.astype(np.int32)
+        own = np.unique(own, return_inverse=True)[1].astype(np.int32) if grouped else doc
+        size, last = column("sizes", np.int32), column("lasts", np.uint32)
+        del by
         # by size, except where sets of one group share a key: by group, so that they are passed over
-        shared = np.zeros(len(by), bool)
-        if (own[by] != doc[by]).any():
-            by = by[np.lexsort((own[by], key[by]))]
-            new = key[by[1:]] != key[by[:-1]]
-            of = np.cumsum(np.concatenate([[0], new]))
+        shared = np.zeros(len(key), bool)
+        if grouped:
+            at = np.lexsort((own, key)).astype(np.int32)
+            key, doc, size, last, own = key[at], doc[at], size[at], last[at], own[at]
+            new = key[1:] != key[:-1]
+            of = np.cumsum(np.concatenate([[False], new]), dtype=np.int32)
             twice = np.zeros(of[-1] + 1, bool)
-            twice[of[1:][~new & (own[by[1:]] == own[by[:-1]])]] = True
+            twice[of[1:][~new & (own[1:] == own[:-1])]] = True
             shared = twice[of]
-        at = np.lexsort((doc[by], np.where(shared, own[by], size[by]), key[by]))
-        by, shared = by[at], shared[at]
-        key, doc, size, last, own = key[by], doc[by], size[by], last[by], own[by]
-        if not len(key):
-            return
-        side, size = size & 3, size >> 2
-        first = np.arange(1, len(key) + 1)
+            del new, of, twice
+        at = np.lexsort((doc, np.where(shared, own, size), key)).astype(np.int32)
+        key, doc, size, last, own, shared = key[at], doc[at], size[at], last[at], own[at], shared[at]
+        side, size = (size & 3).astype(np.int8), size >> 2
         ends = np.flatnonzero(np.append((key[1:] != key[:-1]) | (own[1:] != own[:-1]), True)) + 1
-        first = np.where(shared, np.repeat(ends, np.diff(ends, prepend=0)), first)
-        rec = np.rec.fromarrays([doc, size, last], names="d,s,w")
-        ent, at = np.unique(rec, return_inverse=True)
-        del rec, last
-        ent_o = needed(ent.s, t)
+        first = np.where(shared, np.repeat(ends, np.diff(ends, prepend=0)), np.arange(1, len(key) + 1)).astype(np.int32)
+        del ends
+        by = np.lexsort((last, size, doc)).astype(np.int32)
+        new = np.append(True, (doc[by[1:]] != doc[by[:-1]]) | (size[by[1:]] != size[by[:-1]]) | (last[by[1:]] != last[by[:-1]]))
+        at = np.zeros(len(key), np.int32)
+        at[by] = np.cumsum(new, dtype=np.int32) - 1
+        by = by[new]
+        ent = doc[by], size[by], last[by], needed(size[by], t).astype(np.int32)
+        blk = (C.mix(ids[ent[0]].view(np.uint64)) % np.uint64(blks)).astype(np.int32)
+        del by, new, last
         scans = (size > bound) | (needed(size, t) < SUBSET)
         # entry i meets the following entries of its key whose size is at most size / t, or all of
         # those of other groups
         comp = key.astype(np.uint64) << np.uint64(32) | np.where(shared, 0, size).astype(np.uint64)
-        most = np.minimum(np.floor(size / t + 1e-9), 2**31).astype(np.int64)
-        reach = np.maximum(np.searchsorted(comp, key.astype(np.uint64) << np.uint64(32) | most.astype(np.uint64), side="right") - first, 0)
+        most = np.minimum(np.floor(size / t + 1e-9), 2**31 - 1).astype(np.int32)
+        reach = np.maximum(np.searchsorted(comp, key.astype(np.uint64) << np.uint64(32) | most.astype(np.uint64), side="right") - first, 0).astype(np.int32)
         del comp, key, shared
-        starts = np.flatnonzero(reach)
-        total = np.cumsum(reach[starts])
+        starts = np.flatnonzero(reach).astype(np.int32)
+        total = np.cumsum(reach[starts], dtype=np.int64)
         codes, counts, held, done = [], [], 0, 0
+        C.give_back()
         while done < len(starts):
             stop = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + PAIR_STEP, side="right")))
             s, done = starts[done:stop], stop
             r = reach[s]
             a = np.repeat(s, r)
-            b = first[a] + (np.arange(len(a)) - np.repeat(np.cumsum(r) - r, r))
+            b = first[a] + (np.arange(len(a), dtype=np.int32) - np.repeat(np.cumsum(r, dtype=np.int32) - r, r))
             keep = (doc[a] != doc[b]) & (own[a] != own[b]) & ((side[a] == ANY) | (side[a] != side[b])) & (size[a] <= most[b]) & (size[b] <= most[a])
             if kind == 1:  # two enumerating sets meet on their subsets
                 keep &= scans[a] | scans[b]
-            a, b = a[keep], b[keep]
-            x, y = at[a], at[b]
-            c, n = np.unique(np.minimum(x, y) * len(ent) + np.maximum(x, y), return_counts=True)
+            x, y = at[a[keep]], at[b[keep]]
+            del a, b, keep
+            c, n = np.unique(np.minimum(x, y) * np.int64(len(ent[0])) + np.maximum(x, y), return_counts=True)
+            del x, y
             codes.append(c)
-            counts.append(n)
+            counts.append(n.astype(np.int32))
             held += len(c)
+            del c, n
             if held > 2 * PAIR_STEP:
                 c, n = _merge(codes, counts)
                 codes, counts, held = [c], [n], len(c)
                 if held > PAIR_STEP:
                     codes, counts, held = [], [], 0
-                    yield packed(kind, ent, ent_o, c, n)
+                    yield packed(kind, ids, ent, blk, c, n)
+                del c, n
+                C.give_back()
         if held:
-            yield packed(kind, ent, ent_o, *_merge(codes, counts))
+            yield packed(kind, ids, ent, blk, *_merge(codes, counts))
 
     return run
 
 
+@C.lean
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pairs whose meetings, over all shards, leave a similarity of the threshold possible.
 
@@ -334,8 +365,10 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (need[1:] != need[:-1])
         first = np.flatnonzero(new)
         if len(first):
-            ok = first[np.add.reduceat(k.astype(np.int64), first) >= need[first]]
-            yield pd.DataFrame({"a": a[ok], "b": b[ok]}).drop_duplicates()
+            ok = first[np.add.reduceat(k, first, dtype=np.int64) >= need[first]]
+            a, b = a[ok], b[ok]
+            new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+            yield pd.DataFrame({"a": a[new], "b": b[new]})
 
 
 def _fold(bits: np.ndarray, width: int) -> np.ndarray:
@@ -348,6 +381,7 @@ def _fold(bits: np.ndarray, width: int) -> np.ndarray:
 def _compare_bitmaps(t: float):
     """Pairs that the bitmaps allow: |x ^ y| >= bits that differ, and <= what t permits."""
 
+    @C.lean
     def run(key, maps: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         maps = maps.drop_duplicates("sid").sort_values("sid", kind="stable")
         ids, size = maps["sid"].to_numpy(np.int64), maps["size"].to_numpy(np.int64)
@@ -377,6 +411,7 @@ def _near(t: float):
     """The rows (sid, doc_id, text_key, size, bits, grp, of, with) whose bitmap allows a similarity of
     ``t`` with that of the group's first set, as (sid, doc_id, text_key, size, grp)."""
 
+    @C.lean
     def run(batches):
         for b in batches:
             ok = []
@@ -392,6 +427,7 @@ def _near(t: float):
 def _all_pairs(t: float):
     """The pairs of sets within a block of a group, or between two, as :func:`_verify` gives them."""
 
+    @C.lean
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("sid")
         far = (pdf["x"] != pdf["pi"]).to_numpy()
@@ -401,9 +437,14 @@ def _all_pairs(t: float):
         near = len(ids) if one else int((~far).sum())
         size = np.array([len(g) for g in sets], np.int64)
         start = np.cumsum(size) - size
-        every, at = np.unique(np.concatenate(sets), return_inverse=True)
+        every = np.concatenate(sets)
         del sets, pdf
-        at, mark = at.astype(np.int32), np.zeros(len(every), np.uint8)
+        by = np.argsort(every).astype(np.int32)
+        every = every[by]
+        at = np.zeros(len(every), np.int32)
+        at[by] = np.cumsum(np.append(False, every[1:] != every[:-1]), dtype=np.int32)
+        mark = np.zeros(len(every), np.uint8)
+        del every, by
         root, links = ids.copy(), np.zeros(len(ids), np.int64)
         for a in range(near):
             lo = a + 1 if one else near
@@ -426,6 +467,7 @@ def _all_pairs(t: float):
 
 
 def _sets(n: int):
+    @C.lean
     def run(batches):
         for b in (x for y in batches for x in C.slices(y, 1)):
             # 40 bits of each hash, still sorted: equal grams stay equal, others collide once in 10^12
@@ -460,6 +502,7 @@ def _roots(a: np.ndarray, b: np.ndarray) -> dict[int, int]:
 def _verify(t: float):
     """The pairs of a block that reach ``t``, as one row per set: its root and number of links."""
 
+    @C.lean
     def run(key, sets: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         have = {d: _unpack(b) for d, b in zip(sets["sid"], sets["grams"])}
         a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()

@@ -71,6 +71,7 @@ def pack(sizes: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 def _windows(capacity: int):
+    @C.lean
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "start_token", "n_tokens", "copy"], kind="stable").reset_index(drop=True)
         size = pdf["n_tokens"].to_numpy(np.int64)
@@ -111,6 +112,7 @@ def token_counts(texts: pa.Array) -> np.ndarray:
     return out
 
 
+@C.lean
 def _count(batches):
     for b in (x for y in batches for x in C.slices(y, 1)):
         n = token_counts(b.column(1))

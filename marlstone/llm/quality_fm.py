@@ -167,6 +167,7 @@ def score_quality(docs: DataFrame, model: bytes | None, keep: float = KEEP) -> D
     """
     blob = docs.sparkSession.sparkContext.broadcast(model)
 
+    @C.lean
     def run(batches):
         fm, f = FactorisationMachine.load(blob.value) if blob.value else None, Featurizer()
         for b in (x for y in batches for x in C.slices(y, 1)):
@@ -185,6 +186,7 @@ def keep_quality(docs: DataFrame, model: bytes | None, keep: float = KEEP) -> Da
     blob = docs.sparkSession.sparkContext.broadcast(model)
     at = [docs.columns.index(c) for c in ("text", "lang", "source")]
 
+    @C.lean
     def run(batches):
         fm, f = FactorisationMachine.load(blob.value) if blob.value else None, Featurizer()
         for b in (x for y in batches for x in C.slices(y, at[0])):

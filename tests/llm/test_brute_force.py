@@ -651,3 +651,57 @@ def test_neighbours_of_the_table(spark):
         s = np.where(np.arange(len(ids)) == i, -9, u @ u[i])
         want |= {(int(ids[i]), int(ids[j])) for j in np.lexsort((ids, -s))[:10]}
     assert len(got & want) / len(want) >= 0.9 and len(got) == len(want)
+
+
+def _held() -> float:
+    """MB that this process has now."""
+    return int(Path("/proc/self/statm").read_text().split()[1]) * 4096 / 1e6
+
+
+def test_workers_give_back_what_a_batch_took():
+    """A worker that lives on between tasks keeps neither a batch's arrays nor the allocator's free pages."""
+    import inspect
+
+    def fill(n):
+        return [np.ones(8000) for _ in range(n)]  # 64 kB each: from the heap, not mapped one by one
+
+    @C.lean
+    def one(key, n):
+        pinned.append(len(fill(n)))
+        pinned.append(np.ones(16))  # a later piece of heap in use, below which nothing would be trimmed by itself
+        return n
+
+    @C.lean
+    def some(batches):
+        for n in batches:
+            held = fill(n)
+            keep.append(np.ones(8000))
+            yield len(held)
+
+    pinned, keep = [], []
+    assert list(inspect.getfullargspec(one).args) == ["key", "n"] and list(inspect.getfullargspec(some).args) == ["batches"]
+    before = _held()
+    assert one(None, 2000) == 2000 and list(some(iter([2000, 1000]))) == [2000, 1000]
+    assert _held() - before < 40
+
+
+def test_a_shard_of_many_pairs_takes_little_memory():
+    """Columns are unpacked one at a time and only of entries that share a key; numbers of entries take 4 bytes."""
+    import tracemalloc
+
+    import pandas as pd
+
+    from marlstone.llm import ngram_join
+
+    rng = np.random.default_rng(3)
+    n = 300_000
+    doc = rng.integers(0, 20_000, n) * 3
+    key = np.where(rng.random(n) < 0.5, rng.integers(0, 200_000, n), 500_000 + rng.integers(0, 5000, n)).astype(np.uint32)
+    size = (60 + doc % 340).astype(np.int32) << 2
+    shard = pd.DataFrame({"shard": [1], "keys": [key.tobytes()], "docs": [C.squeeze(doc)], "sizes": [C.squeeze(size)], "lasts": [C.squeeze((doc * 7 % 1000).astype(np.uint32))], "owns": [C.squeeze(np.where(doc % 9 == 0, doc % 900, 0))]})
+    tracemalloc.start()
+    met = sum(int(out["n"].sum()) for out in ngram_join._pairs(0.5, 0, 1)(iter([shard])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert met > 500_000
+    assert peak < 110e6
