@@ -3,19 +3,16 @@
 from __future__ import annotations
 
 import atexit
-import ctypes
-import inspect
 import re
 import uuid
-from functools import wraps
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import give_back, lean, portions, text_bytes  # noqa: F401
 from ..session import work_dir
 
 WORD = re.compile(r"[^\W_]+")
@@ -82,55 +79,13 @@ def unsqueeze(blob: bytes, dtype) -> np.ndarray:
     return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype), dtype=dtype)
 
 
-_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-
-
-def give_back() -> None:
-    """What this process has freed goes back to the system.
-
-    Workers live on between tasks, and without this each keeps the most that it ever held.
-    """
-    pa.default_memory_pool().release_unused()
-    if _trim:
-        _trim(0)
-
-
-def lean(f):
-    """``f``, a function or generator of a worker, with :func:`give_back` after its end."""
-    if inspect.isgeneratorfunction(f):
-
-        @wraps(f)
-        def run(*args):
-            try:
-                yield from f(*args)
-            finally:
-                give_back()
-    else:
-
-        @wraps(f)
-        def run(*args):
-            try:
-                return f(*args)
-            finally:
-                give_back()
-
-    run.__signature__ = inspect.signature(f)  # Spark asks how many arguments there are
-    return run
-
-
 #: Bytes of text that are taken apart at once, to bound a worker's memory.
 SLICE = 2 << 20
 
 
 def slices(batch: pa.RecordBatch, at: int, limit: int | None = None):
     """The batch in parts of about ``limit`` bytes of its text column ``at``, a row at least."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    lo = 0
-    while lo < batch.num_rows:
-        done = int(size[lo - 1]) if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(size, done + (limit or SLICE), side="right")))
-        yield batch.slice(lo, hi - lo)
-        lo = hi
+    return portions(batch, text_bytes(batch.column(at)), limit or SLICE)
 
 
 def each(column):

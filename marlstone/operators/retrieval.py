@@ -7,15 +7,19 @@ the total order relevance descending, chunk_id ascending.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import batches as arrow
 from ..functions.text import HASHED, tokens, with_tokens
+from ..session import written
 from . import filters
 from .sparse_index import SparseIndex
 
@@ -26,6 +30,10 @@ RRF_K, MULTIPLIER = 60, 4
 BROADCAST_ROWS = 200_000
 #: Distinct query terms up to which they are looked up in place; beyond that they are joined.
 LOOKUP_TERMS = 4096
+#: Terms of a batch of queries, counted once for each query, up to which the chunks are scored where they lie.
+LOCAL_TERMS = 1 << 19
+#: Queries by hash embedding up to which the chunks are scored where they lie.
+LOCAL_QUERIES = 1 << 14
 #: Queries of a dense search up to which the batch is broadcast.
 BROADCAST_QUERIES = 1024
 #: Vectors of a block of dense_blocks, and queries whose scores are held at once.
@@ -45,14 +53,31 @@ def tokenized(chunks: DataFrame) -> DataFrame:
     return with_tokens(chunks, "text", "terms", keep=("chunk_id",)).withColumn("dl", F.size("terms"))
 
 
+def distinct_ids(chunks: DataFrame) -> bool:
+    """Whether each chunk has an id of its own, so that all that is said of an id is in one row."""
+    return chunks.groupBy("chunk_id").count().where("count > 1 OR chunk_id IS NULL").isEmpty()
+
+
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """(n, avgdl) over all eligible chunks, those without tokens included."""
     return tokenized(chunks).agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, tf, dl), one row per distinct term of a chunk."""
-    return tokenized(chunks).select("chunk_id", "dl", F.explode("terms").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+    """(term, chunk_id, tf, dl), one row per distinct term of a chunk; counted in the batch where the
+    chunk lies, as long as no two rows share an id."""
+    tok = tokenized(chunks)
+    if not distinct_ids(chunks):
+        return tok.select("chunk_id", "dl", F.explode("terms").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+
+    @arrow.lean
+    def run(batches):
+        for b in arrow.by_tokens(batches, 1):
+            row, code, words = arrow.coded(b.column(1))
+            row, code, n = arrow.counts(row, code, len(words))
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(code)), b.column(0).take(pa.array(row)), pa.array(arrow.lengths(b.column(1))[row], pa.int32()), pa.array(n, pa.int64())], names=["term", "chunk_id", "dl", "tf"])
+
+    return tok.select("chunk_id", "terms").mapInArrow(run, f"term string, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, dl int, tf long")
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -69,14 +94,118 @@ def top_k(scored: DataFrame, k: int, by: str = "relevance") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int | None = None, where=None, k1: float = K1, b: float = B, index: SparseIndex | DataFrame | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class TermCounts:
+    """``rows`` (chunk_id, dl, terms, tfs): how often each chunk, without terms too, has which of
+    ``vocabulary``, and its length; ``n`` chunks of ``avgdl`` tokens, ``df`` of them with a term."""
+
+    rows: DataFrame
+    vocabulary: dict[str, int]
+    n: int
+    avgdl: float
+    df: np.ndarray
+
+
+def term_counts(chunks: DataFrame, vocabulary: list[str]) -> TermCounts:
+    """One reading of the texts, whose ids are distinct; what is kept of a chunk doesn't leave its
+    batch, so nothing is shuffled but a sum for each term."""
+    words = {t: i for i, t in enumerate(dict.fromkeys(vocabulary))}
+    wanted, width = pa.array(list(words), pa.string()), len(words)
+
+    @arrow.lean
+    def count(batches):
+        for b in arrow.by_tokens(batches, 1):
+            row, code, found = arrow.coded(b.column(1))
+            code = pc.fill_null(pc.index_in(found, wanted), -1).to_numpy(zero_copy_only=False).astype(np.int64)[code]
+            row, code, n = arrow.counts(row[code >= 0], code[code >= 0], width)
+            ends = pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (code, n)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(arrow.lengths(b.column(1)), pa.int32()), *lists], names=["chunk_id", "dl", "terms", "tfs"])
+
+    def sums(batches):
+        total, df = np.zeros(2, np.int64), np.zeros(width, np.int64)
+        for b in batches:
+            total += (b.num_rows, int(b.column(0).to_numpy().sum()))
+            df += np.bincount(b.column(1).flatten().to_numpy(), minlength=width)[:width]
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-2, -1], at]), pa.int32()), pa.array(np.concatenate([total, df[at]]), pa.int64())], names=["term", "n"])
+
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    rows = written(tokenized(chunks).select("chunk_id", "terms").mapInArrow(count, f"chunk_id {kind}, dl int, terms array<int>, tfs array<int>"), "counts")
+    said = {r.term: r.n for r in rows.select("dl", "terms").mapInArrow(sums, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    n = said.get(-2, 0)
+    return TermCounts(rows, words, n, said.get(-1, 0) / n if n else 0.0, np.array([said.get(i, 0) for i in range(width)], np.int64))
+
+
+def _idf(n: Column, df: Column) -> Column:
+    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def _bm25_local(counts: TermCounts, terms: list, k: int, k1: float, b: float, query_kind: pa.DataType, schema: str) -> DataFrame:
+    """The k best of each query: each task scores its chunks for all queries and hands on k of each.
+
+    ``terms``: rows of :func:`query_terms`.  The sums go by ``qpos``, as those of :func:`bm25` do.
+    """
+    spark = counts.rows.sparkSession
+    dfs = sorted({int(x) for x in counts.df if x})
+    made = spark.createDataFrame([(x,) for x in dfs], "df long").select("df", _idf(F.lit(counts.n), F.col("df")).alias("idf")).collect() if dfs else []
+    idf = {r.df: r.idf for r in made}
+    parts: dict[tuple[int, float], int] = {}  # (term, weight) and its number
+    asked: dict[object, list[int]] = {}
+    for r in sorted(terms, key=lambda r: r.qpos):
+        t = counts.vocabulary[r.term]
+        if counts.df[t]:
+            asked.setdefault(r.query_id, []).append(parts.setdefault((t, r.qf * idf[int(counts.df[t])]), len(parts)))
+    queries = pa.array(list(asked), query_kind)
+    sums, pairs = [np.array(v, np.int32) for v in asked.values()], list(parts)
+    avgdl, id_kind, width = counts.avgdl, arrow.kind(counts.rows, "chunk_id"), len(counts.vocabulary)
+
+    @arrow.lean
+    def run(batches):
+        best = arrow.Best(len(sums), k)
+        for x in batches:
+            ids, of = x.column(0).to_numpy(zero_copy_only=False), arrow.lengths(x.column(2))
+            term, tf = (x.column(c).flatten().to_numpy() for c in (2, 3))
+            order = np.argsort(term, kind="stable")
+            row, tf = np.repeat(np.arange(len(ids)), of)[order], tf[order].astype(np.float64)
+            lo = np.searchsorted(term[order], np.arange(width + 1))
+            room = k1 * (1 - b + b * x.column(1).to_numpy() / avgdl) if avgdl > 0 else np.full(len(ids), k1 * (1 - b))
+            below = tf + room[row]
+            held = [None] * len(pairs)
+            for i, (t, w) in enumerate(pairs):
+                if lo[t] < lo[t + 1]:
+                    at = slice(lo[t], lo[t + 1])
+                    held[i] = row[at], w * tf[at] * (k1 + 1) / below[at]
+            for q, numbers in enumerate(sums):
+                score = np.zeros(len(ids))
+                for i in numbers:
+                    if held[i] is not None:
+                        score[held[i][0]] += held[i][1]
+                best.offer(q, ids, score, np.flatnonzero(score > 0))
+        yield from best.batches(queries, id_kind)
+
+    return top_k(counts.rows.mapInArrow(run, schema), k)
+
+
+def bm25(chunks: DataFrame, queries: DataFrame, k: int | None = None, where=None, k1: float = K1, b: float = B, index: SparseIndex | TermCounts | DataFrame | None = None) -> DataFrame:
     """Okapi BM25 with statistics over the chunks that pass ``where``; scores above 0 only.
 
-    Only terms of the query batch are exploded and shuffled.  ``index``: a written index, which
-    spares the texts of ``chunks`` another reading, or postings alone.
+    Only terms of the query batch are exploded and shuffled, and none where ``k`` is given and the
+    batch has at most ``LOCAL_TERMS``.  ``index``: a written index, which spares the texts of ``chunks``
+    another reading, their counts of the terms of the queries, or postings alone.
     """
+    if k is not None and k <= 0:
+        raise ValueError("k must be positive")
     admitted = eligible(chunks, where)
     qt = query_terms(queries)
+    if k is not None and (index is None or isinstance(index, TermCounts)):
+        terms = qt.limit(LOCAL_TERMS + 1).collect()
+        fresh = index is None or where is not None
+        if len(terms) <= LOCAL_TERMS and (not fresh or distinct_ids(admitted)):
+            counts = term_counts(admitted, [r.term for r in terms]) if fresh else index
+            kinds = [d.schema[c].dataType.simpleString() for d, c in ((queries, "query_id"), (chunks, "chunk_id"))]
+            return _bm25_local(counts, terms, k, k1, b, arrow.kind(queries, "query_id"), f"query_id {kinds[0]}, chunk_id {kinds[1]}, relevance double")
+    index = None if isinstance(index, TermCounts) else index
     vocabulary = [r.term for r in qt.select("term").distinct().limit(LOOKUP_TERMS + 1).collect()]
     few = len(vocabulary) <= LOOKUP_TERMS
     n_rows = qt.count()
@@ -102,9 +231,8 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int | None = None, where=None
         stats = lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")) if whole else corpus_stats(admitted)
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     part = hits.join(small(df, n_rows), "term").join(small(qt, n_rows), "term").crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    ratio = F.when(F.col("avgdl") > 0, F.col("dl") / F.col("avgdl")).otherwise(F.lit(0.0))
-    score = F.col("qf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * ratio))
+    share = F.when(F.col("avgdl") > 0, b * F.col("dl") / F.col("avgdl")).otherwise(F.lit(0.0))
+    score = F.col("qf") * _idf(F.col("n"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + share))
     part = part.select("query_id", "chunk_id", "qpos", score.alias("s"))
     total = F.aggregate(F.array_sort(F.collect_list(F.struct("qpos", "s"))), F.lit(0.0), lambda acc, x: acc + x["s"])
     scored = part.groupBy("query_id", "chunk_id").agg(total.alias("relevance")).where("relevance > 0")
@@ -117,27 +245,70 @@ def with_contents(ranked: DataFrame, chunks: DataFrame, most: int) -> DataFrame:
     return chunks.join(small(ranked, most), "chunk_id")
 
 
+def _hashed(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, ts): the tokens that are hashed, of each id in one row."""
+    t = with_tokens(chunks, "text", "ts", HASHED, keep=("chunk_id",))
+    return t if distinct_ids(chunks) else t.groupBy("chunk_id").agg(F.flatten(F.collect_list("ts")).alias("ts"))
+
+
 def hash_embedding_cells(chunks: DataFrame, dim: int) -> DataFrame:
     """(chunk_id, i, value): the signed feature hash of each text, L2 normalised, zeros left out.
 
     A text whose tokens cancel out or that has none becomes the first unit vector.
     """
-    t = with_tokens(chunks, "text", "ts", HASHED, keep=("chunk_id",)).select("chunk_id", F.explode_outer("ts").alias("t"))
-    digest = F.sha2("t", 256)
-    hexa = lambda a, n: F.conv(F.substring(digest, a, n), 16, 10).cast("bigint")
-    cell = t.select("chunk_id", (hexa(1, 8) % dim).cast("int").alias("i"), F.when(hexa(9, 2) % 2 == 1, 1.0).otherwise(-1.0).alias("v"))
-    summed = cell.groupBy("chunk_id", "i").agg(F.sum("v").alias("v")).withColumn("v", F.when(F.col("i").isNull(), 0.0).otherwise(F.col("v")))
-    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(W.partitionBy("chunk_id")))
-    unit = summed.select("chunk_id", "i", "v", norm.alias("norm"))
-    full = unit.where("norm > 0 AND v <> 0").select("chunk_id", "i", (F.col("v") / F.col("norm")).alias("value"))
-    none = unit.where("norm = 0").select("chunk_id").distinct().select("chunk_id", F.lit(0).alias("i"), F.lit(1.0).alias("value"))
-    return full.unionByName(none)
+
+    @arrow.lean
+    def run(batches):
+        hashed = arrow.Hashed(dim)
+        for b in arrow.by_tokens(batches, 1, dim):
+            x = hashed.matrix(b.column(1))
+            row, i = np.nonzero(x)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(i, pa.int32()), pa.array(x[row, i], pa.float64())], names=["chunk_id", "i", "value"])
+
+    return _hashed(chunks).mapInArrow(run, f"chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, i int, value double")
 
 
 def hash_embeddings(chunks: DataFrame, dim: int) -> DataFrame:
     """(chunk_id, vec): the cells as dense unit vectors of doubles."""
-    m = hash_embedding_cells(chunks, dim).groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "value"))).alias("m"))
-    return m.select("chunk_id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda j: F.coalesce(F.try_element_at("m", j), F.lit(0.0))).alias("vec"))
+
+    @arrow.lean
+    def run(batches):
+        hashed = arrow.Hashed(dim)
+        for b in arrow.by_tokens(batches, 1, dim):
+            ends = pa.array(np.arange(b.num_rows + 1) * dim, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(hashed.matrix(b.column(1)).ravel()))], names=["chunk_id", "vec"])
+
+    return _hashed(chunks).mapInArrow(run, f"chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, vec array<double>")
+
+
+def hash_nearest(chunks: DataFrame, queries: DataFrame, k: int, dim: int, digits: int = 9) -> DataFrame:
+    """The k nearest texts of each query (query_id, query) by the dot product of their hash
+    embeddings, rounded to ``digits``.
+
+    Each task embeds its texts, multiplies them with all queries and hands on k of each; no vector
+    is written or sent.  More than ``LOCAL_QUERIES`` queries meet the vectors in blocks.
+    """
+    if k <= 0:
+        raise ValueError("k must be positive")
+    asked = hash_embeddings(queries.select(F.col("query_id").alias("chunk_id"), F.col("query").alias("text")), dim).select(F.col("chunk_id").alias("query_id"), F.col("vec").alias("qvec"))
+    rows = asked.limit(LOCAL_QUERIES + 1).collect()
+    if len(rows) > LOCAL_QUERIES or not distinct_ids(chunks):
+        return dense_blocks(hash_embeddings(chunks, dim), asked, k, digits)
+    q_ids, q = pa.array([r.query_id for r in rows], arrow.kind(queries, "query_id")), np.array([r.qvec for r in rows], np.float64).reshape(len(rows), dim)
+    id_kind = arrow.kind(chunks, "chunk_id")
+
+    @arrow.lean
+    def run(batches):
+        hashed, best = arrow.Hashed(dim), arrow.Best(len(q), k)
+        for b in arrow.by_tokens(batches, 1, dim):
+            ids, x = b.column(0).to_numpy(zero_copy_only=False), hashed.matrix(b.column(1))
+            for lo in range(0, len(q), STEP):
+                for i, s in enumerate(np.round(q[lo : lo + STEP] @ x.T, digits), lo):
+                    best.offer(i, ids, s, np.flatnonzero(s >= best.least[i]))
+        yield from best.batches(q_ids, id_kind)
+
+    kinds = [d.schema[c].dataType.simpleString() for d, c in ((queries, "query_id"), (chunks, "chunk_id"))]
+    return top_k(_hashed(chunks).mapInArrow(run, f"query_id {kinds[0]}, chunk_id {kinds[1]}, relevance double"), k)
 
 
 def model_embeddings(chunks: DataFrame, embed: Callable[[list[str]], np.ndarray], dim: int) -> DataFrame:

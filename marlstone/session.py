@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -50,3 +51,13 @@ def work_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="marlstone-"))
         base = sc.getCheckpointDir()
     return f"{base.rstrip('/')}/marlstone-{sc.applicationId}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written in :func:`work_dir` and read back; as it is where no such folder is set."""
+    try:
+        path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    except RuntimeError:
+        return df
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
