@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import batches as arrow
 from ..functions import spans as S
 from ..functions.text import PARAGRAPH_TILE, SENTENCE_TILE, trimmed_span
 
@@ -23,6 +24,8 @@ MATRIX = {
     "vision": ("evidence", "image_region", *S.GENERIC, *S.STRUCTURED),
     "media": ("evidence", "transcript_segment", "scene", *S.GENERIC, *S.STRUCTURED),
 }
+#: Bytes of text that are cut at once, to bound a worker's memory.
+TEXT_BYTES = 1 << 20
 _CHUNK = "document_id string, part_id string, part_ordinal int, at int, start int, end int, text string, structural_path string, document_domain string"
 
 
@@ -50,19 +53,12 @@ def chunk_text(parts: DataFrame, policy: S.Policy) -> DataFrame:
     policy = resolve("text", policy)
     declared = "document_domain" in parts.columns
 
-    def run(batches):
-        for b in batches:
-            rows = []
-            for doc, part, order, text, start, dom in zip(*(c.to_pylist() for c in b.columns)):
-                label = S.domain(policy.strategy, dom)
-                for i, (lo, hi, path) in enumerate(S.spans(text, policy, part)):
-                    rows.append((doc, part, order, i, start + lo, start + hi, text[lo:hi], path, label))
-            cols = list(zip(*rows)) or [()] * 9
-            types = (pa.string(), pa.string(), *[pa.int32()] * 4, *[pa.string()] * 3)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["document_id", "part_id", "part_ordinal", "at", "start", "end", "text", "structural_path", "document_domain"])
+    def spans_of(doc, part, order, text, start, dom):
+        label = S.domain(policy.strategy, dom)
+        return ((doc, part, order, i, start + lo, start + hi, text[lo:hi], path, label) for i, (lo, hi, path) in enumerate(S.spans(text, policy, part)))
 
     src = parts.select(F.col("document_id").cast("string"), "part_id", F.col("ordinal").cast("int"), "text", F.col("start").cast("int"), (F.col("document_domain") if declared else F.lit(None).cast("string")).alias("document_domain"))
-    return _numbered(src.where("text IS NOT NULL").mapInArrow(run, _CHUNK), policy.strategy)
+    return _numbered(_cut(src, spans_of), policy.strategy)
 
 
 def chunk_structure(parts: DataFrame, max_chars: int = 800) -> DataFrame:
@@ -70,15 +66,31 @@ def chunk_structure(parts: DataFrame, max_chars: int = 800) -> DataFrame:
     if max_chars <= 0:
         raise ValueError("a chunk needs room for at least one character")
 
-    def run(batches):
-        for b in batches:
-            rows = [(doc, part, order, i, start + lo, start + hi, text[lo:hi], path, "text") for doc, part, order, text, start in zip(*(c.to_pylist() for c in b.columns)) for i, (lo, hi, path) in enumerate(S.structured(text, max_chars, part))]
-            cols = list(zip(*rows)) or [()] * 9
-            types = (pa.string(), pa.string(), *[pa.int32()] * 4, *[pa.string()] * 3)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["document_id", "part_id", "part_ordinal", "at", "start", "end", "text", "structural_path", "document_domain"])
+    def spans_of(doc, part, order, text, start):
+        return ((doc, part, order, i, start + lo, start + hi, text[lo:hi], path, "text") for i, (lo, hi, path) in enumerate(S.structured(text, max_chars, part)))
 
     src = parts.select(F.col("document_id").cast("string"), "part_id", F.col("ordinal").cast("int"), "text", F.col("start").cast("int"))
-    return _numbered(src.where("text IS NOT NULL").mapInArrow(run, _CHUNK), "structure_aware")
+    return _numbered(_cut(src, spans_of), "structure_aware")
+
+
+def _cut(parts: DataFrame, spans_of) -> DataFrame:
+    """The chunks ``spans_of(*row)`` of every part."""
+    return parts.where("text IS NOT NULL").mapInArrow(_cutter(spans_of), _CHUNK)
+
+
+def _cutter(spans_of, limit: int | None = None):
+    """Batches of parts to batches of their chunks, of about ``limit`` bytes of text at a time: what a
+    whole batch of parts becomes is many times its size as Python objects."""
+    limit = limit or TEXT_BYTES
+    schema = pa.schema([(n, {"string": pa.string(), "int": pa.int32()}[t]) for n, t in (c.split() for c in _CHUNK.split(", "))])
+
+    @arrow.lean
+    def run(batches):
+        for b in (x for y in batches for x in arrow.portions(y, arrow.text_bytes(y.column(3)), limit)):
+            cols = tuple(zip(*(r for row in zip(*(c.to_pylist() for c in b.columns)) for r in spans_of(*row)))) or [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types)], schema=schema)
+
+    return run
 
 
 def _numbered(chunks: DataFrame, strategy: str) -> DataFrame:
